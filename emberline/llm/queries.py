@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, exact_dedup, ngram_join, packing
+from emberline.llm import decontaminate, exact_dedup, lm_score, ngram_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark, sf_dir):
+    return lm_score.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_ngram_jaccard_join, op6_best_fit_packing, op8_exact_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op8_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
