@@ -146,27 +146,37 @@ def _signatures(words: int, percent: int):
     return sign
 
 
+def band_tiles(n: np.ndarray, tile: int) -> list[tuple[int, int, int]]:
+    """(begin, stop, bitmap bits) of runs of at most ``tile`` sorted sizes inside one size band."""
+    out, begin = [], 0
+    while begin < len(n):
+        bits = bitmap_bits(int(n[begin]))
+        stop = min(begin + tile, int(np.searchsorted(n, bits, side="right")))
+        out.append((begin, stop, bits))
+        begin = stop
+    return out
+
+
 def possible_pairs(n: np.ndarray, bitmaps: list[np.ndarray], percent: int, tile: int = TILE) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that sizes and bitmaps allow; rows are sorted by size."""
     forest, out = Forest(len(n)), []
-    for begin in range(0, len(n), tile):
-        rows = slice(begin, min(begin + tile, len(n)))
-        # A row meets later rows up to the largest size that its own still allows.
-        last = int(np.searchsorted(n, n[rows.stop - 1] * 100 // percent, side="right"))
-        for other in range(begin, last, tile):
-            cols = slice(other, min(other + tile, last))
-            bits = min(bitmap_bits(int(n[rows.start])), bitmap_bits(int(n[cols.start])))
-            left = np.stack([fold(b, bits) for b in bitmaps[rows]])
-            right = left if other == begin else np.stack([fold(b, bits) for b in bitmaps[cols]])
+    tiles = band_tiles(n, tile)
+    for begin, stop, bits in tiles:
+        left = np.stack([fold(b, bits) for b in bitmaps[begin:stop]])
+        for first_col, end, _ in tiles:
+            # A row meets later rows up to the largest size that its own still allows.
+            if first_col < begin or n[first_col] * percent > n[stop - 1] * 100:
+                continue
+            right = left if first_col == begin else np.stack([fold(b, bits) for b in bitmaps[first_col:end]])
             for k in range(len(left)):
-                i = rows.start + k
+                i = begin + k
                 roots = forest.roots()
-                first = max(cols.start, i + 1)
-                js = np.flatnonzero(roots[first : cols.stop] != roots[i]) + first
+                first = max(first_col, i + 1)
+                js = np.flatnonzero(roots[first:end] != roots[i]) + first
                 js = js[n[js] * percent <= n[i] * 100]
                 if not len(js):
                     continue
-                apart = np.bitwise_count(right[js - cols.start] ^ left[k]).sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(right[js - first_col] ^ left[k]).sum(axis=1, dtype=np.int64)
                 for j in js[apart <= most_different(n[i], n[js], percent)].tolist():
                     if forest.join(i, j):
                         out.append((i, j))
@@ -354,7 +364,7 @@ def _verify(percent: int, words: int):
     return verify
 
 
-def true_links(docs: DataFrame, groups: DataFrame, percent: int = 80, words: int = WORDS, most_broadcast: int = 2_000_000) -> DataFrame:
+def true_links(docs: DataFrame, groups: DataFrame, percent: int = 80, words: int = WORDS, most_broadcast: int = 1_000_000) -> DataFrame:
     """(a, b): a spanning forest of the links inside each group(node, component).
 
     Members' texts are read again; the table of members is broadcast up to most_broadcast rows
@@ -368,27 +378,34 @@ def true_links(docs: DataFrame, groups: DataFrame, percent: int = 80, words: int
     return cells.select("group", "cell", "rep", "text", "left").mapInArrow(_verify(percent, words), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id.
+
+    Tables of ids are broadcast up to most_broadcast rows (at most 24 bytes each) and joined by
+    shuffle beyond.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = set_classes(rows, words=words, percent=percent)
     keys = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key_a", "key_b")
     classes = materialize(keys.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")))
-    reps = sets.filter("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", "bitmap", "prefix"))
+    # Signatures stay where they are: the copies, ids and keys only, are what is taken out.
+    copies = materialize(keys.join(classes, ["key_a", "key_b"]).filter("doc_id != rep").select("doc_id", "key_a", "key_b"))
+    small = copies.count() <= most_broadcast
+    reps = sets.filter("n > 0 AND doc_id IS NOT NULL").join(F.broadcast(copies) if small else copies, ["doc_id", "key_a", "key_b"], "left_anti")
+    reps = reps.select(F.col("doc_id").alias("rep"), "n", "bitmap", "prefix")
     possible = connected_components(candidate_links(reps, percent))
-    linked = connected_components(true_links(rows, possible, percent, words))
+    linked = connected_components(true_links(rows, possible, percent, words, most_broadcast))
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("class_component"))
     out = sets.select("doc_id", "n", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 2_000_000) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of docs that stay: the smallest doc_id of each component, with all columns.
 
     Dropped ids are broadcast up to most_broadcast rows and joined by shuffle beyond.
     """
-    found = jaccard_components(docs, doc_id, text, words, percent)
+    found = jaccard_components(docs, doc_id, text, words, percent, most_broadcast)
     gone = materialize(found.filter("component_id != doc_id").select(F.col("doc_id").alias(TMP + "id")).distinct())
     small = gone.count() <= most_broadcast
     return docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col(TMP + "id"), "left_anti").select(docs.columns)
