@@ -77,6 +77,16 @@ def counts_in(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
+def sorted_out(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte."""
+    gaps = np.diff(keys.astype("<u8"), prepend=np.uint64(0))
+    return _squeeze(gaps.view(np.uint8).reshape(-1, 8).T)
+
+
+def sorted_in(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(_open(blob, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def chunks(docs: DataFrame, chunk_tokens: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The written table of tokenized chunks; deleted training documents have chunks of their own."""
 
@@ -86,7 +96,7 @@ def chunks(docs: DataFrame, chunk_tokens: int, doc_id: str = "doc_id", text: str
         values = [
             pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([deleted]), pa.array([[d for d, _, _ in docs_]], pa.list_(pa.int64())),
             pa.array([_squeeze(np.array([f for _, f, _ in docs_], dtype=np.uint8))], pa.binary()), pa.array([_squeeze(np.array([len(h) for _, _, h in docs_], dtype="<i4"))], pa.binary()),
-            pa.array([words.astype("<i8").tobytes()], pa.binary()), pa.array([_squeeze(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T)], pa.binary()),
+            pa.array([sorted_out(words)], pa.binary()), pa.array([_squeeze(tokens.astype("<i4").view(np.uint8).reshape(-1, 4).T)], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(values, names=["chunk", "deleted", "doc_ids", "folds", "lengths", "words", "tokens"])
 
@@ -129,7 +139,7 @@ class Grams:
     @staticmethod
     def of(folds: bytes, lengths: bytes, words: bytes, tokens: bytes, order: int) -> Grams:
         lengths, folds = _open(lengths, "<i4").astype(np.int64), _open(folds, np.uint8)
-        own = np.frombuffer(words, dtype="<i8").astype(np.uint64)
+        own = sorted_in(words)
         index = np.ascontiguousarray(_open(tokens, np.uint8).reshape(4, -1).T).view("<i4").ravel()
         total = int(lengths.sum()) + (order - 1) * len(lengths)
         stream = np.full(total, START, dtype=np.uint64)
@@ -177,11 +187,11 @@ def _requests(order: int, buckets: int):
                 grams = Grams.of(row["folds"], row["lengths"], row["words"], row["tokens"], order)
                 counts, cut = grams.training_counts(), grams.cuts(buckets)
                 used = np.flatnonzero(np.diff(cut))
-                for part in np.array_split(used, max(1, len(grams.keys) // 1_000_000)):
+                for part in np.array_split(used, max(1, len(grams.keys) // 250_000)):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(part.astype(np.int32)), pa.array(np.full(len(part), row["chunk"])), pa.array(np.full(len(part), row["deleted"])),
-                            pa.array([grams.keys[cut[b] : cut[b + 1]].tobytes() for b in part], pa.binary()),
+                            pa.array([sorted_out(grams.keys[cut[b] : cut[b + 1]]) for b in part], pa.binary()),
                             pa.array([counts_out(counts[cut[b] : cut[b + 1]]) for b in part], pa.binary()),
                         ],
                         names=["bucket", "chunk", "deleted", "keys", "counts"],
@@ -192,7 +202,7 @@ def _requests(order: int, buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Totals of a bucket's keys for each chunk that asked; types: the bucket's training vocabulary."""
-    keys = [np.frombuffer(k, dtype=np.uint64) for k in table.column("keys").to_pylist()]
+    keys = [sorted_in(k) for k in table.column("keys").to_pylist()]
     counts = [counts_in(c, len(k)) for c, k in zip(table.column("counts").to_pylist(), keys)]
     deleted = table.column("deleted").to_numpy(zero_copy_only=False)
     distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -257,7 +267,7 @@ def learn_weights(cells: list[tuple[int, float, list[float]]], order: int, round
     return weights
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 1_500_000) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 800_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     table = chunks(docs, chunk_tokens, doc_id, text)
