@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, exact_dedup, lm_score, ngram_join, packing
+from emberline.llm import decontaminate, exact_dedup, html_text, lm_score, ngram_join, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontamination(spark, sf_dir):
     return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_sharding(spark, sf_dir):
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -29,10 +33,18 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.best_fit_pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark, sf_dir):
+    return pii.pii_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.copy_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -41,8 +53,13 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+ALL = (
+    op1_decontamination, op2_sharding, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op10_html_extraction,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op8_exact_dedup)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
