@@ -267,7 +267,7 @@ def learn_weights(cells: list[tuple[int, float, list[float]]], order: int, round
     return weights
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 800_000) -> DataFrame:
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 400_000) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     table = chunks(docs, chunk_tokens, doc_id, text)
