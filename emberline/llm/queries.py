@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, exact_dedup, html_text, lm_score, ngram_join, packing, pii, sharding
+from emberline.llm import decontaminate, exact_dedup, html_text, lm_score, ngram_join, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_sharding(spark, sf_dir):
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 ALL = (
-    op1_decontamination, op2_sharding, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op10_html_extraction,
+    op1_decontamination, op2_sharding, op3_quality_classifier, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op10_html_extraction,
 )
 
 
