@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontaminate, exact_dedup, html_text, lm_score, ngram_join, packing, pii, quality, sharding
+from emberline.llm import decontaminate, exact_dedup, html_text, line_dedup, lm_score, ngram_join, packing, pii, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.copy_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 ALL = (
-    op1_decontamination, op2_sharding, op3_quality_classifier, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op10_html_extraction,
+    op1_decontamination, op2_sharding, op3_quality_classifier, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op9_line_dedup, op10_html_extraction,
 )
 
 
