@@ -10,7 +10,7 @@ a logistic scorer over hashed word features, which then judges every document.
 
 The curated labels are labellers too: they abstain where a document has none.
 
-Bounds: the sample and its distinct word features go to the driver (about 5 KB a document); vote
+Bounds: the sample and its distinct word features go to the driver (about 6 KB a document); vote
 patterns number at most 3 ** labellers; the scorer has at most ``max_features`` weights and is
 broadcast. The judging pass reads each document where it lies: nothing is shuffled.
 
@@ -197,7 +197,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, max_features: int, rounds:
     Only features whose share differs clearly between faulty and sound rows have a weight, so
     that the many neutral words of a long document add up to nothing.
     """
-    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     ids, inverse = np.unique(flat, return_inverse=True)
     pair = np.unique(inverse * np.int64(max(1, len(rows))) + owner)
@@ -252,7 +252,7 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, max_labelled: int,
     return first.unionByName(other.withColumns({"quality": F.lit(None).cast("double"), "toxic": F.lit(None).cast("double")}))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 6000, max_unlabelled: int = 2000, max_features: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 4000, max_unlabelled: int = 1000, max_features: int = 20_000) -> Model:
     """The model of docs; labels(doc_id, quality 0/1, toxic 0/1) may be empty."""
     spark = docs.sparkSession
     few = F.broadcast(_sample(docs, labels, doc_id, max_labelled, max_unlabelled))
@@ -261,21 +261,24 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def features(batches: Iterator[pa.RecordBatch]):
         table = WordTable(4, word_features)
         for batch in batches:
-            found, measured = [], []
+            found, measured, times = [], [], []
             for value in batch.column(0).to_pylist():
                 raw = utf8(value)
                 words = raw.split()
                 index = table.of(words)
                 distinct = np.unique(index)
                 measures = dense(raw, words, index, len(distinct))
-                ids = table.rows[index].astype(np.int64)
+                ids = table.rows[distinct].astype(np.int64)
+                counts = np.bincount(np.searchsorted(distinct, index), minlength=len(distinct))
                 measured.append([measures[d] for d in (*DENSE, "unlike")])
                 found.append(np.concatenate([steps_of(measures) if words else [], ids.ravel()]).astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()), pa.array(measured, pa.list_(pa.float64()))], names=["quality", "toxic", "features", "measures"])
+                times.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()), pa.array(measured, pa.list_(pa.float64())), pa.array(times, pa.binary())], names=["quality", "toxic", "features", "measures", "times"])
 
-    sample = own.mapInArrow(features, "quality double, toxic double, features binary, measures array<double>").toArrow()
+    sample = own.mapInArrow(features, "quality double, toxic double, features binary, measures array<double>, times binary").toArrow()
     quality, toxic = (np.array(sample.column(c).to_pylist(), dtype=float) for c in ("quality", "toxic"))
-    raw = [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in sample.column("features").to_pylist()]
+    raw = [np.frombuffer(b, dtype="<i4") for b in sample.column("features").to_pylist()]
+    times = [np.frombuffer(b, dtype="<u2").astype(float) for b in sample.column("times").to_pylist()]
     dense_rows = [dict(zip((*DENSE, "unlike"), m)) for m in sample.column("measures").to_pylist()]
     lexicon = learn_lexicon(raw, toxic)
     model = Model(lexicon=lexicon)
@@ -306,9 +309,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for k, fault in enumerate(FAULTS):
         target = np.zeros(len(raw))
         for i, (f, m) in enumerate(zip(raw, dense_rows)):
-            ids = f[len(DENSE) :].reshape(-1, 4)
+            ids = f[len(DENSE) :].reshape(-1, 4) if len(f) else f.reshape(0, 4)
             known = np.isin(ids, lexicon)
-            m = {**m, "words": float(known[:, 0].sum()), "stems": float((known[:, 1] | known[:, 2]).sum())}
+            m = {**m, "words": float(times[i] @ known[:, 0]), "stems": float(times[i] @ (known[:, 1] | known[:, 2]))}
             label = (quality, toxic)[k][i]
             target[i] = model.posteriors[fault].get(votes(fault, m, None if np.isnan(label) else abs(label - (k == 0))), 0.0)
         found.append(train([f[f != RESERVED] for f in raw], target, max_features))
