@@ -22,12 +22,13 @@ missing labels leave the heuristics alone; an empty documents table gives an emp
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ from emberline.llm._common import MEMO_LIMIT, TMP, utf8
 FAULTS = ("junk", "toxic")
 #: Feature ids lie in 0 .. 2 ** 24; the first RESERVED are the dense measures' steps.
 DIMENSIONS, RESERVED = 1 << 24, 64
+_SPAN = DIMENSIONS - RESERVED - 1
 _SYMBOLS = re.compile(rb"[#$%&*@^~=<>\\_]{2,}|!{2,}|\?{2,}")
 _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -50,35 +52,38 @@ DENSE = ("symbols", "capitals", "bars", "stutter", "sameness")
 
 
 def word_features(word: bytes) -> tuple[int, int, int, int]:
-    """Ids of the bare word, its stems of four and five characters, and its tail of symbols."""
+    """Ids of the bare word, its stems of four and five bytes, and its tail of symbols."""
     bare = word.strip(_EDGES).lower()
-    tail = word[len(word.rstrip(_EDGES)) :][-3:] if bare else word[:3]
-    text = bare.decode("utf-8", "replace")
-    one = lambda kind, x: RESERVED + xxhash.xxh64_intdigest(kind + x) % (DIMENSIONS - RESERVED) if x else RESERVED
-    return one(b"w", bare), one(b"4", text[:4].encode() if len(text) > 4 else b""), one(b"5", text[:5].encode() if len(text) > 5 else b""), one(b"t", tail if len(tail) > 1 else b"")
+    tail = word[len(word.rstrip(_EDGES)) :] if bare else word
+    return (
+        RESERVED + 1 + crc32(bare, 1) % _SPAN if bare else RESERVED, RESERVED + 1 + crc32(bare[:4], 4) % _SPAN if len(bare) > 4 else RESERVED,
+        RESERVED + 1 + crc32(bare[:5], 5) % _SPAN if len(bare) > 5 else RESERVED, RESERVED + 1 + crc32(tail[-3:], 9) % _SPAN if len(tail) > 1 else RESERVED,
+    )
 
 
 class WordTable(dict):
-    """Memo: word -> row of a table with one row a distinct word."""
+    """Memo: word -> row of a table with one row of four numbers a distinct word."""
 
-    def __init__(self, width: int, row_of):
+    def __init__(self, row_of):
         super().__init__()
-        self.rows, self.row_of = np.zeros((1024, width)), row_of
+        self.flat, self.row_of = array("d"), row_of
 
     def __missing__(self, word: bytes) -> int:
-        k = len(self)
-        if k >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[k] = self.row_of(word)
-        self[word] = k
+        k = self[word] = len(self)
+        self.flat.extend(self.row_of(word))
         return k
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The index of each word."""
         if len(self) > MEMO_LIMIT:
             self.clear()
+            self.flat = array("d")
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
 
+    def rows(self, index: np.ndarray) -> np.ndarray:
+        """A copy of rows: a view would keep the table from growing."""
+        return np.frombuffer(self.flat).reshape(-1, 4)[index] if len(index) else np.zeros((0, 4))
+
 
 def dense(raw: bytes, words: list[bytes], index: np.ndarray, distinct: int) -> dict[str, float]:
     n = len(words)
@@ -135,13 +140,13 @@ class Model:
             index = table.of(words)
             distinct = np.unique(index)
             measures = dense(raw, words, index, len(distinct))
-            sums = table.rows[distinct].sum(axis=0)
+            sums = table.rows(distinct).sum(axis=0)
             logit = sums[:2] + self.bias
             if words:
                 for step in steps_of(measures):
                     logit = logit + steps.get(step, 0.0)
             # A word that comes twice counts twice.
-            measures["words"], measures["stems"] = (float(x) for x in table.rows[index, 2:].sum(axis=0)) if words else (0.0, 0.0)
+            measures["words"], measures["stems"] = (float(x) for x in table.rows(index)[:, 2:].sum(axis=0))
             out.append((1 / (1 + np.exp(-np.clip(logit, -30, 30))), measures))
         return out
 
@@ -238,7 +243,10 @@ def learn_lexicon(rows: list[np.ndarray], toxic: np.ndarray, most: int = 4096) -
     ids, inverse = np.unique(flat, return_inverse=True)
     bad, seen = np.bincount(inverse, owner), np.bincount(inverse)
     rate, other = bad / toxic.sum(), (seen - bad + 0.1) / (len(toxic) - toxic.sum() + 1)
-    ok = np.flatnonzero((bad >= 5) & (rate >= 25 * other))
+    # So many toxic rows that chance alone would give about twenty such words of all.
+    share = np.clip(toxic.mean(), 1e-3, 0.5)
+    least = max(2, int(np.ceil(np.log(max(len(ids) / 20, 1)) / np.log(1 / share))))
+    ok = np.flatnonzero((bad >= least) & (rate >= 25 * other))
     return np.sort(ids[ok[np.argsort(-bad[ok], kind="stable")[:most]]])
 
 
@@ -259,7 +267,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     own = docs.select(F.col(doc_id).cast("long").alias(TMP + "id"), F.col(text).alias("text")).join(few, TMP + "id").select("text", "quality", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]):
-        table = WordTable(4, word_features)
+        table = WordTable(word_features)
         for batch in batches:
             found, measured, times = [], [], []
             for value in batch.column(0).to_pylist():
@@ -268,7 +276,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 index = table.of(words)
                 distinct = np.unique(index)
                 measures = dense(raw, words, index, len(distinct))
-                ids = table.rows[distinct].astype(np.int64)
+                ids = table.rows(distinct).astype(np.int64)
                 counts = np.bincount(np.searchsorted(distinct, index), minlength=len(distinct))
                 measured.append([measures[d] for d in (*DENSE, "unlike")])
                 found.append(np.concatenate([steps_of(measures) if words else [], ids.ravel()]).astype("<i4").tobytes())
@@ -286,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     curated = F.broadcast(few.select(TMP + "id", "quality", "toxic"))
 
     def vote(batches: Iterator[pa.RecordBatch]):
-        table = WordTable(4, held.value.rows())
+        table = WordTable(held.value.rows())
         for batch in batches:
             q, t = ([None if v is None else v for v in batch.column(k).to_pylist()] for k in (1, 2))
             found = held.value.judge(batch.column(0).to_pylist(), table)
@@ -329,7 +337,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = WordTable(4, held.value.rows())
+        table = WordTable(held.value.rows())
         for batch in batches:
             found = held.value.judge(batch.column(1).to_pylist(), table)
             weak = [[w[k] for w in map(held.value.weak, (m for _, m in found))] for k in range(len(FAULTS))]
@@ -347,7 +355,7 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text", threshold:
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        table = WordTable(4, held.value.rows())
+        table = WordTable(held.value.rows())
         for batch in batches:
             found = held.value.judge(batch.column(at).to_pylist(), table)
             yield batch.filter(pa.array([model_accepts(s, held.value.weak(m), threshold) for s, m in found], pa.bool_()))
