@@ -196,35 +196,51 @@ def estimate(counts: dict[str, float], one_sided: list[bool] | None = None, roun
     return dict(zip(patterns, post.tolist())), float(share), list(zip(p.tolist(), q.tolist()))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, max_features: int, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature ids, weights, bias) of a logistic scorer of soft targets; a row lists its features.
+@dataclass
+class Sample:
+    """Feature ids of the sampled rows: flat ids with counts, and the row of each."""
+
+    ids: np.ndarray
+    index: np.ndarray
+    times: np.ndarray
+    row: np.ndarray
+    n_rows: int
+
+    @staticmethod
+    def of(rows: list[np.ndarray]) -> Sample:
+        own = [np.unique(r[r != RESERVED], return_counts=True) for r in rows]
+        flat = np.concatenate([u for u, _ in own] or [np.zeros(0, np.int32)]).astype(np.int32)
+        times = np.concatenate([c for _, c in own] or [np.zeros(0, np.int64)]).astype(np.float32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(u) for u, _ in own])
+        ids = np.unique(flat)
+        return Sample(ids, np.searchsorted(ids, flat).astype(np.int32), times, row, len(rows))
+
+
+def train(sample: Sample, target: np.ndarray, max_features: int, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature ids, weights, bias) of a logistic scorer of soft targets.
 
     Only features whose share differs clearly between faulty and sound rows have a weight, so
     that the many neutral words of a long document add up to nothing.
     """
-    flat = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    ids, inverse = np.unique(flat, return_inverse=True)
-    pair = np.unique(inverse * np.int64(max(1, len(rows))) + owner)
-    df_feature, df_owner = pair // max(1, len(rows)), pair % max(1, len(rows))
-    bad = np.bincount(df_feature, target[df_owner], len(ids))
-    seen = np.bincount(df_feature, minlength=len(ids))
+    ids, n = sample.ids, sample.n_rows
+    bad = np.bincount(sample.index, target[sample.row], len(ids))
+    seen = np.bincount(sample.index, minlength=len(ids))
     total_bad, total = target.sum(), len(target)
     log_odds = np.log((bad + 0.2) / (total_bad + 0.4)) - np.log((seen - bad + 0.2) / (total - total_bad + 0.4))
     strength = np.where(seen >= 3, np.abs(log_odds) * np.sqrt(np.minimum(bad, 50) + 1), 0)
     chosen = np.flatnonzero((log_odds >= 2.5) & (bad >= 2.5) & (seen >= 3) | (ids < RESERVED))
     if len(chosen) > max_features:
         chosen = np.sort(chosen[np.argsort(-strength[chosen], kind="stable")[:max_features]])
-    place = np.full(len(ids), -1)
+    place = np.full(len(ids), -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[inverse] >= 0
-    column, row = place[inverse][keep], owner[keep]
+    keep = place[sample.index] >= 0
+    column, row, times = place[sample.index[keep]], sample.row[keep], sample.times[keep].astype(float)
     w, bias = np.zeros(len(chosen)), -2.0
     g2, b2 = np.full(len(chosen), 1e-3), 1e-3
     for _ in range(rounds):
-        z = np.bincount(row, w[column], len(rows)) + bias
+        z = np.bincount(row, times * w[column], n) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        grad = np.bincount(column, error[row], len(chosen)) + 0.05 * w
+        grad = np.bincount(column, times * error[row], len(chosen)) + 0.05 * w
         g2 += grad**2
         w -= 0.5 * grad / np.sqrt(g2)
         b2 += error.sum() ** 2
@@ -232,20 +248,20 @@ def train(rows: list[np.ndarray], target: np.ndarray, max_features: int, rounds:
     return ids[chosen], w, float(bias)
 
 
-def learn_lexicon(rows: list[np.ndarray], toxic: np.ndarray, most: int = 4096) -> np.ndarray:
+def learn_lexicon(sample: Sample, toxic: np.ndarray, most: int = 4096) -> np.ndarray:
     """Ids of words and stems that labelled toxic rows have and other labelled rows almost never."""
     known = ~np.isnan(toxic)
-    rows, toxic = [r for r, k in zip(rows, known) if k], toxic[known]
-    if not len(rows) or not toxic.sum():
+    toxic = np.where(known, toxic, 0.0)
+    if not toxic.sum():
         return np.zeros(0, dtype=np.int64)
-    flat = np.concatenate([np.unique(r[r > RESERVED]) for r in rows])
-    owner = np.repeat(toxic, [len(np.unique(r[r > RESERVED])) for r in rows])
-    ids, inverse = np.unique(flat, return_inverse=True)
-    bad, seen = np.bincount(inverse, owner), np.bincount(inverse)
+    given = known[sample.row] & (sample.ids[sample.index] > RESERVED)
+    ids, index, owner = sample.ids, sample.index[given], toxic[sample.row[given]]
+    toxic = toxic[known]
+    bad, seen = np.bincount(index, owner, len(ids)), np.bincount(index, minlength=len(ids))
     rate, other = bad / toxic.sum(), (seen - bad + 0.1) / (len(toxic) - toxic.sum() + 1)
     # So many toxic rows that chance alone would give about twenty such words of all.
     share = np.clip(toxic.mean(), 1e-3, 0.5)
-    least = max(2, int(np.ceil(np.log(max(len(ids) / 20, 1)) / np.log(1 / share))))
+    least = max(2, int(np.ceil(np.log(max((seen > 0).sum() / 20, 1)) / np.log(1 / share))))
     ok = np.flatnonzero((bad >= least) & (rate >= 25 * other))
     return np.sort(ids[ok[np.argsort(-bad[ok], kind="stable")[:most]]])
 
@@ -260,7 +276,7 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, max_labelled: int,
     return first.unionByName(other.withColumns({"quality": F.lit(None).cast("double"), "toxic": F.lit(None).cast("double")}))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 4000, max_unlabelled: int = 1000, max_features: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 3500, max_unlabelled: int = 500, max_features: int = 20_000) -> Model:
     """The model of docs; labels(doc_id, quality 0/1, toxic 0/1) may be empty."""
     spark = docs.sparkSession
     few = F.broadcast(_sample(docs, labels, doc_id, max_labelled, max_unlabelled))
@@ -288,7 +304,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     raw = [np.frombuffer(b, dtype="<i4") for b in sample.column("features").to_pylist()]
     times = [np.frombuffer(b, dtype="<u2").astype(float) for b in sample.column("times").to_pylist()]
     dense_rows = [dict(zip((*DENSE, "unlike"), m)) for m in sample.column("measures").to_pylist()]
-    lexicon = learn_lexicon(raw, toxic)
+    del sample
+    features_of = Sample.of(raw)
+    lexicon = learn_lexicon(features_of, toxic).astype(np.int64)
     model = Model(lexicon=lexicon)
     held = spark.sparkContext.broadcast(model)
     curated = F.broadcast(few.select(TMP + "id", "quality", "toxic"))
@@ -322,7 +340,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             m = {**m, "words": float(times[i] @ known[:, 0]), "stems": float(times[i] @ (known[:, 1] | known[:, 2]))}
             label = (quality, toxic)[k][i]
             target[i] = model.posteriors[fault].get(votes(fault, m, None if np.isnan(label) else abs(label - (k == 0))), 0.0)
-        found.append(train([f[f != RESERVED] for f in raw], target, max_features))
+        found.append(train(features_of, target, max_features))
     ids = np.union1d(found[0][0], found[1][0])
     weights = np.zeros((len(ids), 2))
     for k, (own_ids, w, b) in enumerate(found):
