@@ -15,7 +15,7 @@ from emberline.functions.values import rounded
 from emberline.tables import materialize
 
 #: Search radii in metres; the last one reaches around the globe.
-RADII = (5_000.0, 100_000.0, 1_000_000.0, 20_100_000.0)
+RADII = (100_000.0, 400_000.0, 2_000_000.0, 20_100_000.0)
 
 
 def with_extent(facilities: DataFrame) -> DataFrame:
@@ -59,10 +59,11 @@ def nearest_facility(hotspots: DataFrame, facilities: DataFrame, max_distance_m:
     """
     sites = with_extent(facilities).filter("flat IS NOT NULL AND flon IS NOT NULL")
     if max_distance_m is not None:
-        found = _nearest_within(hotspots, sites, max_distance_m)
+        found = _nearest_within(hotspots.repartition("id"), sites, max_distance_m)
     else:
         found = None
-        rest = places = hotspots.select("id", "latitude", "longitude")
+        # By id first: with the facilities broadcast, the grouping by id then needs no other shuffle.
+        rest = places = hotspots.select("id", "latitude", "longitude").repartition("id")
         for radius in RADII:
             ring = materialize(_nearest_within(rest, sites, radius))
             found = ring if found is None else found.unionByName(ring)
@@ -86,7 +87,9 @@ def history_pairs(hotspots: DataFrame, store: DataFrame, radius_m: float) -> Dat
     here = hotspots.select("id", "latitude", "longitude", "acq_date", "dt")
     there = store.select(F.col("id").alias("o_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"), F.col("acq_date").alias("o_date"), F.col("dt").alias("o_dt"), F.col("frp").alias("o_frp"), micro(F.col("frp")).alias("o_micro"), (F.col("daynight") == "N").alias("o_night"))
     near = haversine(F.col("latitude"), F.col("longitude"), F.col("o_lat"), F.col("o_lon")) <= radius_m
-    return cell_join(here, there, radius_m, ("latitude", "longitude"), ("o_lat", "o_lon")).filter((F.col("id") != F.col("o_id")) & (F.col("o_date") >= F.date_sub("acq_date", 30)) & near)
+    # Both sides grow with the store: a shuffled join, whose crowded cells adaptive execution splits.
+    pairs = cell_join(here.hint("merge"), there, radius_m, ("latitude", "longitude"), ("o_lat", "o_lon"))
+    return pairs.filter((F.col("id") != F.col("o_id")) & (F.col("o_date") >= F.date_sub("acq_date", 30)) & near)
 
 
 def history_features(hotspots: DataFrame, store: DataFrame | None = None, cfg: History = History()) -> DataFrame:
