@@ -16,10 +16,10 @@ are taken as equal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm._common import TMP, text_of
+from emberline.llm._common import TMP, materialize, text_of
 
 #: Bits that one text sets inside its word.
 BITS = 3
@@ -63,15 +63,18 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **f
     maybe, unique = flag_possible_repeats(docs.select(doc_id, text), text, **filter_options)
     sha = F.sha2(text_of(text), 256)
     maybe, unique = (x.select(F.col(doc_id).alias("doc_id"), sha.alias("text_sha256")) for x in (maybe, unique))
-    # By (text, id) first: the ids of a very large group are spread before they meet.
-    groups = (
-        maybe.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-        .groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # By (text, id) first: the ids of a very large group are spread before they meet. The groups are
+    # written, so that the join reads plain shuffles and adaptive execution can split a large one.
+    groups = materialize(
+        maybe.groupBy("text_sha256", F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
+        .groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", F.struct("id")).alias("n_keep"))
     )
     joined = maybe.join(groups, "text_sha256")
-    tie = Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id")
-    first = F.row_number().over(tie) == 1
-    found = joined.withColumn("kept", first & F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    is_keep = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    found = joined.filter(~is_keep | (F.col("n_keep") == 1)).withColumn("kept", is_keep)
+    # Rows equal in text and id are alike here, so those of the id that stays come from their count.
+    tied = groups.filter("n_keep > 1").select("text_sha256", F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_keep"))).alias("i"))
+    found = found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").unionByName(tied.select("doc_id", "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "text_sha256"))
     alone = unique.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     return found.select(out).unionByName(alone.select(out))
@@ -82,7 +85,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **f
     columns = docs.columns
     maybe, unique = flag_possible_repeats(docs, text, **filter_options)
     maybe = maybe.withColumn(SHA, F.sha2(text_of(text), 256))
-    keep = (
+    keep = materialize(
         maybe.select(SHA, F.col(doc_id).alias(KEEP)).groupBy(SHA).agg(F.max(KEEP).alias(KEEP))
         .withColumnRenamed(SHA, SHA + "2")
     )
