@@ -220,8 +220,7 @@ def candidate_links(reps: DataFrame, percent: int = 80) -> DataFrame:
     every = reps.select("rep", "n", "prefix").mapInArrow(_prefixes, "hash long, rep long, n int")
     dealt = every.repartition(n_shuffle(reps.sparkSession), "hash").sortWithinPartitions("hash", "n")
     met = materialize(dealt.mapInArrow(_meet(percent), "place long, rep long").distinct())
-    size = met.groupBy("place").agg(F.count("*").alias("size"))
-    cells = into_cells(met.join(size, "place").withColumnRenamed("place", "group"), "rep")
+    cells = into_cells(met.withColumnRenamed("place", "group"), "rep")
     full = cells.join(reps.select("rep", "n", "bitmap"), "rep")
     full = full.repartition(n_shuffle(reps.sparkSession), "group", "cell").sortWithinPartitions("group", "cell", "n", "rep")
     return full.select("group", "cell", "rep", "n", "bitmap").mapInArrow(_tiles(percent), "a long, b long").distinct()
@@ -232,9 +231,12 @@ def into_cells(rows: DataFrame, member: str, most: int = TILE) -> DataFrame:
     meet in a cell and no cell has many more than twice ``most``. Adds cell and left.
 
     A group in s parts has s * (s + 1) / 2 cells, one for each pair of parts; a row goes to s of
-    them. Other groups are one cell.
+    them. Other groups are one cell. The table of large groups, seldom more than a few rows, is
+    written, so that its join is planned by its size.
     """
-    parts = F.ceil(F.col("size") / F.lit(most)).cast("int")
+    large = materialize(rows.groupBy("group").agg(F.count("*").alias("size")).filter(F.col("size") > most))
+    rows = rows.join(large, "group", "left")
+    parts = F.coalesce(F.ceil(F.col("size") / F.lit(most)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64(member), parts).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -370,12 +372,12 @@ def true_links(docs: DataFrame, groups: DataFrame, percent: int = 80, words: int
     Members' texts are read again; the table of members is broadcast up to most_broadcast rows
     (16 bytes each) and joined by shuffle beyond.
     """
-    size = groups.groupBy("component").agg(F.count("*").alias("size"))
-    members = materialize(groups.join(size, "component").select(F.col("component").alias("group"), F.col("node").alias("rep"), "size"))
-    small = members.count() <= most_broadcast
-    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(members) if small else members, "rep")
-    cells = into_cells(rows, "rep").repartition(n_shuffle(docs.sparkSession), "group", "cell").sortWithinPartitions("group", "cell")
-    return cells.select("group", "cell", "rep", "text", "left").mapInArrow(_verify(percent, words), "a long, b long")
+    members = groups.select(F.col("component").alias("group"), F.col("node").alias("rep"))
+    cells = materialize(into_cells(members, "rep"))
+    small = cells.count() <= most_broadcast
+    rows = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(cells) if small else cells, "rep")
+    dealt = rows.repartition(n_shuffle(docs.sparkSession), "group", "cell").sortWithinPartitions("group", "cell")
+    return dealt.select("group", "cell", "rep", "text", "left").mapInArrow(_verify(percent, words), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
