@@ -86,7 +86,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     found = materialize(found.select(KEY, "doc_id", "pair", "start", "end", "h", F.sha2("content", 256).alias("sha"), "content"))
     place = F.struct("doc_id", KEY, "start")
     # Two texts of one SHA-256 would differ in their smallest and largest.
-    groups = (
+    # They are written, so that the join reads plain shuffles and a hot unit's can be split.
+    groups = materialize(
         found.groupBy("h", "sha", "pair").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("content").alias("least"), F.max("content").alias("most"))
         .filter("n > 1 AND least = most").select("h", "sha", "pair", "first")
     )
