@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.tables import materialize  # noqa: F401
+
 #: Words end at space and the five ASCII controls 09-0D, which is what ``bytes.split()`` cuts at.
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Lower case, and every ASCII byte that is neither a digit nor a letter becomes a space.
@@ -44,30 +43,5 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if folder := sc.getConf().get("spark.checkpoint.dir"):
-        return folder
-    if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
-        return held.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage, survives lost executors, and is computed once however often it is
-    read. The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/emberline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
