@@ -267,8 +267,12 @@ def learn_weights(cells: list[tuple[int, float, list[float]]], order: int, round
     return weights
 
 
-def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 400_000) -> DataFrame:
-    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, chunk_tokens: int = 400_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+    """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    A task holds one chunk, or the distinct keys that all chunks have in one bucket (at most as many
+    as bucket_tokens tokens have); larger buckets make fewer messages between the two.
+    """
     spark = docs.sparkSession
     table = chunks(docs, chunk_tokens, doc_id, text)
 
@@ -281,7 +285,7 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
 
     total = table.select("deleted", "folds", "lengths").mapInArrow(sizes, "tokens long, n long, kept long").agg(F.sum("tokens"), F.sum("n"), F.sum("kept")).first()
     tokens, n, n_kept = (x or 0 for x in total)
-    buckets = max(n_shuffle(spark), -(-tokens // chunk_tokens))
+    buckets = max(n_shuffle(spark), -(-tokens // bucket_tokens))
     asked = table.select("chunk", "deleted", "folds", "lengths", "words", "tokens").mapInArrow(_requests(order, buckets), "bucket int, chunk long, deleted boolean, keys binary, counts binary")
     answers = materialize(asked.groupBy("bucket").applyInArrow(_answer, "bucket int, chunk long, deleted boolean, every binary, kept binary, types long, kept_types long"))
     v, v_kept = (x or 0 for x in answers.agg(F.sum("types"), F.sum("kept_types")).first())
