@@ -10,7 +10,14 @@ A passage seldom begins at a boundary. So the pairs of neighbouring lines are co
 removed chunk takes with it the lines joined to it by a chain of repeated pairs, which are compared
 byte by byte too.
 
-1. Every unit (chunk or pair) is hashed; only hashes are shuffled and counted.
+And a passage may hold no whole chunk. So, where ``passage_words`` is given, the lines of any passage of ``passage_words`` words or more
+that occurs before go as well, whatever its chunks. Its units are determined by content: from each line
+the shortest run of lines ahead that has so many words, and the shortest one back. A repeated passage
+is covered by such runs that lie inside it, and only a repeated passage has repeated runs. Runs
+of one line of ``long_words`` are chunks, runs of two lines are pairs; a run has ``passage_words`` lines
+at most, since an empty line counts as a word.
+
+1. Every unit (chunk, pair or run) is hashed; only hashes are shuffled and counted.
 2. Hashes seen twice make a Bloom filter of ``bits_per_hash`` bits each, broadcast up to
    ``max_words`` words (16 bytes each), joined by shuffle beyond.
 3. The texts are read again where they lie; only units that pass the filter move, grouped by hash
@@ -33,6 +40,8 @@ from emberline.llm._common import TMP, materialize
 from emberline.llm.exact_dedup import BITS, _bits, filter_words
 
 WINDOW = 2
+#: Kinds of units; a pair of passage_words words or more is a run too.
+CHUNK, PAIR, RUN, PAIR_RUN = range(4)
 KEY, TEXT, GONE = TMP + "key", TMP + "text", TMP + "gone"
 
 
@@ -41,8 +50,33 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
-def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, long_words: int, min_words: int, with_text: bool) -> DataFrame:
-    """(KEY, doc_id, pair, start, n, h[, content]) of every chunk to be considered and every pair."""
+def _runs(passage_words: int, long_words: int) -> list[Column]:
+    """Arrays of units, from the columns words and last: the runs ahead, those back and lines that are one alone."""
+    at = lambda column, i: F.get(F.col(column), i)
+    every = F.sequence(F.lit(0), F.col("last"))
+
+    def reach(words: Column) -> Column:
+        """How many of the words' lines it takes to passage_words, and their words."""
+        return F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(0).alias("total")), lambda s, x: F.when(s["total"] < passage_words, F.struct((s["n"] + 1).alias("n"), (s["total"] + x).alias("total"))).otherwise(s))
+
+    def runs(next_to, words_from, start, end, more) -> Column:
+        # Most lines reach it alone or with their neighbour: nothing is added up for them.
+        short = F.filter(every, lambda i: at("words", i) + F.coalesce(at("words", next_to(i)), F.lit(0)) < passage_words)
+        reached = F.transform(short, lambda i: F.struct(i.alias("i"), reach(words_from(i)).alias("r")))
+        reached = F.filter(reached, lambda x: (x["r"]["total"] >= passage_words) & more(x))
+        return F.transform(reached, lambda x: F.struct(F.lit(RUN).alias("kind"), start(x).alias("start"), end(x).alias("end")))
+
+    ahead = runs(lambda i: i + 1, lambda i: F.slice("words", i + 1, passage_words), lambda x: x["i"], lambda x: x["i"] + x["r"]["n"] - 1, lambda x: F.lit(True))
+    # A run back that is the shortest ahead too is there already.
+    longer = lambda x: x["r"]["total"] - at("words", x["i"]) >= passage_words
+    first = lambda i: F.greatest(i - (passage_words - 1), F.lit(0))
+    back = runs(lambda i: F.when(i > 0, i - 1), lambda i: F.reverse(F.slice("words", first(i) + 1, i - first(i) + 1)), lambda x: x["i"] - x["r"]["n"] + 1, lambda x: x["i"], longer)
+    alone = F.transform(F.filter(every, lambda i: (at("words", i) >= passage_words) & (at("words", i) < long_words)), lambda i: F.struct(F.lit(RUN).alias("kind"), i.alias("start"), i.alias("end")))
+    return [ahead, back, alone]
+
+
+def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, long_words: int, min_words: int, passage_words: int | None, with_text: bool) -> DataFrame:
+    """(KEY, doc_id, kind, start, end, h[, content]) of every chunk to be considered, every pair and every run."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(TEXT)).filter(F.col(TEXT).isNotNull())
     base = base.select("doc_id", F.xxhash64("doc_id", TEXT).alias(KEY), F.split(TEXT, "\n").alias("lines"))
     base = base.withColumns({"hashes": F.transform("lines", lambda x: F.xxhash64(x)), "words": F.transform("lines", _words), "last": F.size("lines") - 1})
@@ -54,22 +88,25 @@ def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, long_words
         return (i == F.col("last")) | long_here | (F.pmod(rolled, F.lit(divisor)) == 0)
 
     base = base.withColumn("ends", F.filter(F.sequence(F.lit(0), F.col("last")), ends))
-    chunks = F.transform("ends", lambda e, k: F.struct(F.lit(False).alias("pair"), F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1).alias("start"), e.alias("end")))
+    chunks = F.transform("ends", lambda e, k: F.struct(F.lit(CHUNK).alias("kind"), F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1).alias("start"), e.alias("end")))
     total = lambda c: F.aggregate(F.slice("words", c["start"] + 1, c["end"] - c["start"] + 1), F.lit(0), lambda s, x: s + x)
     chunks = F.filter(chunks, lambda c: (total(c) >= min_words) & ((c["end"] > c["start"]) | (at("words", c["end"]) >= long_words)))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("last"), F.lit(1))), lambda i: F.struct(F.lit(True).alias("pair"), (i - 1).alias("start"), i.alias("end")))
-    pairs = F.when(F.col("last") > 0, pairs).otherwise(F.array().cast("array<struct<pair:boolean,start:int,end:int>>"))
-    units = base.select(KEY, "doc_id", "lines", "hashes", F.explode(F.concat(chunks, pairs)).alias("u"))
+    enough = lambda i: at("words", i - 1) + at("words", i) >= passage_words if passage_words else F.lit(False)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("last"), F.lit(1))), lambda i: F.struct(F.when(enough(i), PAIR_RUN).otherwise(PAIR).alias("kind"), (i - 1).alias("start"), i.alias("end")))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    pairs = F.when(F.col("last") > 0, pairs).otherwise(none)
+    parts = [chunks, pairs] + (_runs(passage_words, long_words) if passage_words else [])
+    units = base.select(KEY, "doc_id", "lines", "hashes", F.explode(F.concat(*parts)).alias("u"))
     own = F.slice("hashes", F.col("u.start") + 1, F.col("u.end") - F.col("u.start") + 1)
-    out = [KEY, "doc_id", F.col("u.pair").alias("pair"), F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.xxhash64("u.pair", own).alias("h")]
+    out = [KEY, "doc_id", F.col("u.kind").alias("kind"), F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.xxhash64("u.kind", own).alias("h")]
     if with_text:
         out.append(F.array_join(F.slice("lines", F.col("u.start") + 1, F.col("u.end") - F.col("u.start") + 1), "\n").alias("content"))
     return units.select(out)
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 2, long_words: int = 50, min_words: int = 12, bits_per_hash: int = 16, max_words: int = 1 << 21) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 2, long_words: int = 50, min_words: int = 12, passage_words: int | None = None, bits_per_hash: int = 16, max_words: int = 1 << 21) -> DataFrame:
     """(KEY, GONE: the sorted line numbers that go) of the documents that lose lines."""
-    options = (doc_id, text, divisor, long_words, min_words)
+    options = (doc_id, text, divisor, long_words, min_words, passage_words)
     twice = materialize(line_units(docs, *options, False).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     words = filter_words(twice.count(), bits_per_hash)
 
@@ -83,24 +120,26 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     probe = line_units(docs, *options, True).withColumn("word", F.pmod("h", F.lit(words)))
     found = probe.join(F.broadcast(bits) if words <= max_words else bits, "word")
     found = found.filter(F.col("bits").bitwiseAND(mask(F.col("h"))) == mask(F.col("h")))
-    found = materialize(found.select(KEY, "doc_id", "pair", "start", "end", "h", F.sha2("content", 256).alias("sha"), "content"))
+    found = materialize(found.select(KEY, "doc_id", "kind", "start", "end", "h", F.sha2("content", 256).alias("sha"), "content"))
     place = F.struct("doc_id", KEY, "start")
     # Two texts of one SHA-256 would differ in their smallest and largest.
     # They are written, so that the join reads plain shuffles and a hot unit's can be split.
     groups = materialize(
-        found.groupBy("h", "sha", "pair").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("content").alias("least"), F.max("content").alias("most"))
-        .filter("n > 1 AND least = most").select("h", "sha", "pair", "first")
+        found.groupBy("h", "sha", "kind").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("content").alias("least"), F.max("content").alias("most"))
+        .filter("n > 1 AND least = most").select("h", "sha", "kind", "first")
     )
-    later = found.drop("content").join(groups, ["h", "sha", "pair"]).filter(place != F.col("first"))
-    later = later.select(KEY, "pair", "start", "end").distinct()
-    # A line is removed with its chunk; so is a chain of lines joined by repeated pairs.
-    chunk_lines = later.filter("NOT pair").select(KEY, F.explode(F.sequence("start", "end")).alias("line"), F.lit(1).alias("own"), F.lit(0).alias("joined"))
-    pair_lines = later.filter("pair").select(KEY, F.explode(F.array(F.struct(F.col("start").alias("line"), F.lit(0).alias("joined")), F.struct(F.col("end").alias("line"), F.lit(1).alias("joined")))).alias("x")).select(KEY, "x.line", F.lit(0).alias("own"), "x.joined")
-    per_line = chunk_lines.unionByName(pair_lines).groupBy(KEY, "line").agg(F.max("own").alias("own"), F.max("joined").alias("joined"))
+    later = found.drop("content").join(groups, ["h", "sha", "kind"]).filter(place != F.col("first"))
+    later = later.select(KEY, "kind", "start", "end").distinct()
+    # A line is removed with its chunk; so is a chain of lines joined by repeated pairs. A run goes by itself.
+    whole = F.lit(0).alias("whole")
+    chunk_lines = later.filter(F.col("kind") == CHUNK).select(KEY, F.explode(F.sequence("start", "end")).alias("line"), F.lit(1).alias("own"), F.lit(0).alias("joined"), whole)
+    run_lines = later.filter(F.col("kind").isin(RUN, PAIR_RUN)).select(KEY, F.explode(F.sequence("start", "end")).alias("line"), F.lit(0).alias("own"), F.lit(0).alias("joined"), F.lit(1).alias("whole"))
+    pair_lines = later.filter(F.col("kind").isin(PAIR, PAIR_RUN)).select(KEY, F.explode(F.array(F.struct(F.col("start").alias("line"), F.lit(0).alias("joined")), F.struct(F.col("end").alias("line"), F.lit(1).alias("joined")))).alias("x")).select(KEY, "x.line", F.lit(0).alias("own"), "x.joined", whole)
+    per_line = chunk_lines.unionByName(pair_lines).unionByName(run_lines).groupBy(KEY, "line").agg(F.max("own").alias("own"), F.max("joined").alias("joined"), F.max("whole").alias("whole"))
     # One document's lines at a time.
     run = F.sum(1 - F.col("joined")).over(Window.partitionBy(KEY).orderBy("line"))
     chained = per_line.withColumn("run", run)
-    gone = chained.withColumn("any", F.max("own").over(Window.partitionBy(KEY, "run"))).filter("any = 1")
+    gone = chained.withColumn("any", F.max("own").over(Window.partitionBy(KEY, "run"))).filter("any = 1 OR whole = 1")
     return materialize(gone.groupBy(KEY).agg(F.array_sort(F.collect_list("line")).alias(GONE)))
 
 

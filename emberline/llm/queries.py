@@ -47,7 +47,7 @@ def op8_exact_dedup(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"), passage_words=50)
 
 
 def op10_html_extraction(spark, sf_dir):

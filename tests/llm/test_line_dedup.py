@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 from emberline.llm import line_dedup as op
+from emberline.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, h string, content int"
 
@@ -107,3 +108,49 @@ def test_odd_cases(spark):
     assert by[6].n_removed == 1 and by[5].n_removed == 0 and by[1].n_lines == 0 and by[None].n_removed == 0
     assert op.dedup_lines(df).columns == df.columns and op.dedup_lines(df).filter("text IS NULL").count() == 1
     assert op.line_digest(df.limit(0)).collect() == [] == op.dedup_lines(df.limit(0)).collect()
+
+
+def passages(rows, least=50):
+    """By (doc_id, text), the lines inside any passage of so many words that stands earlier too: every passage is tried."""
+    where, inside = defaultdict(list), defaultdict(set)
+    for d, t in rows:
+        own = t.split("\n")
+        for a in range(len(own)):
+            for b in range(a + 1, min(a + 51, len(own) + 1)):
+                if sum(x.count(" ") + 1 for x in own[a:b]) >= least:
+                    where[tuple(own[a:b])].append((d, a, b))
+    for places in where.values():
+        for d, a, b in sorted(places)[1:]:
+            inside[d].update(range(a, b))
+    return inside
+
+
+def test_short_lines_that_make_a_long_passage(spark):
+    rng = random.Random(5)
+    count = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(count)}" for _ in range(n))
+    shared = [[line(n) for n in sizes] for sizes in ((26, 26), (25, 26), (40, 12, 5), (5, 12, 40), (17, 17, 17), (13, 13, 13, 13), (11, 11, 11, 11, 11), (10, 10, 10, 10, 9), (49,), (20, 20))]
+    often = [line(3) for _ in range(4)] + [""]
+    rows = []
+    for i in range(150):
+        own = [line(rng.randrange(2, 30)) for _ in range(rng.randrange(1, 4))]
+        for passage in rng.sample(shared, 2):
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = passage
+        own += [rng.choice(often) for _ in range(rng.randrange(0, 6))]
+        rows.append((i, "\n".join(own)))
+    # Lines and pairs of lines of other texts, no passage of them: what is stitched together stays.
+    stitched = [x for k in range(16) for x in (often[k % 4], "")]
+    rows.append((200, "\n".join(stitched[:16])))
+    inside = passages(rows)
+    found = {r.doc_id: set(map(int, filter(None, r.removed.split(",")))) for r in op.line_digest(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), passage_words=50).collect()}
+    by_chunks = {r[0]: set(map(int, filter(None, r[3].split(",")))) for r in brute(spark, rows)}
+    assert found == {d: by_chunks[d] | inside[d] for d, _ in rows}
+    assert sum(map(len, inside.values())) > 300 and any(inside[d] - by_chunks[d] for d, _ in rows)
+
+
+def test_the_query_leaves_no_long_passage_twice(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is not None]
+    inside = passages(rows)
+    found = {r.doc_id: set(map(int, filter(None, r.removed.split(",")))) for r in queries()["op9_line_dedup"](spark, sf_dir).collect()}
+    assert any(inside.values()) and all(inside[d] <= found[d] for d, _ in rows)
