@@ -8,11 +8,13 @@ faulty and on sound ones; it gives each pattern a posterior. The posteriors of a
 (``max_labelled`` labelled rows and ``max_unlabelled`` others, the smallest hashes of doc_id) train
 a logistic scorer over hashed word features, which then judges every document.
 
-The curated labels are labellers too: they abstain where a document has none.
+The curated labels are labellers too, in the counts of all documents: they abstain where a document
+has none. Their votes join the documents' by id after the texts are read.
 
 Bounds: the sample and its distinct word features go to the driver (about 6 KB a document); vote
 patterns number at most 3 ** labellers; the scorer has at most ``max_features`` weights and is
-broadcast. The judging pass reads each document where it lies: nothing is shuffled.
+broadcast. The judging pass reads each document where it lies: nothing is shuffled. The voting pass
+shuffles ids and vote patterns, to meet the labels.
 
 Defined cases: null and empty texts have no words, so no labeller votes 1 and they are accepted;
 repeated rows are judged each; repeated labels count once, the larger value winning; empty or
@@ -266,9 +268,14 @@ def learn_lexicon(sample: Sample, toxic: np.ndarray, most: int = 4096) -> np.nda
     return np.sort(ids[ok[np.argsort(-bad[ok], kind="stable")[:most]]])
 
 
+def _marked(labels: DataFrame) -> DataFrame:
+    """(id, quality, toxic): one row a labelled id."""
+    return labels.groupBy(F.col("doc_id").cast("long").alias(TMP + "id")).agg(F.max("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic")).filter(F.col(TMP + "id").isNotNull())
+
+
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, max_labelled: int, max_unlabelled: int) -> DataFrame:
     """(id, quality, toxic) of the sampled documents: a bounded table."""
-    marked = labels.groupBy(F.col("doc_id").cast("long").alias(TMP + "id")).agg(F.max("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic")).filter(F.col(TMP + "id").isNotNull())
+    marked = _marked(labels)
     ids = docs.select(F.col(doc_id).cast("long").alias(TMP + "id")).filter(F.col(TMP + "id").isNotNull()).distinct()
     order = [F.xxhash64(TMP + "id"), F.col(TMP + "id")]
     first = marked.join(ids, TMP + "id", "left_semi").orderBy(*order).limit(max_labelled)
@@ -309,23 +316,26 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     lexicon = learn_lexicon(features_of, toxic).astype(np.int64)
     model = Model(lexicon=lexicon)
     held = spark.sparkContext.broadcast(model)
-    curated = F.broadcast(few.select(TMP + "id", "quality", "toxic"))
 
     def vote(batches: Iterator[pa.RecordBatch]):
         table = WordTable(held.value.rows())
         for batch in batches:
-            q, t = ([None if v is None else v for v in batch.column(k).to_pylist()] for k in (1, 2))
-            found = held.value.judge(batch.column(0).to_pylist(), table)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([votes("junk", m, None if a is None else 1 - a) for (_, m), a in zip(found, q)], pa.string()), pa.array([votes("toxic", m, b) for (_, m), b in zip(found, t)], pa.string())], names=list(FAULTS)
-            )
-
-    every = docs.select(F.col(doc_id).cast("long").alias(TMP + "id"), F.col(text).alias("text")).join(curated, TMP + "id", "left").select("text", "quality", "toxic")
-    counted = every.mapInArrow(vote, "junk string, toxic string").groupBy("junk", "toxic").count().collect()
+            found = held.value.judge(batch.column(1).to_pylist(), table)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([votes(f, m, None) for _, m in found], pa.string()) for f in FAULTS)], names=[TMP + "id", *FAULTS])
+
+    every = docs.select(F.col(doc_id).cast("long").alias(TMP + "id"), F.col(text).alias("text"))
+    # Counted before the join, rows without an id are few, however many they were.
+    voted = every.mapInArrow(vote, f"{TMP}id long, junk string, toxic string").groupBy(TMP + "id", *FAULTS).count()
+    says = lambda v: F.when(v.isNull() | F.isnan(v), "-").when(v >= 0.5, "1").otherwise("0")
+    voted = voted.join(_marked(labels).withColumnRenamed("toxic", "toxic_label"), TMP + "id", "left").select(*FAULTS, "count", says(1 - F.col("quality")).alias("curated_junk"), says(F.col("toxic_label")).alias("curated_toxic"))
+    counted = voted.groupBy(*FAULTS, "curated_junk", "curated_toxic").agg(F.sum("count").alias("count")).collect()
     for k, fault in enumerate(FAULTS):
         counts: dict[str, float] = {}
         for row in counted:
-            counts[row[fault]] = counts.get(row[fault], 0) + row["count"]
+            # The curated labeller is the last. A pattern without its vote has a posterior even where every such document is labelled.
+            pattern = row[fault][:-1] + row[f"curated_{fault}"]
+            counts[pattern] = counts.get(pattern, 0) + row["count"]
+            counts.setdefault(row[fault], 0)
         post, share, accuracy = estimate(counts, [below == "-" for *_, below in LABELLERS[fault]])
         model.posteriors[fault] = post
         model.accuracies[fault] = {"share": share, **{name: a for (name, *_), a in zip(LABELLERS[fault], accuracy)}}

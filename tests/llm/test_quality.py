@@ -85,3 +85,24 @@ def test_odd_cases(spark, learned):
     for some in (df, df.limit(0)):
         again = op.learn(some, labels)
         assert len(op.score(df, again).collect()) == 6
+
+
+def test_every_label_votes_however_small_the_sample(spark):
+    docs, labels = corpus(400, 4)
+    df = spark.createDataFrame([(*d, "x", 7) for d in docs] + [(None, "no id", "x", 7)] * 3, SCHEMA)
+    for marks in (labels, [x for x in labels if x[0] % 2]):
+        model = op.learn(df, spark.createDataFrame(marks + marks[:5], LABELS), max_labelled=20, max_unlabelled=5)
+        curated, table = {d: (1 - q, t) for d, q, t in marks}, op.WordTable(model.rows())
+        for k, fault in enumerate(op.FAULTS):
+            counts = {}
+            for r in df.collect():
+                measures = model.judge([r.text], table)[0][1]
+                vote = curated[r.doc_id][k] if r.doc_id in curated else None
+                pattern = op.votes(fault, measures, vote)
+                counts[pattern] = counts.get(pattern, 0) + 1
+                counts.setdefault(op.votes(fault, measures, None), 0)
+            post, share, _ = op.estimate(counts, [below == "-" for *_, below in op.LABELLERS[fault]])
+            assert model.posteriors[fault].keys() == post.keys()
+            assert all(abs(model.posteriors[fault][p] - v) < 1e-6 for p, v in post.items()) and abs(model.accuracies[fault]["share"] - share) < 1e-6
+            # Where all are labelled, a document's own votes still have a posterior.
+            assert all(op.votes(fault, model.judge([t], table)[0][1], None) in post for _, t in docs)
