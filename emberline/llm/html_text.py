@@ -5,7 +5,9 @@ to its parent and, halved, to its grandparent; an element's points are discounte
 its text that stands in links. The element with the most points is the container; siblings of it
 that score well, or are good paragraphs, are kept with it. Within what is kept, furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
-is left out, and each block of text becomes one line.
+is left out, and each block of text becomes one line. Beside an article or main element, headings and
+further articles stay. A class word does not make furniture of an element with most of the page's
+prose, nor of one around main or around the article with the most prose.
 
 Defined cases: a null or empty page has empty text; text outside any block is a block of its own;
 unclosed and stray tags are mended as browsers do for paragraphs, list items and table cells; a
@@ -62,12 +64,12 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW
 class Node:
     """An element: its name, attributes that matter, and children (elements and strings)."""
 
-    __slots__ = ("name", "names", "role", "parts", "parent", "points", "hidden")
+    __slots__ = ("name", "names", "role", "parts", "parent", "points", "hidden", "content")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         self.name, self.parent, self.parts, self.points = name, parent, [], 0.0
         self.names = self.role = ""
-        self.hidden = False
+        self.hidden = self.content = False
         if attributes and attributes.strip():
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
@@ -83,9 +85,16 @@ class Node:
             return self.hidden
         if self.name == "article":
             return bool(self.names and COMMENT_WORDS.search(self.names))
-        if self.name in DROP or self.role in FURNITURE_ROLES or self.names and FURNITURE_WORDS.search(self.names):
+        if self.by_nature() or self.named():
             return True
-        return (self.name == "header" or bool(self.names and HEADER_WORDS.search(self.names))) and not self._of_article()
+        return (self.name == "header" or bool(self.names and not self.content and HEADER_WORDS.search(self.names))) and not self._of_article()
+
+    def by_nature(self) -> bool:
+        """Furniture whatever its class."""
+        return self.hidden or self.name in DROP or self.role in FURNITURE_ROLES and self.name not in ("html", "body", "main", "article")
+
+    def named(self) -> bool:
+        return bool(self.names and not self.content and FURNITURE_WORDS.search(self.names))
 
     def _of_article(self) -> bool:
         """A header inside an article carries its heading."""
@@ -174,18 +183,51 @@ def _texts(node: Node) -> tuple[str, int]:
     return "".join(out), linked
 
 
-def _own_text(node: Node) -> str:
+def _own_text(node: Node, links: bool = True) -> str:
     """Text of a paragraph, without blocks inside it."""
     out, todo = [], list(reversed(node.parts))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-        elif x.name not in BLOCK and not x.furniture():
+        elif x.name not in BLOCK and (links or x.name != "a") and not x.furniture():
             todo.extend(reversed(x.parts))
     return _SPACE.sub(" ", entities.unescape("".join(out))).strip()
 
 
+def mark_content(root: Node, comments: bool = False) -> None:
+    """Mark the elements that no class word makes furniture; with comments, those named after comments too."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(p for p in reversed(x.parts) if isinstance(p, Node) and not p.by_nature())
+    prose, seen = {}, {id(root): True}
+    for x in order:
+        text = _own_text(x, False) if x.name in PARAGRAPHS or x.name in ("div", "section", "article", "main", "body") else ""
+        prose[id(x)] = 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 else 0.0
+        if x is not root:
+            seen[id(x)] = seen[id(x.parent)] and not x.furniture()
+    for x in reversed(order):
+        if x is not root:
+            prose[id(x.parent)] += prose[id(x)]
+    total = prose[id(root)]
+    if not total:
+        return
+    around = [x for x in order if x.name == "main"][:1]
+    articles = [x for x in order if x.name == "article" and not x.furniture() and prose[id(x)] >= total / 4]
+    # Where an article stands free, others in furniture are teasers or replies.
+    if articles and not any(seen[id(x)] for x in articles):
+        around.append(max(articles, key=lambda x: prose[id(x)]))
+    for x in around:
+        while x is not None:
+            x.content = True
+            x = x.parent
+    for x in order:
+        if prose[id(x)] > total / 2 and (comments or not (x.names and COMMENT_WORDS.search(x.names))):
+            x.content = True
+
+
 def container(root: Node) -> Node | None:
     """The element with the most points after the discount for links."""
     scored: list[Node] = []
@@ -216,17 +258,29 @@ def container(root: Node) -> Node | None:
 
 def kept(best: Node) -> list[Node | str]:
     """The container and the siblings that belong to it, in page order."""
-    if best.parent is None or best.name in ("article", "main", "body"):
+    if best.parent is None or best.name == "body":
         return [best]
+    whole = best.name in ("article", "main")
     out: list[Node | str] = []
+    held: list[Node | str] = []
+    passed = False
     for x in best.parent.parts:
         if x is best:
             out.append(x)
+            passed = True
         elif isinstance(x, Node) and not x.furniture():
             text, linked = _texts(x)
             share = linked / max(1, len(text))
-            if x.points >= max(10, best.points / 5) or x.name in HEADINGS and text.strip() or x.name in PARAGRAPHS and share < 0.25 and (len(text) > 80 or text.rstrip().endswith((".", "!", "?"))):
-                out.append(x)
+            if whole and passed and x.name in HEADINGS:
+                held.append(x)  # it stays with what follows it
+                continue
+            if whole and x.name == "article":
+                good = x.points > 0 and share < 0.25
+            else:
+                good = x.points >= max(10, best.points / 5) or x.name in HEADINGS and text.strip() or x.name in PARAGRAPHS and share < 0.25 and (len(text) > 80 or text.rstrip().endswith((".", "!", "?")))
+            if good:
+                out += [*held, x]
+            held.clear()
     return out
 
 
@@ -260,9 +314,13 @@ def blocks(nodes: list[Node | str]) -> list[str]:
 
 
 def main_text(page: str | None) -> str:
-    root = parse(page or "")
-    best = container(root)
-    return "\n".join(blocks([root] if best is None else kept(best)))
+    for comments in (False, True):
+        root = parse(page or "")
+        mark_content(root, comments)
+        best = container(root)
+        if found := blocks([root] if best is None else kept(best)):
+            break
+    return "\n".join(found)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

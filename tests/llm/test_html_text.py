@@ -57,3 +57,20 @@ def test_odd_cases(spark):
 def test_any_page_is_read(parts):
     text = op.main_text("".join(parts))
     assert all(line == line.strip() and line for line in text.split("\n")) or text == ""
+
+
+def test_headings_and_parts_beside_an_article():
+    teaser = f"<article><p><a href=/x>{LONG}</a></p></article>"
+    page = f"<main><h1>Title</h1><article><p>{LONG}</p><p>{LONG}</p></article><h2>Part two</h2><article><p>{LONG}</p></article><h2>More news</h2>{teaser}</main>"
+    assert op.main_text(page) == "\n".join(["Title", LONG, LONG, "Part two", LONG])
+    assert op.main_text(f"<body><h1>Title</h1><main><p>{LONG}</p><p>{LONG}</p></main><div class=sidebar><p>{LONG}</p></div>") == f"Title\n{LONG}\n{LONG}"
+
+
+def test_class_words_around_the_content_do_not_drop_it():
+    story = f"<p>{LONG}</p><p>{LONG}</p><div class=sidebar><p>{LONG}</p></div>"
+    for names in ("content no-sidebar", "with-sidebar", "related-story", "side-by-side", "with-header", "has-comments"):
+        for inner in (story, f"<article>{story}</article>", f"<main>{story}</main>"):
+            assert op.main_text(f"<body><div class='{names}'>{inner}</div><footer>{LONG}</footer>") == f"{LONG}\n{LONG}", (names, inner)
+    reply = f"<article><p>{LONG}</p></article>"
+    page = f"<body><article><p>{LONG}</p><p>{LONG}</p></article><div class=comments>{reply * 3}</div><div class=related>{reply}</div>"
+    assert op.main_text(page) == f"{LONG}\n{LONG}"
