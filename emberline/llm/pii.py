@@ -48,7 +48,17 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+# Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
@@ -80,6 +90,25 @@ def mod97(account: str) -> bool:
     return rest == 1
 
 
+def accounts(text: str) -> Iterator[tuple[int, int]]:
+    """IBANs: from each start the country's length or, of an unknown country, the longest end at a token's border that passes."""
+    floor = 0
+    for m in _IBAN.finditer(text):
+        if m.start() < floor:
+            continue
+        length, account, ends = _IBAN_LENGTH.get(m[0][:2]), m[0], []
+        for place in range(m.start(1), m.end(1)):
+            if text[place] == " ":
+                continue
+            account += text[place]
+            after = text[place + 1 : place + 2]
+            if len(account) >= 15 and (length is None or len(account) == length) and not (after.isascii() and after.isalnum()):
+                ends.append((place + 1, account))
+        floor = next((end for end, found in reversed(ends) if mod97(found)), 0)
+        if floor:
+            yield m.start(), floor
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost matches of local@domain.domain: the local part is the run before each @."""
     floor, at = 0, text.find("@")
@@ -111,9 +140,8 @@ def propose(text: str) -> Iterator[tuple[int, int, str]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(_NOT_DIGITS.sub("", m[0])) <= 15:
                 yield *m.span(), "phone"
-    for m in _IBAN.finditer(text):
-        if 15 <= len(account := m[0].replace(" ", "")) <= 34 and mod97(account):
-            yield *m.span(), "iban"
+    for start, end in accounts(text):
+        yield start, end, "iban"
     for m in _SSN.finditer(text):
         yield *m.span(), "ssn"
 

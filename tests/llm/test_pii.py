@@ -83,3 +83,18 @@ def test_query_columns_and_odd_cases(spark, sf_dir):
     assert sum(r[1] + r[3] + r[4] for r in found) > 3
     clean = op.redact(df)
     assert clean.columns == df.columns and "[EMAIL]" in {r.text for r in clean.filter("doc_id = 9003").collect()}
+
+
+def test_an_account_ends_where_its_country_says():
+    found = lambda t: [t[s.start : s.end] for s in op.find_spans(t) if s.kind == "iban"]
+    german = "DE89 3704 0044 0532 0130 00"
+    for own in (german, german.replace(" ", "")):
+        for before in ("", "IBAN ", "AB12 ", "XX99 "):
+            for after in ("", " EUR 500", " BIC COBADEFF", " 1", ".", " GB82 WEST 1234 5698 7654 32"):
+                assert found(before + own + after)[0] == own
+    assert found(german + " GB82 WEST 1234 5698 7654 32 EUR") == [german, "GB82 WEST 1234 5698 7654 32"]
+    assert found("DE89370400440532013001 EUR 500") == [] == found("DE89370400440532013000EUR")
+    # ZZ is no country: the rest by 97 alone tells.
+    check = next(k for k in range(2, 99) if op.mod97(f"ZZ{k:02}1234567890123"))
+    assert found(f"ZZ{check:02}1234567890123 EUR 500 Q") == [f"ZZ{check:02}1234567890123"]
+    assert found("DE12 " * 60_000) == []
