@@ -4,10 +4,10 @@ Equal texts form a group. Groups are placed longest first; each goes to the shar
 product of its vector (bytes, tokens, rows, each as a share of the whole) with the shard's
 residual capacity is highest, among the shards whose bytes still have room for it.
 
-At scale: a group of more than 1 / heavy_parts of a shard's bytes is *heavy*. There are fewer than
-shards * heavy_parts of them, whatever the corpus; they are placed first, by the driver. A heavy
-group larger than half a shard is split by a hash of the ids, since no placement could balance it
-whole. All other groups are dealt by hash into blocks of about ``block_rows`` rows; each block is
+At scale: a group of more than 1 / heavy_parts of a shard's bytes, tokens or rows is *heavy*. There are
+fewer than 3 * shards * heavy_parts of them, whatever the corpus; they are placed first, by the driver.
+A heavy group larger than half a shard in any of the three is split into about
+sixteenths of a shard by a hash of the ids, since no placement could balance it whole. All other groups are dealt by hash into blocks of about ``block_rows`` rows; each block is
 placed by one task against its share of what the heavy groups left, so every block is
 balanced by itself and so is the sum. Only ids and sizes are shuffled, never texts.
 
@@ -71,13 +71,15 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     rows = materialize(vectors_of(docs, doc_id, text))
     sums = rows.agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).first()
     whole = np.array([sums[d] or 0 for d in DIMENSIONS], dtype=float)
-    limit = max(1, int(whole[0] / (shards * heavy_parts)))
-    # Fewer than shards * heavy_parts groups can have so many bytes: they fit the driver and a broadcast.
+    limits = {d: max(1, int(w / (shards * heavy_parts))) for d, w in zip(DIMENSIONS, whole)}
+    # Fewer than shards * heavy_parts groups can have so many of each: they fit the driver and a broadcast.
     groups = rows.groupBy("group_a", "group_b").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
-    heavy = groups.filter((F.col("bytes") > limit) & (F.col("rows") > 0)).collect()
-    half = max(1, int(whole[0] / (2 * shards)))
+    heavy = groups.filter((F.col("bytes") > limits["bytes"]) | (F.col("tokens") > limits["tokens"]) | (F.col("rows") > limits["rows"])).collect()
+    half = {d: max(1, int(w / (2 * shards))) for d, w in zip(DIMENSIONS, whole)}
+    # Sixteenths of a shard: halves of a group that holds the rows could not even them out.
+    n_parts = lambda g: max(-(-8 * g[d] // half[d]) for d in DIMENSIONS) if any(g[d] > half[d] for d in DIMENSIONS) else 1
     spark = docs.sparkSession
-    counts = spark.createDataFrame([(g["group_a"], g["group_b"], min(-(-g["bytes"] // half), g["rows"])) for g in heavy], "group_a long, group_b int, parts long")
+    counts = spark.createDataFrame([(g["group_a"], g["group_b"], min(n_parts(g), g["rows"])) for g in heavy], "group_a long, group_b int, parts long")
     keyed = rows.join(F.broadcast(counts), ["group_a", "group_b"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
     is_heavy = F.col("parts").isNotNull()
     # Split by hash, the parts of a group differ a little: what is placed is what they hold.

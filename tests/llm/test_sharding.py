@@ -64,3 +64,12 @@ def test_shards_are_written(spark, tmp_path):
     op.write_shards(frame(spark, rows), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text) for r in back.collect()) == rows and back.select("_shard").distinct().count() == 8
+
+
+def test_a_group_of_many_tiny_texts_is_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    for tiny in (None, "", "ab"):
+        rows = [(i, "w " * int(rng.integers(100, 200)) + str(i)) for i in range(3000)] + [(10_000 + i, tiny) for i in range(1500)]
+        sizes, counts = check(rows, op.assign_shards(frame(spark, rows), block_rows=500).collect())
+        assert max(sizes) - min(sizes) <= 0.02 * np.mean(sizes)
+        assert max(counts) - min(counts) <= 0.1 * np.mean(counts), counts
