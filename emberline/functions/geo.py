@@ -46,7 +46,7 @@ def own_cell(lat: Column, lon: Column, size: float) -> Column:
     return F.xxhash64(*[F.floor(v / size).cast("int") for v in xyz(lat, lon)])
 
 
-def cells_within(lat: Column, lon: Column, reach: Column | float, size: float) -> Column:
+def cells_within(lat: Column, lon: Column, reach: Column | float, size: Column | float) -> Column:
     """Array of the cells that points within ``reach`` metres can lie in."""
     reach = reach if isinstance(reach, Column) else F.lit(float(reach))
     x, y, z = (F.sequence(F.floor((v - reach) / size).cast("int"), F.floor((v + reach) / size).cast("int")) for v in xyz(lat, lon))
@@ -124,17 +124,15 @@ def in_rings(lat: Column, lon: Column, rings: Column) -> Column:
 
 
 def ring_distance(lat: Column, lon: Column, rings: Column) -> Column:
-    """Metres to the nearest edge, in a local flat projection; longitudes wrap."""
-    k = math.pi / 180 * R
+    """Great-circle metres to the nearest edge; its nearest point is found in a local flat projection. Longitudes wrap."""
+    wrap = lambda d: d - 360 * F.round(d / 360)
 
     def to_edge(a: Column, b: Column) -> Column:
-        wrap = lambda d: d - 360 * F.round(d / 360)
         c = F.cos(F.radians(lat))
-        ax, ay = wrap(a["lon"] - lon) * c * k, (a["lat"] - lat) * k
-        bx, by = wrap(b["lon"] - lon) * c * k, (b["lat"] - lat) * k
-        dx, dy = bx - ax, by - ay
+        ax, ay = wrap(a["lon"] - lon) * c, a["lat"] - lat
+        dx, dy = wrap(b["lon"] - a["lon"]) * c, b["lat"] - a["lat"]
         length = dx * dx + dy * dy
         t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
-        return F.sqrt((ax + t * dx) * (ax + t * dx) + (ay + t * dy) * (ay + t * dy))
+        return haversine(lat, lon, a["lat"] + t * dy, a["lon"] + t * wrap(b["lon"] - a["lon"]))
 
     return F.array_min(F.flatten(F.transform(rings, lambda r: F.when(F.size(r) >= 2, _edges(r, to_edge)).otherwise(_edges(F.concat(r, r), to_edge)))))

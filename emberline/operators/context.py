@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,10 @@ def run_row(spark, **values) -> DataFrame:
 
 
 def screen_row(spark, **values) -> DataFrame:
+    """A row for the screening log."""
+    for name in ("percentile_pct", "frp_mw"):
+        if values.get(name) is not None:
+            values[name] = Decimal(str(values[name]))
     return spark.createDataFrame([tuple(values.get(f.name) for f in SCREEN_LOG)], SCREEN_LOG)
 
 

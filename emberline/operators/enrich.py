@@ -6,72 +6,123 @@ flat, flon and, where they have an extent, half_deg (a box) or rings (polygons).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import History
-from emberline.functions.geo import METRES_PER_DEGREE, box_distance, cell_join, haversine, in_box, in_rings, ring_distance
+from emberline.functions.geo import METRES_PER_DEGREE, R, box_distance, cell_join, cells_within, haversine, in_box, in_rings, ring_distance, xyz
 from emberline.functions.values import rounded
-from emberline.tables import materialize
 
-#: Search radii in metres; the last one reaches around the globe.
-RADII = (100_000.0, 400_000.0, 2_000_000.0, 20_100_000.0)
+#: Base cells in metres. The search has levels, each with cells twice as wide as the one before; a cell of the last reaches around the globe.
+BASE = 1250.0
+LEVELS = tuple(4 * BASE * 2**k for k in range(13))
+#: How many base cells wide the groups of detections are that a level searches for at once.
+GROUPED = tuple(max(1, 2**k // 4) for k in range(13))
+
+
+def _bound(k: int) -> float:
+    """Metres within which all facilities lie that can be nearest to a detection of a group of level k.
+
+    A facility in reach of half a cell is at most 1.5 sqrt(3) cells away, by the chord, and its extent a quarter of a cell.
+    """
+    size = LEVELS[k]
+    chord = min(1.0, 1.5 * 3**0.5 * size / (2 * R))
+    return 2 * R * math.asin(chord) + size / 4 + 2 * _diameter(k) + 1
+
+
+def _diameter(k: int) -> float:
+    """Metres between two detections of a group of level k, at most."""
+    return 2 * R * math.asin(min(1.0, 3**0.5 * GROUPED[k] * BASE / (2 * R)))
 
 
 def with_extent(facilities: DataFrame) -> DataFrame:
-    """Adds the columns half_deg, rings and extent_m (metres that the facility reaches around its point)."""
-    have = facilities.columns
-    out = facilities
-    if "half_deg" not in have:
-        out = out.withColumn("half_deg", F.lit(None).cast("double"))
-    if "rings" not in have:
-        out = out.withColumn("rings", F.lit(None).cast("array<array<struct<lon:double,lat:double>>>"))
-    corner = F.coalesce(F.col("half_deg"), F.lit(0.0)) * METRES_PER_DEGREE * 1.5
-    far = F.array_max(F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: haversine(F.col("flat"), F.col("flon"), p["lat"], p["lon"])))))
-    return out.withColumn("extent_m", F.greatest(corner, F.coalesce(far, F.lit(0.0))))
-
-
-def distance_to_facility(lat: Column, lon: Column) -> Column:
+    """Adds half_deg where it is missing, and extent_m (metres that the facility reaches around its point)."""
+    out = facilities if "half_deg" in facilities.columns else facilities.withColumn("half_deg", F.lit(None).cast("double"))
+    extent = F.coalesce(F.col("half_deg"), F.lit(0.0)) * METRES_PER_DEGREE * 1.5
+    if "rings" in facilities.columns:
+        far = F.array_max(F.transform(F.flatten("rings"), lambda p: haversine(F.col("flat"), F.col("flon"), p["lat"], p["lon"])))
+        extent = F.greatest(extent, F.coalesce(far, F.lit(0.0)))
+    return out.withColumn("extent_m", extent)
+
+
+def distance_to_facility(sites: DataFrame, lat: Column, lon: Column) -> Column:
     """0 inside, else metres to the boundary; to the point where there is no extent."""
+    box = box_distance(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg"))
+    if "rings" not in sites.columns:
+        return box
     rings = F.col("rings")
     polygon = F.when(in_rings(lat, lon, rings), 0.0).otherwise(ring_distance(lat, lon, rings))
-    return F.when(rings.isNotNull(), polygon).otherwise(box_distance(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg")))
+    return F.when(rings.isNotNull(), polygon).otherwise(box)
 
 
-def inside_facility(lat: Column, lon: Column) -> Column:
+def inside_facility(sites: DataFrame, lat: Column, lon: Column) -> Column:
     boxed = in_box(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg"))
-    return F.when(F.col("rings").isNotNull(), in_rings(lat, lon, F.col("rings"))).otherwise(boxed)
+    return F.when(F.col("rings").isNotNull(), in_rings(lat, lon, F.col("rings"))).otherwise(boxed) if "rings" in sites.columns else boxed
 
 
 def _nearest_within(hotspots: DataFrame, facilities: DataFrame, radius: float) -> DataFrame:
     """(id, best: struct(dist, fid, fname, ftype, inside)) of the detections with a facility so near."""
     lat, lon = F.col("latitude"), F.col("longitude")
     pairs = cell_join(hotspots.select("id", "latitude", "longitude"), facilities, radius, ("latitude", "longitude"), ("flat", "flon"), "extent_m")
-    scored = pairs.withColumn("dist", distance_to_facility(lat, lon)).filter(F.col("dist") <= radius)
-    return scored.groupBy("id").agg(F.min(F.struct("dist", "fid", "fname", "ftype", inside_facility(lat, lon).alias("inside"))).alias("best"))
+    scored = pairs.withColumn("dist", distance_to_facility(facilities, lat, lon)).filter(F.col("dist") <= radius)
+    return scored.groupBy("id").agg(F.min(F.struct("dist", "fid", "fname", "ftype", inside_facility(facilities, lat, lon).alias("inside"))).alias("best"))
+
+
+def _candidates(hotspots: DataFrame, sites: DataFrame) -> DataFrame:
+    """(_base, site columns): of each base cell with detections, every facility that can be the nearest of one.
+
+    Nothing here is per detection: base cells stand for theirs, and groups of them for those far from any facility.
+    The level of a base cell is the first whose cell around it some facility touches. A facility is left out only where it
+    is farther from a detection of the group than another by more than twice the group's diameter.
+    """
+    last = len(LEVELS) - 1
+    # One row a level: its cell, how far a facility is seen from and how far it is met from. The last level reaches everywhere.
+    rows = ", ".join(f"named_struct('level', {k}, 'size', {s}D, 'sees', {s / 2 if k < last else 2 * R}D, 'meets', {_bound(k) if k < last else 2 * R}D)" for k, s in enumerate(LEVELS))
+    levels = F.explode(F.expr(f"array({rows})")).alias("l")
+    pick = lambda values: F.expr(f"element_at(array({', '.join(f'{float(v)!r}D' for v in values)}), level + 1)")
+    at = F.col("at")
+    own = hotspots.select("latitude", "longitude", *[F.floor(c / BASE).cast("int").alias(n) for n, c in zip("xyz", xyz(F.col("latitude"), F.col("longitude")))])
+    base = own.groupBy("x", "y", "z").agg(F.min(F.struct("latitude", "longitude")).alias("at")).withColumn("_base", F.xxhash64("x", "y", "z"))
+    wider = lambda n: [F.floor(F.col(c) / n).cast("int") for c in "xyz"]
+    levelled = sites.select("*", levels)
+    around = lambda reach, size: F.explode(cells_within(F.col("flat"), F.col("flon"), reach, size)).alias("cell")
+    # A facility tells of a level's cells where its extent is small against them.
+    seen = levelled.filter((F.col("extent_m") <= F.col("l.size") / 4) | (F.col("l.level") == last)).select("l.level", around(F.col("l.sees"), F.col("l.size"))).distinct()
+    asked = base.select("_base", *"xyz", levels).select("_base", "l.level", F.xxhash64(*wider(F.col("l.size") / BASE)).alias("cell"))
+    level = asked.join(seen, ["level", "cell"], "left_semi").groupBy("_base").agg(F.min("level").alias("level"))
+    grouped = base.join(level, "_base").withColumn("group", F.xxhash64("level", *wider(pick(GROUPED))))
+    groups = grouped.groupBy("group", "level").agg(F.min("at").alias("at"))
+    wide = pick(4 * s for s in LEVELS)
+    groups = groups.select("group", "level", "at", F.xxhash64(*[F.floor(c / wide).cast("int") for c in xyz(at["latitude"], at["longitude"])]).alias("cell"))
+    placed = levelled.select(*sites.columns, "l.level", "l.meets", around(F.col("l.meets") + F.col("extent_m"), 4 * F.col("l.size")))
+    far = haversine(at["latitude"], at["longitude"], F.col("flat"), F.col("flon"))
+    pairs = groups.join(placed, ["level", "cell"]).withColumn("_far", far).filter((F.col("level") == last) | (F.col("_far") - F.col("extent_m") <= F.col("meets")))
+    best = F.min(F.col("_far") + F.col("extent_m")).over(Window.partitionBy("group"))
+    kept = pairs.withColumn("_best", best).filter(F.col("_far") - F.col("extent_m") <= F.col("_best") + 2 * pick(_diameter(k) for k in range(last + 1)) + 1)
+    return grouped.select("_base", "group").join(kept.select("group", *sites.columns), "group").drop("group")
 
 
 def nearest_facility(hotspots: DataFrame, facilities: DataFrame, max_distance_m: float | None = None) -> DataFrame:
     """(id, nearest_facility_id, _name, _type, distance_m, within_facility), one row a detection.
 
-    Ties go to the smaller fid. Without max_distance_m the search widens in rings of RADII for
-    the detections that have found nothing yet, so no ring compares all with all.
+    Ties go to the smaller fid. Without max_distance_m the search is exact at any distance: each base cell
+    finds, by cells of growing size, the facilities that can be nearest to one of its detections, and
+    the detections meet those by an equi-join on the base cell. One lazy plan, no ring after another.
     """
     sites = with_extent(facilities).filter("flat IS NOT NULL AND flon IS NOT NULL")
+    lat, lon = F.col("latitude"), F.col("longitude")
     if max_distance_m is not None:
-        found = _nearest_within(hotspots.repartition("id"), sites, max_distance_m)
-    else:
-        found = None
         # By id first: with the facilities broadcast, the grouping by id then needs no other shuffle.
-        rest = places = hotspots.select("id", "latitude", "longitude").repartition("id")
-        for radius in RADII:
-            ring = materialize(_nearest_within(rest, sites, radius))
-            found = ring if found is None else found.unionByName(ring)
-            rest = places.join(found.select("id"), "id", "left_anti")
-            if rest.isEmpty():
-                break
+        found = hotspots.select("id").join(_nearest_within(hotspots.repartition("id"), sites, max_distance_m), "id", "left")
+    else:
+        base = F.xxhash64(*[F.floor(c / BASE).cast("int") for c in xyz(lat, lon)])
+        pairs = hotspots.select("id", "latitude", "longitude", base.alias("_base")).join(_candidates(hotspots, sites), "_base", "left")
+        one = F.struct(distance_to_facility(facilities, lat, lon).alias("dist"), "fid", "fname", "ftype", inside_facility(facilities, lat, lon).alias("inside"))
+        found = pairs.groupBy("id").agg(F.min(F.when(F.col("fid").isNotNull(), one)).alias("best"))
     best = F.col("best")
-    return hotspots.select("id").join(found, "id", "left").select(
+    return found.select(
         "id", best["fid"].alias("nearest_facility_id"), best["fname"].alias("nearest_facility_name"), best["ftype"].alias("nearest_facility_type"),
         rounded(best["dist"], 1).alias("distance_m"), F.coalesce(best["inside"], F.lit(False)).alias("within_facility"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from emberline.functions.geo import grid_cell, haversine
 from emberline.functions.values import OSMPP_THERMAL, WRI_THERMAL, facility_type, fnv1a64, fuel_family, is_industrial
@@ -83,9 +84,13 @@ def last_of_each(batch: DataFrame, order: str) -> DataFrame:
 def upsert(stored: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
     """stored with batch put in: new values win where present, first_seen_at stays, was_inserted says what is new.
 
-    A stored value outlives a missing one for name and geometry. One shuffle join on the key.
+    A stored value outlives a missing one for name and geometry. Of batch rows with one key the one with the
+    largest values stays; give the last by ``last_of_each`` where there is an order. One shuffle join on the key.
     """
     key = ["osm_type", "osm_id"]
+    rest = [c for c in batch.columns if c not in key]
+    comparable = [c for c in rest if not isinstance(batch.schema[c].dataType, MapType)]
+    batch = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*(comparable or key))).alias("_r")).select(*key, "_r.*")
     values = [c for c in batch.columns if c not in key]
     new = batch.select(*key, F.struct(*values).alias("_new"))
     old = stored.select(*key, F.struct(*[c for c in stored.columns if c not in key]).alias("_old"))

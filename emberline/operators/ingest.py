@@ -48,8 +48,8 @@ def new_rows(batch: DataFrame, stored: DataFrame, order: list[str] | None = None
     return once.join(held, "_key", "left_anti").drop("_key")
 
 
-def with_ids(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids after the largest stored one, in the order of the natural key: the same on every run.
+def with_ids(rows: DataFrame, stored: DataFrame, top: int | None = None) -> DataFrame:
+    """Ids after the largest stored one (top, where that is known), in the order of the natural key: the same on every run.
 
     Ids are the partition's offset plus the place in the sorted partition; only counts go to the driver.
     """
@@ -59,7 +59,7 @@ def with_ids(rows: DataFrame, stored: DataFrame) -> DataFrame:
     key = [F.struct(*natural_key(rows)).alias("_key")]
     dealt = rows.select("*", *key).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_key")
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()))
-    top = stored.agg(F.max("id")).first()[0] or 0
+    top = (stored.agg(F.max("id")).first()[0] or 0) if top is None else top
     counts = sorted((r["_part"], r["count"]) for r in dealt.groupBy("_part").count().collect())
     offsets, total = [], top
     for part, n in counts:
@@ -96,8 +96,20 @@ def prior_cells(stored: DataFrame, since: Column) -> DataFrame:
 
 
 def percentile_threshold(rows: DataFrame, percentile: float) -> DataFrame:
-    """One row: threshold, the nearest-rank percentile of frp."""
-    return rows.select(F.expr(f"percentile_disc({percentile / 100}) WITHIN GROUP (ORDER BY frp)").alias("threshold"))
+    """One row: threshold, the nearest-rank percentile of frp.
+
+    Values are counted by bands of about one percent of their size first. Only the bands' counts, a few thousand
+    at most, and the distinct values of the one band that holds the rank meet in a task.
+    """
+    frp = F.col("frp").cast("double")
+    band = F.when(frp == 0, 0).otherwise((F.signum(frp) * (F.floor(F.log2(F.abs(frp)) * 64) + 100_000)).cast("long")).alias("band")
+    values = rows.filter("frp IS NOT NULL").groupBy(band, F.col("frp").alias("threshold")).agg(F.count("*").alias("n"))
+    ordered = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bands = values.groupBy("band").agg(F.sum("n").alias("in_band")).withColumns({"upto": F.sum("in_band").over(ordered), "all": F.sum("in_band").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    rank = F.greatest(F.lit(1), F.ceil(F.col("all") * F.lit(percentile / 100)))
+    held = bands.filter((F.col("upto") >= rank) & (F.col("upto") - F.col("in_band") < rank)).select("band", (rank - F.col("upto") + F.col("in_band")).alias("rank"))
+    inside = values.join(F.broadcast(held), "band").withColumn("upto", F.sum("n").over(Window.orderBy("threshold")))
+    return inside.filter("upto >= rank").agg(F.min("threshold").alias("threshold"))
 
 
 def screen(rows: DataFrame, cells: DataFrame, prior: DataFrame, cfg: Screen = Screen()) -> DataFrame:

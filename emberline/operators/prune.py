@@ -19,9 +19,11 @@ def near_ids(hotspots: DataFrame, facilities: DataFrame, metres: float) -> DataF
 
 def inside_ids(hotspots: DataFrame, facilities: DataFrame) -> DataFrame:
     """Ids of detections inside a facility's extent."""
-    sites = with_extent(facilities).filter("half_deg IS NOT NULL OR rings IS NOT NULL")
+    sites = with_extent(facilities)
+    shaped = [F.col(c).isNotNull() for c in ("half_deg", "rings") if c in sites.columns]
+    sites = sites.filter(shaped[0] | shaped[-1])
     pairs = cell_join(hotspots.select("id", "latitude", "longitude"), sites, 5000.0, ("latitude", "longitude"), ("flat", "flon"), "extent_m")
-    return pairs.filter(inside_facility(F.col("latitude"), F.col("longitude"))).select("id").distinct()
+    return pairs.filter(inside_facility(sites, F.col("latitude"), F.col("longitude"))).select("id").distinct()
 
 
 def _marked(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float) -> DataFrame:

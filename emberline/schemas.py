@@ -29,6 +29,8 @@ RUN_LOG = _of(kind=S, source=S, bbox=S, date_from=DT, date_to=DT, days=I, return
 SCREEN_LOG = _of(kind=S, source=S, bbox=S, date_from=DT, days=I, fetched=L, kept=L, dropped=L, in_day=L, prior=L, frp=L, percentile_pct=DecimalType(38, 6), frp_mw=DecimalType(38, 6), created_at=T)
 WORKER_STATUS = _of(worker_id=S, started_at=T, last_heartbeat_at=T, cycle_count=L, last_cycle_status=S, last_error=S, last_inserted=L, version=S)
 QUERY_CACHE = _of(center_lat=D, center_lon=D, radius_m=D, facility_count=L, queried_at=T)
+#: Ids given to rows of a cycle: a row when they are reserved (state begun), one when the cycle is done.
+ID_RANGES = _of(cycle=S, state=S, first_id=L, last_id=L, at=T)
 OSM_NODE = _of(id=L, lat=D, lon=D, tags=TAGS)
 OSM_WAY = _of(id=L, refs=ArrayType(L), tags=TAGS)
 

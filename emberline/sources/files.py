@@ -14,10 +14,25 @@ WRI_COLUMNS = ("country", "name", "gppd_idnr", "capacity_mw", "latitude", "longi
 OSMPP_COLUMNS = ("id", "Name", "Country", "Fueltype", "Technology", "Capacity", "DateIn", "lat", "lon")
 
 
+def detections_of_lines(lines: DataFrame) -> DataFrame:
+    """Detections out of lines (value, path) of headed CSV files, all columns as text.
+
+    Columns are found by the names in each line's own file, so files may differ in which they have and in
+    what order. Lines of a file without a header have nulls everywhere: they are invalid, not lost.
+    """
+    width = 64
+    text = F.regexp_replace("value", "^\ufeff|\r$", "")
+    cells = F.from_csv(text, ", ".join(f"c{k} string" for k in range(width)))
+    rows = lines.filter(F.trim(text) != "").select("path", F.array(*[F.trim(cells[f"c{k}"]) for k in range(width)]).alias("cells"))
+    rows = rows.withColumn("head", F.arrays_overlap("cells", F.array(F.lit("acq_date"))) & F.array_contains("cells", "latitude") & F.array_contains("cells", "longitude"))
+    heads = rows.filter("head").groupBy("path").agg(F.min("cells").alias("names"))
+    named = rows.filter("NOT coalesce(head, false)").join(heads, "path", "left")
+    return named.select(*[F.get("cells", F.nullif(F.array_position("names", f.name), F.lit(0)).cast("int") - 1).alias(f.name) for f in RAW_DETECTION])
+
+
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, by the names in each file's header; a file of a header alone has no rows."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, mode="PERMISSIVE")
-    return raw.select(*[(F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string").alias(f.name)) for f in RAW_DETECTION])
+    return detections_of_lines(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path")))
 
 
 def _registry(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:

@@ -1,15 +1,21 @@
 """The worker: micro-batches of detection files into the store, and resumable backfill.
 
-Tables lie under one folder: hotspots, facilities, enrichment, run_log, worker_status. A batch
-is validated, made new against the store (so re-delivery inserts nothing), enriched and classified
-by the same plans as a batch job, and appended. Nothing is ever too late: there is no watermark,
-the store itself is the state.
+Tables lie under one folder: hotspots (by acq_date), facilities, enrichment, run_log, screen_log, query_cache,
+id_ranges, worker_status. A batch is validated, made new against the stored rows of its own days (so
+re-delivery inserts nothing), appended, enriched and classified by the same plans as a batch job
+against the rows of the 30 days before. Nothing is ever too late: there is no watermark, the store
+itself is the state.
+
+A cycle writes to two tables and may die between. So it first reserves its ids in id_ranges; the next cycle
+enriches what has an id of an unfinished range but no enrichment. Every row is stored and enriched
+exactly once, wherever a cycle ends.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hmac
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +23,18 @@ from pyspark.sql import functions as F
 from emberline import schemas
 from emberline.config import History, Screen
 from emberline.operators.classify import classify
-from emberline.operators.context import heartbeat, run_row
+from emberline.operators.context import heartbeat, run_row, screen_row
 from emberline.operators.enrich import enrich
-from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, with_ids
-from emberline.tables import append, materialize, read_or_empty, replace
+from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
+from emberline.sources.files import detections_of_lines
+from emberline.tables import append, materialize, read_or_empty, replace, scratch
+
+_SCHEMAS = {
+    "hotspots": schemas.HOTSPOTS, "facilities": schemas.FACILITIES, "enrichment": schemas.ENRICHMENT, "run_log": schemas.RUN_LOG, "screen_log": schemas.SCREEN_LOG,
+    "query_cache": schemas.QUERY_CACHE, "id_ranges": schemas.ID_RANGES, "worker_status": schemas.WORKER_STATUS,
+}
+#: Columns that tables are partitioned by.
+_BY = {"hotspots": "acq_date"}
 
 
 class Store:
@@ -33,8 +47,13 @@ class Store:
         return f"{self.folder}/{name}"
 
     def read(self, name: str) -> DataFrame:
-        schema = {"hotspots": schemas.HOTSPOTS, "facilities": schemas.FACILITIES, "enrichment": schemas.ENRICHMENT, "run_log": schemas.RUN_LOG, "worker_status": schemas.WORKER_STATUS}[name]
-        return read_or_empty(self.spark, self.path(name), schema)
+        return read_or_empty(self.spark, self.path(name), _SCHEMAS[name])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        append(_conform(rows, _SCHEMAS[name]), self.path(name), _BY.get(name))
+
+    def replace(self, name: str, rows: DataFrame) -> None:
+        replace(_conform(rows, _SCHEMAS[name]), self.path(name), _BY.get(name))
 
     def sites(self) -> DataFrame:
         """Facilities as enrichment takes them."""
@@ -49,48 +68,126 @@ def _conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
 
 
-def run_cycle(store: Store, raw: DataFrame, source: str, kind: str = "firms", now: dt.datetime | None = None, history: History = History(), screening: Screen | None = None, **unit) -> dict:
-    """Take raw rows of a source in; returns the counts and logs the run, also a failed one."""
+def _since(rows: DataFrame, days: int = 0):
+    """The earliest day of rows less so many, and the latest; None without rows."""
+    first, last = rows.agg(F.min("acq_date"), F.max("acq_date")).first()
+    return (first - dt.timedelta(days=days), last) if first else None
+
+
+def _put_enrichment(store: Store, rows: DataFrame, now: dt.datetime, history: History) -> None:
+    """Enrich and classify stored detections; only the days that can hold neighbours are read."""
+    since = _since(rows, 30)
+    if since is None:
+        return
+    around = store.read("hotspots").filter(F.col("acq_date") >= F.lit(since[0]))
+    found = enrich(dt_of(rows), store.sites(), dt_of(around), history)
+    store.append("enrichment", classify(found).withColumnRenamed("id", "hotspot_id").withColumn("enriched_at", F.lit(now)))
+
+
+def unfinished(store: Store) -> list[tuple[str, int, int]]:
+    """(cycle, first id, last id) of cycles that reserved ids and did not end: seldom more than one."""
+    ranges = store.read("id_ranges")
+    rest = ranges.filter("state = 'begun'").join(ranges.filter("state = 'done'").select("cycle"), "cycle", "left_anti")
+    return [(r.cycle, r.first_id, r.last_id) for r in rest.select("cycle", "first_id", "last_id").collect()]
+
+
+def _mark(store: Store, cycle: str, state: str, first: int, last: int, now: dt.datetime) -> None:
+    store.append("id_ranges", store.spark.createDataFrame([(cycle, state, first, last, now)], schemas.ID_RANGES))
+
+
+def recover(store: Store, now: dt.datetime, history: History = History()) -> int:
+    """Enrich the rows that unfinished cycles stored; how many there were. The id bounds reach the scans."""
+    total = 0
+    for cycle, first, last in unfinished(store):
+        known = store.read("enrichment").filter(F.col("hotspot_id").between(first, last)).select(F.col("hotspot_id").alias("id"))
+        rest = materialize(store.read("hotspots").filter(F.col("id").between(first, last)).join(known, "id", "left_anti"))
+        total += rest.count()
+        _put_enrichment(store, rest, now, history)
+        _mark(store, cycle, "done", first, last, now)
+    return total
+
+
+def _top_id(store: Store) -> int | None:
+    """The largest id ever reserved, out of the small table of ranges; None where there is none yet."""
+    return store.read("id_ranges").agg(F.max("last_id")).first()[0]
+
+
+def _take_in(store: Store, raw: DataFrame, source: str, kind: str, now: dt.datetime, history: History, screening: Screen | None, unit: dict) -> dict:
+    spark = store.spark
+    recover(store, now, history)
+    rows = materialize(raw)
+    valid = parse(rows.filter(is_valid(rows)), source)
+    if screening:
+        day = F.lit(now).cast("date")
+        prior = prior_cells(store.read("hotspots"), F.date_sub(day, screening.prior_days))
+        marked = materialize(screen(valid, facility_cells(store.sites()), prior, screening))
+        sums = screen_stats(marked).first().asDict()
+        log = {"kind": kind, "source": source, "percentile_pct": screening.percentile, "frp_mw": screening.frp_mw, "created_at": now, **unit}
+        store.append("screen_log", screen_row(spark, **log, **sums))
+        valid = marked.filter("near").select(valid.columns)
+    else:
+        valid = materialize(valid)
+    days = _since(valid)
+    stored = store.read("hotspots")
+    # Equal keys have equal days: no other partition is read.
+    same_days = stored.filter(F.col("acq_date").between(F.lit(days[0]), F.lit(days[1]))) if days else stored.limit(0)
+    fresh = materialize(with_ids(new_rows(valid, same_days), stored, _top_id(store)).withColumn("ingested_at", F.lit(now)))
+    sums = rows.agg(F.count("*").alias("returned"), F.count_if(~is_valid(rows)).alias("invalid")).first()
+    inserted, first, last = fresh.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if inserted:
+        cycle = uuid.uuid4().hex
+        _mark(store, cycle, "begun", first, last, now)
+        store.append("hotspots", fresh)
+        _put_enrichment(store, fresh, now, history)
+        _mark(store, cycle, "done", first, last, now)
+    return {"returned": sums["returned"], "inserted": inserted, "invalid": sums["invalid"], "duplicates": sums["returned"] - sums["invalid"] - inserted}
+
+
+def run_cycle(store: Store, raw: DataFrame, source: str, kind: str = "firms", now: dt.datetime | None = None, history: History = History(), screening: Screen | None = None, strict: bool = False, **unit) -> dict:
+    """Take raw rows of a source in; returns the counts and logs the run, also a failed one.
+
+    strict: a failure is raised once it is logged, for callers that deliver again what failed.
+    duplicates counts what is stored already, comes twice or is screened away.
+    """
     spark, now = store.spark, now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     log = {"kind": kind, "source": source, "started_at": now, "finished_at": now, **unit}
-    try:
-        stored = store.read("hotspots")
-        rows = materialize(raw)
-        valid = parse(rows.filter(is_valid(rows)), source)
-        if screening:
-            day = F.lit(now).cast("date")
-            valid = screen(valid, facility_cells(store.sites()), prior_cells(stored, F.date_sub(day, screening.prior_days)), screening).filter("near").select(valid.columns)
-        fresh = materialize(with_ids(new_rows(valid, stored), stored).withColumn("ingested_at", F.lit(now)))
-        sums = rows.agg(F.count("*").alias("returned"), F.count_if(~is_valid(rows)).alias("invalid")).first()
-        inserted = fresh.count()
-        if inserted:
-            append(_conform(fresh, schemas.HOTSPOTS), store.path("hotspots"))
-            found = enrich(dt_of(fresh), store.sites(), dt_of(store.read("hotspots")), history)
-            out = classify(found).withColumnRenamed("id", "hotspot_id").withColumn("enriched_at", F.lit(now))
-            append(_conform(out, schemas.ENRICHMENT), store.path("enrichment"))
-        counts = {"returned": sums["returned"], "inserted": inserted, "invalid": sums["invalid"], "duplicates": sums["returned"] - sums["invalid"] - inserted}
-        append(run_row(spark, **log, **counts, status="success"), store.path("run_log"))
-        return {**counts, "status": "success"}
-    except Exception as e:  # the failure is the log's to tell; other sources go on
-        append(run_row(spark, **log, returned=0, inserted=0, duplicates=0, invalid=0, status="failed", error=f"{type(e).__name__}: {e}"), store.path("run_log"))
-        return {"returned": 0, "inserted": 0, "invalid": 0, "duplicates": 0, "status": "failed"}
+    with scratch(spark):
+        try:
+            counts = _take_in(store, raw, source, kind, now, history, screening, unit)
+        except Exception as e:  # the failure is the log's to tell; other sources go on
+            none = dict.fromkeys(("returned", "inserted", "invalid", "duplicates"), 0)
+            store.append("run_log", run_row(spark, **log, **none, status="failed", error=f"{type(e).__name__}: {e}"))
+            if strict:
+                raise
+            return {**none, "status": "failed"}
+    store.append("run_log", run_row(spark, **log, **counts, status="success"))
+    return {**counts, "status": "success"}
 
 
 def beat(store: Store, worker_id: str, status: str, inserted: int, cycle: int, error: str | None = None, now: dt.datetime | None = None) -> None:
     now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     rows = heartbeat(store.read("worker_status"), worker_id=worker_id, started_at=now, last_heartbeat_at=now, cycle_count=cycle, last_cycle_status=status, last_error=error, last_inserted=inserted, version="1")
-    replace(materialize(rows), store.path("worker_status"))
+    with scratch(store.spark):
+        store.replace("worker_status", materialize(rows))
 
 
-def stream_detections(store: Store, folder: str, source: str, checkpoint: str, once: bool = True, minutes: int = 10, worker_id: str = "worker", **options):
-    """Start taking in the CSV files that arrive in a folder; once: what is there now, then end."""
-    raw = store.spark.readStream.schema(schemas.RAW_DETECTION).option("header", True).csv(folder)
+def stream_detections(store: Store, folder: str, source: str, checkpoint: str, once: bool = True, minutes: int = 10, worker_id: str = "worker", files_per_batch: int = 1000, **options):
+    """Start taking in the CSV files that arrive in a folder; once: what is there now, then end.
+
+    Each file's columns are found by its own header. A batch that fails is logged, ends the stream and is
+    delivered again by the next start, since its checkpoint is not committed.
+    """
+    lines = store.spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
 
     def batch(df: DataFrame, number: int) -> None:
-        result = run_cycle(store, df, source, **options)
+        try:
+            result = run_cycle(store, detections_of_lines(df), source, strict=True, **options)
+        except Exception as e:
+            beat(store, worker_id, "failed", 0, number + 1, f"{type(e).__name__}: {e}")
+            raise
         beat(store, worker_id, result["status"], result["inserted"], number + 1)
 
-    writer = raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{minutes} minutes")).start()
 
 
@@ -112,7 +209,7 @@ def backfill(store: Store, sources: list[str], start: str, end: str, bbox: str,
         try:
             raw = fetch(u.source, u.date_from, u.days)
         except RuntimeError as e:
-            append(run_row(spark, kind="backfill", source=u.source, bbox=bbox, date_from=u.date_from, days=u.days, status="failed", error=str(e)), store.path("run_log"))
+            store.append("run_log", run_row(spark, kind="backfill", source=u.source, bbox=bbox, date_from=u.date_from, days=u.days, status="failed", error=str(e)))
             out.append((u.source, u.date_from, u.days, "failed"))
             continue
         result = run_cycle(store, raw, u.source, kind="backfill", bbox=bbox, date_from=u.date_from, days=u.days)
@@ -130,9 +227,11 @@ def maintenance(store: Store, dry_run: bool = True, metres: float = 5000.0) -> d
     from emberline.operators.prune import disposition, disposition_counts, prune
 
     args = (store.read("hotspots"), store.read("enrichment"), store.sites(), metres)
-    counts = {r.disposition: r.n for r in disposition_counts(disposition(*args)).collect()}
-    if not dry_run and counts.get("delete"):
-        rows, known = (materialize(x) for x in prune(*args))
-        replace(rows, store.path("hotspots"))
-        replace(known, store.path("enrichment"))
+    with scratch(store.spark):
+        counts = {r.disposition: r.n for r in disposition_counts(disposition(*args)).collect()}
+        if not dry_run and counts.get("delete"):
+            rows, known = (materialize(x) for x in prune(*args))
+            # Enrichment first: a detection without it is judged again by the next run, the reverse would never be met.
+            store.replace("enrichment", known)
+            store.replace("hotspots", rows)
     return counts

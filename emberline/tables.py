@@ -4,55 +4,99 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: One list of paths for each ``scratch`` that is open, the innermost last.
+_scratch: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir. Where none is set: a temporary one in local mode, an error on a cluster."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir"):
         return folder
     if (held := sc._jsc.sc().getCheckpointDir()).isDefined():
         return held.get()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, file system) of a path."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """df as a written table, computed once and safe from lost executors; it goes with the application."""
+    """df as a written table, computed once and safe from lost executors.
+
+    It goes at the end of the innermost ``scratch``, or with the application.
+    """
     path = f"{shared_folder(df.sparkSession)}/emberline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    own, fs = _hadoop(df.sparkSession, path)
+    fs.deleteOnExit(own)
+    if _scratch:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables materialized inside are removed at the end: for what runs again and again in one application."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            own, fs = _hadoop(spark, path)
+            fs.delete(own, True)
+            fs.cancelDeleteOnExit(own)
+
+
+def _settle(spark: SparkSession, path: str) -> bool:
+    """Whether the table exists; one that a broken ``replace`` left aside is put back first."""
+    target, fs = _hadoop(spark, path)
+    if fs.exists(target):
+        return True
+    aside, _ = _hadoop(spark, f"{path}.replaced")
+    return bool(fs.exists(aside) and fs.rename(aside, target))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    """The table with its columns in the schema's order, wherever they are partition columns."""
+    return spark.read.schema(schema).parquet(path).select(schema.names) if _settle(spark, path) else spark.createDataFrame([], schema)
 
 
-def append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Add rows; by names a column that the table is partitioned by, each value in few files."""
+    _settle(df.sparkSession, path)
+    if by is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.hint("rebalance", by).write.mode("append").partitionBy(by).parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Overwrite a table with rows that may be computed from it: written beside it, then moved."""
+def replace(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Overwrite a table with rows that may be computed from it: written beside it, then moved.
+
+    At every moment the old rows lie at the path or aside, where ``_settle`` finds them.
+    """
     spark = df.sparkSession
     fresh = f"{path}.new-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark._jvm.org.apache.hadoop.fs
-    target, new = jvm.Path(path), jvm.Path(fresh)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = jvm.Path(f"{fresh}.old")
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    fs.delete(old, True)
+    append(df, fresh, by)
+    had = _settle(spark, path)
+    target, fs = _hadoop(spark, path)
+    aside, _ = _hadoop(spark, f"{path}.replaced")
+    if had:
+        fs.delete(aside, True)
+        fs.rename(target, aside)
+    fs.rename(_hadoop(spark, fresh)[0], target)
+    fs.delete(aside, True)
     spark.catalog.refreshByPath(path)

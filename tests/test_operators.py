@@ -171,3 +171,44 @@ def test_context_land_cover_and_telemetry(spark):
     w = context.heartbeat(spark.createDataFrame([], schemas.WORKER_STATUS), worker_id="w", started_at=first, last_heartbeat_at=first, cycle_count=1)
     w = context.heartbeat(w, worker_id="w", started_at=dt.datetime(2026, 1, 2), last_heartbeat_at=dt.datetime(2026, 1, 2), cycle_count=2)
     assert [(r.started_at, r.cycle_count) for r in w.collect()] == [(first, 2)]
+
+
+def test_nearest_equals_brute_force(spark):
+    import math
+    import random
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    dice = random.Random(5)
+    somewhere = lambda: (math.degrees(math.asin(dice.uniform(-1, 1))), dice.uniform(-180, 180))
+    centres = [(50.0, 8.0), (0.0, 0.0), (89.9, 10.0), (-89.99, 0.0), (10.0, 180.0), (0.0, 90.0)]
+    around = lambda c: (max(-90.0, min(90.0, c[0] + dice.gauss(0, 0.4))), (c[1] + dice.gauss(0, 0.4) + 180) % 360 - 180)
+    sites = [(k, *(around(dice.choice(centres)) if k % 4 else somewhere())) for k in range(150)]
+    points = [(k, *(around(dice.choice(centres)) if k % 3 else somewhere())) for k in range(400)]
+    h = spark.createDataFrame(points, "id long, latitude double, longitude double")
+    f = spark.createDataFrame(sites, "fid long, flat double, flon double").withColumns({"fname": F.lit("x"), "ftype": F.lit("y")})
+    for few in (f, f.filter("fid < 2"), f.filter("fid = 77")):
+        kept = {r.fid for r in few.collect()}
+        found = {r.id: r for r in enrich.nearest_facility(h, few).collect()}
+        assert len(found) == 400
+        for k, la, lo in points:
+            best = min((metres(la, lo, a, b), fid) for fid, a, b in sites if fid in kept)
+            assert found[k].nearest_facility_id == best[1] and abs(found[k].distance_m - best[0]) < 0.2
+
+
+def test_percentile_is_nearest_rank(spark):
+    for values in ([3.0], [1.0, 2.0], [0.0, -5.0, 7.5, 7.5, 100.0, 1e-9], [float(k % 37) / 7 for k in range(400)]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "frp double")
+        for p in (0, 10, 50, 90, 99, 100):
+            want = sorted(values)[max(1, -(-len(values) * p // 100)) - 1]
+            assert ingest.percentile_threshold(rows, p).first().threshold == want
+    assert ingest.percentile_threshold(spark.createDataFrame([], "frp double"), 90).first().threshold is None
+
+
+def test_upsert_of_a_batch_with_repeated_keys(spark):
+    old = spark.createDataFrame([("node", 1, "a", None, None)], "osm_type string, osm_id long, name string, first_seen_at timestamp, updated_at timestamp")
+    batch = spark.createDataFrame([("node", 1, "b"), ("node", 1, "c"), ("node", 2, "d"), ("node", 2, "d")], "osm_type string, osm_id long, name string")
+    found = facilities.upsert(old, batch, F.lit("2026-01-01").cast("timestamp")).collect()
+    assert sorted((r.osm_id, r.name, r.was_inserted) for r in found) == [(1, "c", False), (2, "d", True)]

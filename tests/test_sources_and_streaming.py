@@ -229,3 +229,84 @@ def test_replace_reads_what_it_overwrites(spark, tmp_path):
 
 def test_tokens():
     assert W.authorized("Bearer abc", "abc") and not W.authorized("abd", "abc") and not W.authorized("", None) and not W.authorized(None, "abc")
+
+
+def shuffled(names, rows=ROWS):
+    """The same rows with these columns, in this order."""
+    head, *lines = [line.split(",") for line in rows.strip().split("\n")]
+    return "\n".join(",".join(cells[head.index(n)] for n in names) for cells in [head, *lines]) + "\n"
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    names = HEAD.strip().split(",")
+    (tmp_path / "1.csv").write_text(shuffled(names[::-1]))
+    (tmp_path / "2.csv").write_text("﻿" + shuffled(["acq_time", "latitude", "longitude", "acq_date"]).replace("\n", "\r\n"))
+    (tmp_path / "3.csv").write_text("1,2,3\n")
+    (tmp_path / "4.csv").write_text(ROWS)
+    rows = files.read_detections(spark, str(tmp_path)).collect()
+    assert len(rows) == 13 and sum(r.latitude is None for r in rows) == 1
+    assert sorted(r.latitude for r in rows if r.latitude) == sorted(["10.0", "10.1", "10.2", "10.3"] * 3)
+    assert {(r.longitude, r.frp) for r in rows if r.latitude == "10.1"} == {("20.1", "22.5"), ("20.1", None)}
+
+
+def test_failed_batch_is_stored_by_the_next_run(spark, tmp_path, monkeypatch):
+    s, feed = store(spark, tmp_path), tmp_path / "in"
+    feed.mkdir()
+    (feed / "1.csv").write_text(shuffled(HEAD.strip().split(",")[::-1]))
+    for where in ("new_rows", "enrich", None):
+        if where:
+            monkeypatch.setattr(W, where, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("broken")))
+        run = W.stream_detections(s, str(feed), "A", str(tmp_path / "ck"))
+        if where:
+            with pytest.raises(Exception, match="broken"):
+                run.awaitTermination()
+            monkeypatch.undo()
+        else:
+            run.awaitTermination()
+    assert s.read("hotspots").count() == 4 == s.read("hotspots").select("id").distinct().count()
+    known = s.read("enrichment").filter("class IS NOT NULL")
+    assert known.count() == 4 == known.select("hotspot_id").distinct().count() and W.unfinished(s) == []
+    assert [r.status for r in s.read("run_log").orderBy("finished_at").collect()] == ["failed", "failed", "success"]
+    assert s.read("worker_status").first().last_cycle_status == "success"
+
+
+def test_cycle_that_dies_between_its_tables(spark, tmp_path, monkeypatch):
+    s = store(spark, tmp_path)
+    raw = spark.createDataFrame([(str(10 + k), "20", "2026-09-06", "1") + ("x",) * 10 for k in range(3)], schemas.RAW_DETECTION)
+    monkeypatch.setattr(W, "classify", lambda df: df.withColumn("class", F.raise_error(F.lit("gone"))))
+    assert W.run_cycle(s, raw, "A")["status"] == "failed"
+    monkeypatch.undo()
+    assert s.read("hotspots").count() == 3 and s.read("enrichment").count() == 0 and len(W.unfinished(s)) == 1
+    assert W.run_cycle(s, raw, "A") == {"returned": 3, "inserted": 0, "invalid": 0, "duplicates": 3, "status": "success"}
+    assert s.read("hotspots").count() == 3 == s.read("enrichment").select("hotspot_id").distinct().count() == s.read("enrichment").count()
+    assert W.run_cycle(s, raw.withColumn("latitude", F.lit("50")), "A")["inserted"] == 1 and s.read("hotspots").select("id").distinct().count() == 4
+    assert (tmp_path / "store" / "hotspots" / "acq_date=2026-09-06").is_dir()
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    import os
+
+    from emberline.config import Screen
+    from emberline.tables import shared_folder
+
+    s = store(spark, tmp_path)
+    before = set(os.listdir(shared_folder(spark)))
+    raw = spark.createDataFrame([("10", "20", "2026-09-06", "1") + ("x",) * 10, ("60", "20", "2026-09-06", "1") + ("x",) * 10], schemas.RAW_DETECTION)
+    assert W.run_cycle(s, raw, "A", screening=Screen())["inserted"] == 1
+    log = s.read("screen_log").first()
+    assert (log.fetched, log.kept, log.dropped, log.source) == (2, 1, 1, "A")
+    assert set(os.listdir(shared_folder(spark))) == before
+
+
+def test_broken_replace_is_undone(spark, tmp_path):
+    from emberline.tables import read_or_empty
+
+    path = tmp_path / "t"
+    append(spark.range(3).toDF("id"), str(path))
+    path.rename(tmp_path / "t.replaced")
+    assert read_or_empty(spark, str(path), spark.range(1).schema).count() == 3
+    path.rename(tmp_path / "t.replaced")
+    append(spark.range(2).toDF("id"), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+    replace(spark.read.parquet(str(path)).limit(1), str(path))
+    assert spark.read.parquet(str(path)).count() == 1 and sorted(x.name for x in tmp_path.iterdir()) == ["t"]
