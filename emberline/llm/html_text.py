@@ -11,15 +11,16 @@ prose, nor of one around main or around the article with the most prose.
 
 Defined cases: a null or empty page has empty text; text outside any block is a block of its own;
 unclosed and stray tags are mended as browsers do for paragraphs, list items and table cells; a
-page without paragraphs falls back to all text that is not furniture; repeated rows each get a
-row; an empty table gives no rows. Other columns are not read. Every page is parsed whole, where
-it lies; nothing is shuffled.
+page without paragraphs falls back to all text that is not furniture; hidden elements count like others;
+repeated rows each get a row; an empty table gives no rows. Other columns are not read. Every page is
+parsed whole, where it lies, in time linear in its length however deep it is; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,12 @@ ENDS = {
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])), "tbody": (frozenset(["tr", "td", "th", "thead", "tbody"]), frozenset(["table"])),
 }
+_FAMILIES = tuple(ENDS.values())
+_FAMILY_OF = {name: k for k, name in enumerate(ENDS)}
+_FAMILY_NAMES = frozenset().union(*(x for pair in _FAMILIES for x in pair))
+_NO_ENDS = (None,) * len(_FAMILIES)
+#: A paragraph outside of one of these is not ended by what is inside.
+P_SCOPES = frozenset("button td th caption table".split())
 DROP = frozenset(
     "nav aside footer form button select input textarea script style noscript template iframe object embed dialog menu head title svg math canvas audio video search option datalist".split()
 )
@@ -62,14 +69,27 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW
 
 
 class Node:
-    """An element: its name, attributes that matter, and children (elements and strings)."""
+    """An element: its name, attributes that matter, and children (elements and strings).
 
-    __slots__ = ("name", "names", "role", "parts", "parent", "points", "hidden", "content")
+    What a tag may end is inherited from the parent, so that nothing walks up the tree: the paragraph that is open
+    here, and of each family of ENDS the outermost element that its next tag ends.
+    """
+
+    __slots__ = ("name", "names", "role", "parts", "parent", "points", "content", "in_article", "paragraph", "ends", "length", "linked")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         self.name, self.parent, self.parts, self.points = name, parent, [], 0.0
         self.names = self.role = ""
-        self.hidden = self.content = False
+        self.content = False
+        self.length = self.linked = 0
+        if parent is None:
+            self.in_article, self.paragraph, self.ends = False, None, _NO_ENDS
+        else:
+            self.in_article = parent.in_article or parent.name == "article"
+            self.paragraph = self if name == "p" else None if name in P_SCOPES else parent.paragraph
+            self.ends = parent.ends
+            if name in _FAMILY_NAMES:
+                self.ends = tuple(None if name in stops else held or (self if name in closes else None) for (closes, stops), held in zip(_FAMILIES, parent.ends))
         if attributes and attributes.strip():
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 key = key.lower()
@@ -77,39 +97,40 @@ class Node:
                     self.names += " " + (a or b or c)
                 elif key == "role":
                     self.role = (a or b or c).lower()
-                elif key == "hidden" or key == "aria-hidden" and (a or b or c) == "true" or key == "style" and re.search(r"display\s*:\s*none", a or b, re.I):
-                    self.hidden = True
 
     def furniture(self) -> bool:
-        if self.hidden or self.name in ("html", "body", "main"):
-            return self.hidden
+        if self.name in ("html", "body", "main"):
+            return False
         if self.name == "article":
             return bool(self.names and COMMENT_WORDS.search(self.names))
         if self.by_nature() or self.named():
             return True
-        return (self.name == "header" or bool(self.names and not self.content and HEADER_WORDS.search(self.names))) and not self._of_article()
+        # A header inside an article carries its heading.
+        return (self.name == "header" or bool(self.names and not self.content and HEADER_WORDS.search(self.names))) and not self.in_article
 
     def by_nature(self) -> bool:
         """Furniture whatever its class."""
-        return self.hidden or self.name in DROP or self.role in FURNITURE_ROLES and self.name not in ("html", "body", "main", "article")
+        return self.name in DROP or self.role in FURNITURE_ROLES and self.name not in ("html", "body", "main", "article")
 
     def named(self) -> bool:
         return bool(self.names and not self.content and FURNITURE_WORDS.search(self.names))
 
-    def _of_article(self) -> bool:
-        """A header inside an article carries its heading."""
-        up = self.parent
-        while up is not None:
-            if up.name == "article":
-                return True
-            up = up.parent
-        return False
-
 
 def parse(page: str) -> Node:
     root = Node("#root", "", None)
     at, end = root, len(page)
     place = 0
+    opened: Counter[str] = Counter()
+
+    def leave(node: Node) -> Node:
+        """Close everything up to and with an open element; each is closed once."""
+        up = at
+        while up is not node:
+            opened[up.name] -= 1
+            up = up.parent
+        opened[node.name] -= 1
+        return node.parent
+
     while place < end:
         m = _TOKEN.match(page, place)
         place = m.end()
@@ -126,29 +147,18 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if m[1]:
-            up = at
-            while up is not root and up.name != name:
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            if opened[name] > 0:
+                up = at
+                while up.name != name:
+                    up = up.parent
+                at = leave(up)
             elif name == "p":
                 at.parts.append(Node("p", "", at))
             continue
-        if name in CLOSES_P:
-            up = at
-            while up is not root and up.name not in ("p", "button", "td", "th", "caption", "table"):
-                up = up.parent
-            if up.name == "p":
-                at = up.parent
-        if name in ENDS:
-            closes, stops = ENDS[name]
-            up, last = at, None
-            while up is not root and up.name not in stops:
-                if up.name in closes:
-                    last = up
-                up = up.parent
-            if last is not None:
-                at = last.parent
+        if name in CLOSES_P and at.paragraph is not None:
+            at = leave(at.paragraph)
+        if name in ENDS and (last := at.ends[_FAMILY_OF[name]]) is not None:
+            at = leave(last)
         node = Node(name, m[3], at)
         at.parts.append(node)
         if name in VOID or m[3].endswith("/") and name not in BLOCK:
@@ -157,6 +167,7 @@ def parse(page: str) -> Node:
             close = _RAW_END[name].search(page, place)
             place = close.end() if close else end
             continue
+        opened[name] += 1
         at = node
     return root
 
@@ -170,17 +181,23 @@ def _walk(node: Node):
         todo.extend(p for p in reversed(x.parts) if isinstance(p, Node) and not p.furniture())
 
 
-def _texts(node: Node) -> tuple[str, int]:
-    """(all text below, characters of it in links)."""
-    out, linked, todo = [], 0, [(node, node.name == "a")]
+def measure(root: Node) -> None:
+    """Give every element that is not furniture the characters below it, and those of them in links."""
+    for x in reversed(list(_walk(root))):
+        x.length = sum(len(p) if isinstance(p, str) else p.length for p in x.parts if isinstance(p, str) or not p.furniture())
+        x.linked = x.length if x.name == "a" else sum(p.linked for p in x.parts if isinstance(p, Node) and not p.furniture())
+
+
+def _text(node: Node) -> str:
+    """All text below that is not furniture."""
+    out, todo = [], [node]
     while todo:
-        x, inside = todo.pop()
+        x = todo.pop()
         if isinstance(x, str):
             out.append(x)
-            linked += inside * len(x)
         else:
-            todo.extend((p, inside or isinstance(p, Node) and p.name == "a") for p in reversed(x.parts) if isinstance(p, str) or not p.furniture())
-    return "".join(out), linked
+            todo.extend(p for p in reversed(x.parts) if isinstance(p, str) or not p.furniture())
+    return "".join(out)
 
 
 def _own_text(node: Node, links: bool = True) -> str:
@@ -247,17 +264,21 @@ def container(root: Node) -> Node | None:
                 up.points += {"article": 10, "main": 8, "section": 3, "div": 2}.get(up.name, 0.01) + (5 if up.names and CONTENT_WORDS.search(up.names) else 0)
             up.points += share * points
             up = up.parent
+    measure(root)
     best, most = None, 0.0
     for x in scored:
-        text, linked = _texts(x)
-        x.points *= 1 - linked / max(1, len(text))
+        x.points *= 1 - x.linked / max(1, x.length)
         if x.points > most:
             best, most = x, x.points
     return best
 
 
 def kept(best: Node) -> list[Node | str]:
-    """The container and the siblings that belong to it, in page order."""
+    """The container and the siblings that belong to it, in page order.
+
+    Siblings of every container are scored alike. Beside an article or main, a further article stays with any points,
+    and a heading that follows stays only with what follows it.
+    """
     if best.parent is None or best.name == "body":
         return [best]
     whole = best.name in ("article", "main")
@@ -269,15 +290,12 @@ def kept(best: Node) -> list[Node | str]:
             out.append(x)
             passed = True
         elif isinstance(x, Node) and not x.furniture():
-            text, linked = _texts(x)
-            share = linked / max(1, len(text))
             if whole and passed and x.name in HEADINGS:
-                held.append(x)  # it stays with what follows it
+                held.append(x)
                 continue
-            if whole and x.name == "article":
-                good = x.points > 0 and share < 0.25
-            else:
-                good = x.points >= max(10, best.points / 5) or x.name in HEADINGS and text.strip() or x.name in PARAGRAPHS and share < 0.25 and (len(text) > 80 or text.rstrip().endswith((".", "!", "?")))
+            text, share = _text(x).strip(), x.linked / max(1, x.length)
+            good = x.points >= max(10, best.points / 5) or whole and x.name == "article" and x.points > 0 and share < 0.25
+            good = good or x.name in HEADINGS and text or x.name in PARAGRAPHS and share < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")))
             if good:
                 out += [*held, x]
             held.clear()

@@ -74,3 +74,60 @@ def test_class_words_around_the_content_do_not_drop_it():
     reply = f"<article><p>{LONG}</p></article>"
     page = f"<body><article><p>{LONG}</p><p>{LONG}</p></article><div class=comments>{reply * 3}</div><div class=related>{reply}</div>"
     assert op.main_text(page) == f"{LONG}\n{LONG}"
+
+
+def naive_points(root):
+    """Points by their definition: every paragraph is looked for below every element, every sum is taken anew."""
+
+    def below(x):
+        return [x] + [y for p in x.parts if isinstance(p, op.Node) and not p.furniture() for y in below(p)]
+
+    def text(x, links_only=False):
+        return "".join((p if not links_only else "") if isinstance(p, str) else text(p, links_only and p.name != "a") for p in x.parts if isinstance(p, str) or not p.furniture())
+
+    def worth(p):
+        own = op._own_text(p)
+        if p.name not in op.PARAGRAPHS and p.name not in ("div", "section", "article", "main") or len(own) < 25 and not (p.name == "p" and own):
+            return 0.0
+        return 1 + own.count(",") + min(len(own) / 100, 3) if len(own) >= 25 else 0.2
+
+    out = {}
+    every = below(root)
+    for x in every:
+        if x.name in ("#root", "html"):
+            continue
+        parts = [(1.0 if (p.parent if p.name in op.PARAGRAPHS else p) is x else 0.5, worth(p)) for p in every if worth(p) and x in [(p.parent if p.name in op.PARAGRAPHS else p), (p.parent if p.name in op.PARAGRAPHS else p).parent] and (p.parent if p.name in op.PARAGRAPHS else p).name not in ("#root", "html")]
+        if parts:
+            bonus = {"article": 10, "main": 8, "section": 3, "div": 2}.get(x.name, 0.01) + (5 if x.names and op.CONTENT_WORDS.search(x.names) else 0)
+            whole = text(x)
+            linked = len(whole) if x.name == "a" else len(text(x, True))
+            out[id(x)] = (bonus + sum(a * b for a, b in parts)) * (1 - linked / max(1, len(whole)))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "<div class=story>", "</div>", "<ul><li>", "</ul>", "<article>", "</article>", "<a href=x>", "</a>", "<nav>", "</nav>", LONG, "short", "<section>", "<table><td>", "</table>", "<b>"]), max_size=40))
+def test_container_equals_brute_force(parts):
+    root = op.parse("".join(parts))
+    best = op.container(root)
+    want = naive_points(root)
+    if best is None:
+        assert not any(v > 0 for v in want.values())
+    else:
+        assert abs(want[id(best)] - max(want.values())) < 1e-6 and abs(best.points - want[id(best)]) < 1e-6
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("<div>some text, here and there", "<table><tr><td><div>text of some length, yes", "<ul><li>a", "<header><p>b", "<dl><dt>x<dd>y"):
+        op.main_text("<p>" + unit * 30_000)
+    assert time.perf_counter() - began < 60
+
+
+def test_further_articles_and_good_siblings_of_an_article_stay():
+    part = f"<article><p>{LONG}</p></article>"
+    assert op.main_text(f"<body><div>{part}{part}{part}</div>") == "\n".join([LONG] * 3)
+    assert op.main_text(f"<main><article><p>{LONG}</p><p>{LONG}</p></article><p>{LONG}</p></main>") == "\n".join([LONG] * 3)
+    assert op.main_text(f"<article><p>{LONG}</p><p style='display:none'>{LONG}</p></article>") == "\n".join([LONG] * 2)
