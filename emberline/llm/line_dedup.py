@@ -1,29 +1,25 @@
 """Line deduplication by content-defined chunks of lines, in DataFrame functions only.
 
 A text is its lines. Rolling hashes over WINDOW line hashes choose chunk boundaries (one place in
-``divisor``), so that boundaries depend on nearby content and survive shifts; a line of
-``long_words`` words or more is a chunk of its own. Chunks of two or more lines (and long lines)
-that occur again anywhere in the corpus are removed after byte comparison; the first occurrence
+``divisor``), so that boundaries depend on nearby content and survive shifts. Chunks of two or more lines, not
+all blank, that occur again anywhere in the corpus are removed after byte comparison; the first occurrence
 (smallest doc_id, then place) stays.
 
-A passage seldom begins at a boundary. So the pairs of neighbouring lines are counted as well: a
-removed chunk takes with it the lines joined to it by a chain of repeated pairs, which are compared
-byte by byte too.
-
-And a passage may hold no whole chunk. So, where ``passage_words`` is given, the lines of any passage of ``passage_words`` words or more
-that occurs before go as well, whatever its chunks. Its units are determined by content: from each line
-the shortest run of lines ahead that has so many words, and the shortest one back. A repeated passage
-is covered by such runs that lie inside it, and only a repeated passage has repeated runs. Runs
-of one line of ``long_words`` are chunks, runs of two lines are pairs; a run has ``passage_words`` lines
-at most, since an empty line counts as a word.
-
-1. Every unit (chunk, pair or run) is hashed; only hashes are shuffled and counted.
-2. Hashes seen twice make a Bloom filter of ``bits_per_hash`` bits each, broadcast up to
-   ``max_words`` words (16 bytes each), joined by shuffle beyond.
-3. The texts are read again where they lie; only units that pass the filter move, grouped by hash
-   and SHA-256. The smallest and largest text of a group are compared: equal means all are.
-4. The removed line numbers of a document come back to it: broadcast up to ``max_broadcast``
-   removed lines, joined by shuffle beyond. Documents that lose nothing are not touched.
+A repeated passage may hold no whole chunk. So, where ``passage_words`` is given, the lines of any passage of
+``passage_words`` words or more that occurs before go as well, whatever its chunks. Its units are determined by
+content too: from each line the shortest run of lines ahead that has so many words, and the shortest one back. A
+repeated passage is covered by such runs that lie inside it, and only a repeated passage has repeated runs. A run
+has ``passage_words`` lines at most, since an empty line counts as a word.
+
+1. Every unit (chunk or run) is hashed; only hashes are shuffled and counted.
+2. Hashes seen twice make a Bloom filter of ``bits_per_hash`` bits each. Up to ``max_words`` words (16 bytes each) it
+   is broadcast, the texts are read again where they lie and the units that pass are taken out of them. Beyond, the
+   hashes seen twice meet the units' hashes and places by a shuffle, and the places found go back to their
+   texts, each of which then moves once.
+3. Only units seen twice move with their content, grouped by hash and SHA-256. The smallest and largest text of
+   a group are compared: equal means all are.
+4. The removed line numbers of a document come back to it: broadcast up to ``max_bytes``, joined by shuffle
+   beyond. Documents that lose nothing are not touched.
 
 Defined cases: a null text stays null and has no lines; rows equal in doc_id and text count as one
 document and fare alike; a null doc_id sorts first; an empty table gives an empty result; other
@@ -33,16 +29,17 @@ an empty text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm._common import TMP, materialize
-from emberline.llm.exact_dedup import BITS, _bits, filter_words
+from emberline.llm.exact_dedup import filter_words, mask_of
 
 WINDOW = 2
-#: Kinds of units; a pair of passage_words words or more is a run too.
-CHUNK, PAIR, RUN, PAIR_RUN = range(4)
+#: Kinds of units.
+CHUNK, RUN = range(2)
 KEY, TEXT, GONE = TMP + "key", TMP + "text", TMP + "gone"
+_UNITS = "array<struct<kind:int,start:int,end:int>>"
 
 
 def _words(line: Column) -> Column:
@@ -50,8 +47,12 @@ def _words(line: Column) -> Column:
     return F.length(line) - F.length(F.replace(line, F.lit(" "))) + 1
 
 
-def _runs(passage_words: int, long_words: int) -> list[Column]:
-    """Arrays of units, from the columns words and last: the runs ahead, those back and lines that are one alone."""
+def _unit(kind: int, start: Column, end: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))
+
+
+def _runs(passage_words: int) -> list[Column]:
+    """Arrays of units, from the columns words and last: runs ahead, runs back, runs of two lines and of one."""
     at = lambda column, i: F.get(F.col(column), i)
     every = F.sequence(F.lit(0), F.col("last"))
 
@@ -71,12 +72,16 @@ def _runs(passage_words: int, long_words: int) -> list[Column]:
     longer = lambda x: x["r"]["total"] - at("words", x["i"]) >= passage_words
     first = lambda i: F.greatest(i - (passage_words - 1), F.lit(0))
     back = runs(lambda i: F.when(i > 0, i - 1), lambda i: F.reverse(F.slice("words", first(i) + 1, i - first(i) + 1)), lambda x: x["i"] - x["r"]["n"] + 1, lambda x: x["i"], longer)
-    alone = F.transform(F.filter(every, lambda i: (at("words", i) >= passage_words) & (at("words", i) < long_words)), lambda i: F.struct(F.lit(RUN).alias("kind"), i.alias("start"), i.alias("end")))
-    return [ahead, back, alone]
+    enough = lambda i: at("words", i) >= passage_words
+    alone = F.transform(F.filter(every, enough), lambda i: _unit(RUN, i, i))
+    # Neighbours that are enough together, of which one is not so alone, are the shortest run from that one.
+    before = lambda i: at("words", F.when(i > 0, i - 1))
+    both = F.filter(every, lambda i: (i > 0) & (before(i) + at("words", i) >= passage_words) & ~(enough(i) & (before(i) >= passage_words)))
+    return [ahead, back, F.transform(both, lambda i: _unit(RUN, i - 1, i)), alone]
 
 
-def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, long_words: int, min_words: int, passage_words: int | None, with_text: bool) -> DataFrame:
-    """(KEY, doc_id, kind, start, end, h[, content]) of every chunk to be considered, every pair and every run."""
+def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, passage_words: int | None) -> DataFrame:
+    """(KEY, doc_id, lines, kind, start, end, h) of every chunk to be considered and every run."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(TEXT)).filter(F.col(TEXT).isNotNull())
     base = base.select("doc_id", F.xxhash64("doc_id", TEXT).alias(KEY), F.split(TEXT, "\n").alias("lines"))
     base = base.withColumns({"hashes": F.transform("lines", lambda x: F.xxhash64(x)), "words": F.transform("lines", _words), "last": F.size("lines") - 1})
@@ -84,43 +89,40 @@ def line_units(docs: DataFrame, doc_id: str, text: str, divisor: int, long_words
 
     def ends(i: Column) -> Column:
         rolled = F.xxhash64(*[F.coalesce(at("hashes", i - k), F.lit(0).cast("long")) for k in range(WINDOW)])
-        long_here = (at("words", i) >= long_words) | (F.coalesce(at("words", i + 1), F.lit(0)) >= long_words)
-        return (i == F.col("last")) | long_here | (F.pmod(rolled, F.lit(divisor)) == 0)
+        return (i == F.col("last")) | (F.pmod(rolled, F.lit(divisor)) == 0)
 
     base = base.withColumn("ends", F.filter(F.sequence(F.lit(0), F.col("last")), ends))
-    chunks = F.transform("ends", lambda e, k: F.struct(F.lit(CHUNK).alias("kind"), F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1).alias("start"), e.alias("end")))
-    total = lambda c: F.aggregate(F.slice("words", c["start"] + 1, c["end"] - c["start"] + 1), F.lit(0), lambda s, x: s + x)
-    chunks = F.filter(chunks, lambda c: (total(c) >= min_words) & ((c["end"] > c["start"]) | (at("words", c["end"]) >= long_words)))
-    enough = lambda i: at("words", i - 1) + at("words", i) >= passage_words if passage_words else F.lit(False)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.col("last"), F.lit(1))), lambda i: F.struct(F.when(enough(i), PAIR_RUN).otherwise(PAIR).alias("kind"), (i - 1).alias("start"), i.alias("end")))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    pairs = F.when(F.col("last") > 0, pairs).otherwise(none)
-    parts = [chunks, pairs] + (_runs(passage_words, long_words) if passage_words else [])
-    units = base.select(KEY, "doc_id", "lines", "hashes", F.explode(F.concat(*parts)).alias("u"))
+    chunks = F.transform("ends", lambda e, k: _unit(CHUNK, F.when(k == 0, 0).otherwise(F.get("ends", k - 1) + 1), e))
+    filled = lambda c: F.exists(F.slice("lines", c["start"] + 1, c["end"] - c["start"] + 1), lambda x: F.trim(x) != "")
+    chunks = F.filter(chunks, lambda c: (c["end"] > c["start"]) & filled(c))
+    parts = [chunks] + (_runs(passage_words) if passage_words else [])
+    units = base.select(KEY, "doc_id", "lines", "hashes", F.explode(F.concat(*[p.cast(_UNITS) for p in parts])).alias("u"))
     own = F.slice("hashes", F.col("u.start") + 1, F.col("u.end") - F.col("u.start") + 1)
-    out = [KEY, "doc_id", F.col("u.kind").alias("kind"), F.col("u.start").alias("start"), F.col("u.end").alias("end"), F.xxhash64("u.kind", own).alias("h")]
-    if with_text:
-        out.append(F.array_join(F.slice("lines", F.col("u.start") + 1, F.col("u.end") - F.col("u.start") + 1), "\n").alias("content"))
-    return units.select(out)
+    return units.select(KEY, "doc_id", "lines", "u.kind", "u.start", "u.end", F.xxhash64("u.kind", own).alias("h"))
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 2, long_words: int = 50, min_words: int = 12, passage_words: int | None = None, bits_per_hash: int = 16, max_words: int = 1 << 21) -> DataFrame:
-    """(KEY, GONE: the sorted line numbers that go) of the documents that lose lines."""
-    options = (doc_id, text, divisor, long_words, min_words, passage_words)
-    twice = materialize(line_units(docs, *options, False).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+def repeated_units(docs: DataFrame, doc_id: str, text: str, divisor: int, passage_words: int | None, bits_per_hash: int, max_words: int) -> DataFrame:
+    """(KEY, doc_id, kind, start, end, h, content) of the units whose hash is, or may be, seen twice."""
+    content = F.array_join(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start") + 1), "\n").alias("content")
+    out = [KEY, "doc_id", "kind", "start", "end", "h", content]
+    units = line_units(docs, doc_id, text, divisor, passage_words)
+    twice = materialize(units.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     words = filter_words(twice.count(), bits_per_hash)
-
-    def mask(h: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for bit in _bits(h):
-            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-        return out
-
-    bits = twice.groupBy(F.pmod("h", F.lit(words)).alias("word")).agg(F.bit_or(mask(F.col("h"))).alias("bits"))
-    probe = line_units(docs, *options, True).withColumn("word", F.pmod("h", F.lit(words)))
-    found = probe.join(F.broadcast(bits) if words <= max_words else bits, "word")
-    found = found.filter(F.col("bits").bitwiseAND(mask(F.col("h"))) == mask(F.col("h")))
-    found = materialize(found.select(KEY, "doc_id", "kind", "start", "end", "h", F.sha2("content", 256).alias("sha"), "content"))
+    if words <= max_words:
+        bits = twice.groupBy(F.pmod("h", F.lit(words)).alias("word")).agg(F.bit_or(mask_of(F.col("h"))).alias("bits"))
+        passed = units.withColumn("word", F.pmod("h", F.lit(words))).join(F.broadcast(bits), "word")
+        return passed.filter(F.col("bits").bitwiseAND(mask_of(F.col("h"))) == mask_of(F.col("h"))).select(out)
+    places = units.drop("lines").join(twice, "h").groupBy(KEY, "doc_id").agg(F.collect_set(F.struct("kind", "start", "end", "h")).alias("places"))
+    places = materialize(places.select(F.col(KEY).alias(KEY + "2"), "places"))
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(TEXT)).withColumn(KEY, F.xxhash64("doc_id", TEXT)).filter(F.col(TEXT).isNotNull())
+    found = keyed.join(places, F.col(KEY) == F.col(KEY + "2")).select(KEY, "doc_id", F.split(TEXT, "\n").alias("lines"), F.explode("places").alias("p"))
+    return found.select(KEY, "doc_id", "lines", "p.kind", "p.start", "p.end", "p.h").select(out)
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = 4, passage_words: int | None = None, bits_per_hash: int = 16, max_words: int = 1 << 21) -> DataFrame:
+    """(KEY, GONE: the sorted line numbers that go) of the documents that lose lines."""
+    found = repeated_units(docs, doc_id, text, divisor, passage_words, bits_per_hash, max_words)
+    found = materialize(found.withColumn("sha", F.unhex(F.sha2("content", 256))))
     place = F.struct("doc_id", KEY, "start")
     # Two texts of one SHA-256 would differ in their smallest and largest.
     # They are written, so that the join reads plain shuffles and a hot unit's can be split.
@@ -129,37 +131,32 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", d
         .filter("n > 1 AND least = most").select("h", "sha", "kind", "first")
     )
     later = found.drop("content").join(groups, ["h", "sha", "kind"]).filter(place != F.col("first"))
-    later = later.select(KEY, "kind", "start", "end").distinct()
-    # A line is removed with its chunk; so is a chain of lines joined by repeated pairs. A run goes by itself.
-    whole = F.lit(0).alias("whole")
-    chunk_lines = later.filter(F.col("kind") == CHUNK).select(KEY, F.explode(F.sequence("start", "end")).alias("line"), F.lit(1).alias("own"), F.lit(0).alias("joined"), whole)
-    run_lines = later.filter(F.col("kind").isin(RUN, PAIR_RUN)).select(KEY, F.explode(F.sequence("start", "end")).alias("line"), F.lit(0).alias("own"), F.lit(0).alias("joined"), F.lit(1).alias("whole"))
-    pair_lines = later.filter(F.col("kind").isin(PAIR, PAIR_RUN)).select(KEY, F.explode(F.array(F.struct(F.col("start").alias("line"), F.lit(0).alias("joined")), F.struct(F.col("end").alias("line"), F.lit(1).alias("joined")))).alias("x")).select(KEY, "x.line", F.lit(0).alias("own"), "x.joined", whole)
-    per_line = chunk_lines.unionByName(pair_lines).unionByName(run_lines).groupBy(KEY, "line").agg(F.max("own").alias("own"), F.max("joined").alias("joined"), F.max("whole").alias("whole"))
-    # One document's lines at a time.
-    run = F.sum(1 - F.col("joined")).over(Window.partitionBy(KEY).orderBy("line"))
-    chained = per_line.withColumn("run", run)
-    gone = chained.withColumn("any", F.max("own").over(Window.partitionBy(KEY, "run"))).filter("any = 1 OR whole = 1")
-    return materialize(gone.groupBy(KEY).agg(F.array_sort(F.collect_list("line")).alias(GONE)))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = 4_000_000, **options) -> DataFrame:
+    lines = later.select(KEY, F.explode(F.sequence("start", "end")).alias("line")).distinct()
+    return materialize(lines.groupBy(KEY).agg(F.array_sort(F.collect_list("line")).alias(GONE)))
+
+
+def _left(lines: Column) -> Column:
+    """The lines that stay, in time linear in their number."""
+    return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(GONE)), lambda i: F.get(lines, i)), "\n")
+
+
+def _with_gone(keyed: DataFrame, gone: DataFrame, max_bytes: int) -> DataFrame:
+    size = gone.agg(F.sum(4 * F.size(GONE) + 32)).first()[0] or 0
+    return keyed.join(F.broadcast(gone) if size <= max_bytes else gone, KEY, "left")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 32 << 20, **options) -> DataFrame:
     """docs with the repeated passages taken out of the text."""
-    gone = removed_lines(docs, doc_id, text, **options)
-    n = gone.agg(F.sum(F.size(GONE) + 2)).first()[0] or 0
     keyed = docs.withColumn(KEY, F.xxhash64(F.col(doc_id).cast("long"), F.col(text)))
-    joined = keyed.join(F.broadcast(gone) if n <= max_broadcast else gone, KEY, "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col(GONE), i)), "\n")
-    return joined.withColumn(text, F.when(F.col(GONE).isNull(), F.col(text)).otherwise(left)).select(docs.columns)
+    joined = _with_gone(keyed, removed_lines(docs, doc_id, text, **options), max_bytes)
+    return joined.withColumn(text, F.when(F.col(GONE).isNull(), F.col(text)).otherwise(_left(F.split(F.col(text), "\n")))).select(docs.columns)
 
 
-def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast: int = 4_000_000, **options) -> DataFrame:
+def line_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bytes: int = 32 << 20, **options) -> DataFrame:
     """Per document: doc_id, n_lines, n_removed, removed (line numbers, comma-joined), text_sha256 of what stays."""
-    gone = removed_lines(docs, doc_id, text, **options)
-    n = gone.agg(F.sum(F.size(GONE) + 2)).first()[0] or 0
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias(TEXT)).withColumn(KEY, F.xxhash64("doc_id", TEXT))
-    joined = rows.join(F.broadcast(gone) if n <= max_broadcast else gone, KEY, "left")
+    joined = _with_gone(rows, removed_lines(docs, doc_id, text, **options), max_bytes)
     lost = F.coalesce(GONE, F.array().cast("array<int>"))
-    left = F.when(F.col(GONE).isNull(), F.col(TEXT)).otherwise(F.array_join(F.filter(F.split(TEXT, "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n"))
+    left = F.when(F.col(GONE).isNull(), F.col(TEXT)).otherwise(_left(F.split(TEXT, "\n")))
     lines = F.when(F.col(TEXT).isNull(), 0).otherwise(F.size(F.split(TEXT, "\n")))
     return joined.select("doc_id", lines.cast("long").alias("n_lines"), F.size(lost).cast("long").alias("n_removed"), F.array_join(lost.cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce(left, F.lit("")), 256).alias("text_sha256"))
