@@ -51,10 +51,13 @@ def case(seed):
     return [*docs, (100, None), (101, ""), (102, "?!")], items
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 200])
-def test_same_as_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 0}, {"max_bytes": 0, "filter_bits": 64}])
+def test_same_as_brute_force(spark, options):
     docs, items = case(5)
-    found = op.contamination_digest(*tables(spark, docs, items), block_bytes=block_bytes)
+    docs += docs[:20] + [(None, docs[3][1])] * 2
+    found = op.contamination_digest(*tables(spark, docs, items), **options)
+    docs = [(-1 if d is None else d, t) for d, t in docs]
+    found = found.fillna(-1, ["doc_id"])
     assert sorted(tuple(r) for r in found.collect()) == brute(docs, items)
 
 
@@ -73,11 +76,12 @@ def test_rows_and_spans_go(spark):
     df, bench = tables(spark, docs, items)
     bad = {r[0] for r in brute(docs, items) if r[5]}
     assert bad
-    for block_bytes in (1 << 24, 200):
-        kept = op.decontaminate(df, bench, block_bytes=block_bytes)
+    for max_bytes in (1 << 24, 0):
+        kept = op.decontaminate(df, bench, max_bytes=max_bytes)
         assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in docs if d not in bad)
     cut = op.decontaminate(df, bench, mode="spans")
     assert cut.count() == len(docs)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, op.decontaminate(df, bench, mode="spans", max_bytes=0).collect()))
     before = {r[0]: r for r in brute(docs, items)}
     for r in cut.collect():
         assert len(words(r.text)) == before[r.doc_id][1] - before[r.doc_id][2]
@@ -91,3 +95,14 @@ def test_odd_cases(spark):
     assert op.contamination_digest(df.limit(0), bench).count() == 0
     assert op.contamination_digest(df, bench.limit(0)).filter("contaminated").count() == 0
     assert op.decontaminate(df, bench.limit(0)).count() == 4
+
+
+def test_windows_are_small_and_their_size_is_bounded(spark):
+    import pickle
+
+    rng = random.Random(3)
+    items = [(f"item {k}", " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 200)))) for k in range(2000)]
+    held = op.ItemWindows(items, 13)
+    bound = op.windows_size(spark.createDataFrame(items, "item_id string, text string"), "text")
+    n_windows = sum(len(h) for h, *_ in held.by_length.values())
+    assert held.nbytes <= bound <= 1.3 * held.nbytes and len(pickle.dumps(held)) <= 1.1 * held.nbytes and n_windows > 150_000
