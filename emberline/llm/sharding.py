@@ -2,12 +2,12 @@
 
 Equal texts form a group. Groups are placed longest first; each goes to the shard where the dot
 product of its vector (bytes, tokens, rows, each as a share of the whole) with the shard's
-residual capacity is highest, among the shards whose bytes still have room for it.
+residual capacity is highest, among the shards whose bytes still have room for it (among all, where none has).
 
 At scale: a group of more than 1 / heavy_parts of a shard's bytes, tokens or rows is *heavy*. There are
 fewer than 3 * shards * heavy_parts of them, whatever the corpus; they are placed first, by the driver.
 A heavy group larger than half a shard in any of the three is split into about
-sixteenths of a shard by a hash of the ids, since no placement could balance it whole. All other groups are dealt by hash into blocks of about ``block_rows`` rows; each block is
+sixteenths of a shard by a hash of the row's number, since no placement could balance it whole. All other groups are dealt by hash into blocks of about ``block_rows`` rows; each block is
 placed by one task against its share of what the heavy groups left, so every block is
 balanced by itself and so is the sum. Only ids and sizes are shuffled, never texts.
 
@@ -48,8 +48,6 @@ def place(vectors: np.ndarray, capacity: np.ndarray) -> np.ndarray:
         room = residual[:, 0] >= items[i, 0]
         if room.any():
             gain = np.where(room, gain, -np.inf)
-        else:
-            gain = residual[:, 0]
         k = int(np.argmax(gain))
         out[i] = k
         residual[k] -= items[i]
@@ -57,10 +55,10 @@ def place(vectors: np.ndarray, capacity: np.ndarray) -> np.ndarray:
 
 
 def vectors_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Per row: doc_id, size, tokens, text_crc32 and two hashes that name its group."""
+    """Per row: doc_id, a number of its own, size, tokens, text_crc32 and two hashes that name its group."""
     content = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(content) + 1).cast("long").alias("size"),
+        F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), (F.octet_length(content) + 1).cast("long").alias("size"),
         F.size(F.filter(F.split(content, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("tokens"),
         F.crc32(content).alias("text_crc32"), F.xxhash64(content).alias("group_a"), F.hash(content).alias("group_b"),
     )
@@ -80,7 +78,7 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     n_parts = lambda g: max(-(-8 * g[d] // half[d]) for d in DIMENSIONS) if any(g[d] > half[d] for d in DIMENSIONS) else 1
     spark = docs.sparkSession
     counts = spark.createDataFrame([(g["group_a"], g["group_b"], min(n_parts(g), g["rows"])) for g in heavy], "group_a long, group_b int, parts long")
-    keyed = rows.join(F.broadcast(counts), ["group_a", "group_b"], "left").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    keyed = rows.join(F.broadcast(counts), ["group_a", "group_b"], "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int"))
     is_heavy = F.col("parts").isNotNull()
     # Split by hash, the parts of a group differ a little: what is placed is what they hold.
     parts = keyed.filter(is_heavy).groupBy("group_a", "group_b", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")).collect()
@@ -93,8 +91,8 @@ def assign_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     where = spark.createDataFrame([(p["group_a"], p["group_b"], p["part"], int(k)) for p, k in zip(parts, own)], "group_a long, group_b int, part int, heavy_shard int")
     blocks = max(1, -(-int(whole[2]) // block_rows))
     block = F.pmod(F.xxhash64("group_a", "group_b"), F.lit(blocks)).cast("int")
-    # Rows of heavy groups only need slots: they are spread over the blocks by id.
-    spread = F.pmod(F.xxhash64("doc_id", "group_a"), F.lit(blocks)).cast("int")
+    # Rows of heavy groups only need slots: they are spread over the blocks by number, however often an id repeats.
+    spread = F.pmod(F.xxhash64("row", "group_a"), F.lit(blocks)).cast("int")
     settled = keyed.filter(is_heavy).join(F.broadcast(where), ["group_a", "group_b", "part"]).select("doc_id", "size", "text_crc32", spread.alias("block"), F.col("heavy_shard").alias("shard"))
 
     def place_block(t: pa.Table) -> pa.Table:

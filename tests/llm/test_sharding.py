@@ -73,3 +73,31 @@ def test_a_group_of_many_tiny_texts_is_dealt_out(spark):
         sizes, counts = check(rows, op.assign_shards(frame(spark, rows), block_rows=500).collect())
         assert max(sizes) - min(sizes) <= 0.02 * np.mean(sizes)
         assert max(counts) - min(counts) <= 0.1 * np.mean(counts), counts
+
+
+def test_many_equal_rows_of_one_id_are_dealt_out(spark):
+    frames = [spark.range(200_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'short' AS text"), spark.range(20_000).selectExpr("id AS doc_id", "concat('text ', id) AS text")]
+    found = op.assign_shards(frames[0].unionByName(frames[1]), block_rows=10_000)
+    from pyspark.sql import functions as F
+
+    rows = found.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("bytes")).collect()
+    assert len(rows) == 8 and all(r.n == r.slots == r["last"] + 1 for r in rows)
+    for column in ("n", "bytes"):
+        own = [r[column] for r in rows]
+        assert max(own) - min(own) <= 0.05 * sum(own) / 8, own
+
+
+def test_place_by_brute_force():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        vectors = rng.integers(1, 30, (40, 3)).astype(float)
+        capacity = np.tile(vectors.sum(axis=0) / 4, (4, 1))
+        found = op.place(vectors, capacity)
+        scale = 1 / capacity.sum(axis=0)
+        left = [[c * t for c, t in zip(row, scale)] for row in capacity]
+        for i in sorted(range(40), key=lambda k: (*(-vectors[k] * scale), k)):
+            item = [x * t for x, t in zip(vectors[i], scale)]
+            open_ = [k for k in range(4) if left[k][0] >= item[0]] or list(range(4))
+            gains = {k: sum(a * b for a, b in zip(left[k], item)) for k in open_}
+            assert found[i] in gains and gains[found[i]] >= max(gains.values()) - 1e-12
+            left[found[i]] = [a - b for a, b in zip(left[found[i]], item)]
