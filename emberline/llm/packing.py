@@ -1,11 +1,12 @@
 """Sum-of-squares packing of token sequences into sequences of fixed length.
 
 Documents become token ids and one end id; only a document longer than a sequence is cut, its
-first piece being the odd one. Pieces are placed so that the sum of squared counts of open
-bins per residual gap stays smallest. Pieces are dealt at random into blocks of about
-``block_pieces`` and each block is packed by one task; the bins that a block leaves partly
-filled are packed again as wholes by the same rule, over all blocks, in rounds until one block
-is left. A task's memory is bounded by its block, and only lengths, never ids, are shuffled.
+first piece being the odd one. A piece that fills a sequence is one by itself. The others are placed so that the sum of
+squared counts of open bins per residual gap stays smallest. They are dealt at random, by a number of their own, into
+blocks of about ``block_pieces``, and each block is packed by one task. The bins that blocks leave partly filled are
+packed again as wholes by the same rule, round after round, until one block holds all that are left; once a round
+joins few of them, only bins at most half full go on, of which every two fit together. So at most one bin of the
+whole result is at most half full. A task's memory is bounded by its block, and only lengths, never ids, are shuffled.
 
 Defined cases: a null text is empty and gives one piece of the end id alone; repeated rows are
 packed each on its own; an empty table gives no pieces. Columns besides the id and the text
@@ -146,56 +147,73 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     return bins, offsets
 
 
-_PLACED = StructType([*_PIECE, StructField("block", LongType()), StructField("bin", LongType()), StructField("offset", LongType()), StructField("fill", LongType())])
+def _pack_blocks(table: pa.Table, capacity: int, names: list[str]) -> pa.Table:
+    """Add bin, offset and the bin's fill to the rows of a block."""
+    lengths = table.column("length").to_numpy()
+    bins, offsets = sum_of_squares(lengths, capacity)
+    fill = np.bincount(bins, weights=lengths).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
+    for name, values in (("bin", bins), ("offset", offsets), ("fill", fill[bins])):
+        table = table.append_column(name, pa.array(values, pa.int64()))
+    return table.select(names)
 
 
-def pack(found: DataFrame, n_pieces_hint: int, capacity: int = CAPACITY, block_pieces: int = 8192) -> DataFrame:
+_BIN = [StructField("block", LongType()), StructField("bin", LongType()), StructField("offset", LongType()), StructField("fill", LongType())]
+_PLACED = StructType([*_PIECE, *_BIN])
+
+
+def pack(found: DataFrame, capacity: int = CAPACITY, block_pieces: int = 8192) -> DataFrame:
     """Add sequence_id and offset to pieces; see the module's docstring."""
-    blocks = max(1, -(-n_pieces_hint // block_pieces))
-    keyed = found.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)))
-
-    def place(table: pa.Table) -> pa.Table:
-        lengths = table.column("length").to_numpy()
-        bins, offsets = sum_of_squares(lengths, capacity)
-        fill = np.bincount(bins, weights=lengths).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
-        for name, values in (("bin", bins), ("offset", offsets), ("fill", fill[bins])):
-            table = table.append_column(name, pa.array(values, pa.int64()))
-        return table.select(_PLACED.names)
-
-    placed = materialize(keyed.groupBy("block").applyInArrow(place, _PLACED))
-    # Whole bins are packed again until one block holds all that is still open.
-    is_open = F.col("fill") < capacity
-    level = placed.filter(is_open & (F.col("offset") == 0)).select(F.struct("block", "bin").alias("id"), F.col("fill").alias("length"))
-    moves = _repack(level, capacity, block_pieces)
-    where = placed.join(
-        moves.select(F.col("id.block").alias("block"), F.col("id.bin").alias("bin"), F.col("to").alias("_to"), F.col("at").alias("_at")), ["block", "bin"], "left"
-    )
-    own = F.struct(F.lit(0).cast("long").alias("kind"), F.col("block"), F.col("bin"))
-    moved = F.struct(F.lit(1).cast("long").alias("kind"), F.col("_to.block").alias("block"), F.col("_to.bin").alias("bin"))
-    target = F.when(F.col("_to").isNull(), own).otherwise(moved)
-    # kind, block and bin in one number: blocks below 2^30, bins below 2^30.
-    number = F.shiftleft(target["block"], 31) + F.shiftleft(target["bin"], 1) + target["kind"]
-    return where.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), (F.col("offset") + F.coalesce("_at", F.lit(0))).alias("offset"))
-
-
-def _repack(level: DataFrame, capacity: int, block_pieces: int) -> DataFrame:
-    """(id, to: struct<block, bin>, at) of open bins: the bins that join others, as wholes."""
-    schema = StructType([level.schema["id"], StructField("length", LongType()), StructField("block", LongType()), StructField("bin", LongType()), StructField("offset", LongType())])
-
-    def place(table: pa.Table) -> pa.Table:
-        bins, offsets = sum_of_squares(table.column("length").to_numpy(), capacity)
-        return table.append_column("bin", pa.array(bins, pa.int64())).append_column("offset", pa.array(offsets, pa.int64())).select(schema.names)
-
-    n = level.count()
-    blocks = max(1, -(-n // block_pieces))
-    keyed = level.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    return keyed.groupBy("block").applyInArrow(place, schema).select("id", F.struct("block", "bin").alias("to"), F.col("offset").alias("at"))
+    numbered = materialize(found.withColumn("row", F.monotonically_increasing_id()))
+    rest = numbered.filter(F.col("length") < capacity)
+    blocks = max(1, -(-rest.count() // block_pieces))
+    keyed = rest.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    placed = materialize(keyed.groupBy("block").applyInArrow(lambda t: _pack_blocks(t, capacity, _PLACED.names), _PLACED))
+    # Bins are known by (level, block, bin) in one number: level below 15, bins below 2^28.
+    named = lambda level: F.shiftleft(F.shiftleft(F.col("block"), 28) + F.col("bin"), 4) + level
+    placed = placed.withColumn("id", named(0))
+    moves = _repack(placed.filter((F.col("fill") < capacity) & (F.col("offset") == 0)).select("id", F.col("fill").alias("length")), capacity, block_pieces, named)
+    if moves is not None:
+        placed = placed.join(moves, "id", "left")
+        number, offset = F.coalesce("to", "id"), F.col("offset") + F.coalesce("at", F.lit(0))
+    else:
+        number, offset = F.col("id"), F.col("offset")
+    out = [f.name for f in _PIECE]
+    whole = numbered.filter(F.col("length") == capacity).select(*out, (F.shiftleft("row", 4) + 15).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.select(*out, number.alias("sequence_id"), offset.cast("long").alias("offset")).unionByName(whole)
+
+
+def _repack(level: DataFrame, capacity: int, block_pieces: int, named) -> DataFrame | None:
+    """(id, to, at): the bin that each open bin ends in, and where; None where nothing is open.
+
+    A round shrinks what goes on at least by a tenth, or leaves bins at most half full, of which the next halves
+    the number: the rounds are few.
+    """
+    schema = StructType([StructField("id", LongType()), StructField("length", LongType()), *_BIN])
+    moves = None
+    for number in range(1, 15):
+        n = level.count()
+        if not n:
+            break
+        blocks = -(-n // block_pieces)
+        keyed = level.withColumn("block", F.pmod(F.xxhash64("id", F.lit(number)), F.lit(blocks)))
+        round_ = materialize(keyed.groupBy("block").applyInArrow(lambda t: _pack_blocks(t, capacity, schema.names), schema).withColumn("to", named(number)))
+        step = round_.select(F.col("id").alias("from"), F.col("to").alias("next"), F.col("offset").alias("step"))
+        if moves is None:
+            moves = step.select(F.col("from").alias("id"), F.col("next").alias("to"), F.col("step").alias("at"))
+        else:
+            joined = moves.join(step, F.col("to") == F.col("from"), "left")
+            moves = materialize(joined.select("id", F.coalesce("next", "to").alias("to"), (F.col("at") + F.coalesce("step", F.lit(0))).alias("at")))
+        if blocks == 1:
+            break
+        bins = round_.filter("offset = 0").select(F.col("to").alias("id"), F.col("fill").alias("length"))
+        level = bins.filter(F.col("length") < capacity) if bins.count() <= 0.9 * n else bins.filter(F.col("length") <= capacity // 2)
+    return moves
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: ByteBpe | None = None, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, block_pieces: int = 8192) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     found = pieces(docs, tokenizer or public_byte_bpe(), doc_id, text, capacity, end_id)
-    return pack(found, docs.count(), capacity, block_pieces)
+    return pack(found, capacity, block_pieces)
 
 
 def sequences(docs: DataFrame, tokenizer: ByteBpe | None = None, capacity: int = CAPACITY, pad_id: int = 0, **options) -> DataFrame:

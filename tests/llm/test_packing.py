@@ -48,8 +48,13 @@ def test_driver_documents_and_rounds(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     used, least = check(rows, op.best_fit_pack(frame(spark, rows)).collect())
     assert used <= least + 2
-    used, least = check(rows, op.best_fit_pack(frame(spark, rows), block_pieces=16).collect())
+    found = op.best_fit_pack(frame(spark, rows), block_pieces=16).collect()
+    used, least = check(rows, found)
     assert used <= 1.1 * least + 2
+    fill = defaultdict(int)
+    for r in found:
+        fill[r.sequence_id] += r.length
+    assert sum(n <= 1024 for n in fill.values()) <= 1
 
 
 def test_odd_cases(spark):
@@ -88,3 +93,49 @@ def test_bins_are_sound(lengths):
             at += n
         assert at <= 64
     assert len(by) <= max(1, 2 * -(-int(lengths.sum()) // 64))
+
+
+def test_one_row_repeated_very_often(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(50_000).selectExpr("7L AS doc_id", "'one two three' AS text")
+    found = op.best_fit_pack(rows, block_pieces=1000)
+    each = found.select("length").first().length
+    by = found.groupBy("sequence_id").agg(F.count("*").alias("n"), F.countDistinct("offset").alias("d"), F.sum("length").alias("fill")).collect()
+    assert sum(r.n for r in by) == 50_000 and all(r.n == r.d and r.fill <= 2048 for r in by)
+    assert len(by) <= 50_000 // (2048 // each) + 2 + 50
+    placed = op.materialize(rows.withColumn("row", F.monotonically_increasing_id())).groupBy(F.pmod(F.xxhash64("row"), F.lit(50))).count().agg(F.max("count")).first()[0]
+    assert placed < 1500
+
+
+def naive(lengths, capacity):
+    """The rule by its definition: every placement's sum of squares is counted anew."""
+    from collections import Counter
+
+    bins, where = [], []
+    for i in sorted(range(len(lengths)), key=lambda k: (-lengths[k], k)):
+        choices = []
+        for gap in sorted({g for g in bins if lengths[i] <= g < capacity}):
+            after = list(bins)
+            after[after.index(gap)] -= lengths[i]
+            choices.append((sum(n * n for g, n in Counter(after).items() if 0 < g), gap))
+        if choices:
+            bins[bins.index(min(choices)[1])] -= lengths[i]
+            where.append(min(choices)[1])
+        else:
+            bins.append(capacity - lengths[i])
+            where.append(capacity)
+    return sorted(bins), where
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=40))
+def test_rule_equals_brute_force(lengths):
+    bins, offsets = op.sum_of_squares(np.array(lengths, dtype=np.int64), 20)
+    gaps, where = naive(lengths, 20)
+    order = sorted(range(len(lengths)), key=lambda k: (-lengths[k], k))
+    assert [20 - int(offsets[i]) for i in order] == where
+    left = defaultdict(lambda: 20)
+    for b, n in zip(bins.tolist(), lengths):
+        left[b] -= n
+    assert sorted(left.values()) == gaps
