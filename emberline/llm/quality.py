@@ -6,7 +6,7 @@ toxicity). A labeller votes 1, 0 or abstains. Expectation-maximisation over the
 patterns in all documents estimates the share of faulty documents and each labeller's accuracy on
 faulty and on sound ones; it gives each pattern a posterior. The posteriors of a bounded sample
 (``max_labelled`` labelled rows and ``max_unlabelled`` others, the smallest hashes of doc_id) train
-a logistic scorer over hashed word features, which then judges every document.
+a logistic scorer over hashed word features, the measures and the labellers' votes, which alone then judges every document.
 
 The curated labels are labellers too, in the counts of all documents: they abstain where a document
 has none. Their votes join the documents' by id after the texts are read.
@@ -37,8 +37,10 @@ from pyspark.sql import functions as F
 from emberline.llm._common import MEMO_LIMIT, TMP, utf8
 
 FAULTS = ("junk", "toxic")
-#: Feature ids lie in 0 .. 2 ** 24; the first RESERVED are the dense measures' steps.
-DIMENSIONS, RESERVED = 1 << 24, 64
+#: Feature ids lie in 0 .. 2 ** 24; the first RESERVED are the dense measures' steps and the labellers' votes.
+DIMENSIONS, RESERVED = 1 << 24, 80
+#: Words of a window of sameness, and what stands in for evidence where a text is short.
+SAME_WINDOW, PRIOR = 200, 5.0
 _SPAN = DIMENSIONS - RESERVED - 1
 _SYMBOLS = re.compile(rb"[#$%&*@^~=<>\\_]{2,}|!{2,}|\?{2,}")
 _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -87,17 +89,32 @@ class WordTable(dict):
         return np.frombuffer(self.flat).reshape(-1, 4)[index] if len(index) else np.zeros((0, 4))
 
 
-def dense(raw: bytes, words: list[bytes], index: np.ndarray, distinct: int) -> dict[str, float]:
+def distinct_words(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(distinct words, how often each comes, repeats: words that came before in their window of SAME_WINDOW)."""
+    n = len(index)
+    if n <= SAME_WINDOW:
+        distinct, times = np.unique(index, return_counts=True)
+        return distinct, times, n - len(distinct)
+    most = int(index.max()) + 1
+    pairs, counts = np.unique(np.arange(n) // SAME_WINDOW * most + index, return_counts=True)
+    word = pairs % most
+    times = np.bincount(word, counts)
+    distinct = np.flatnonzero(times)
+    return distinct, times[distinct].astype(np.int64), n - len(pairs)
+
+
+def dense(raw: bytes, words: list[bytes], index: np.ndarray, repeats: int) -> dict[str, float]:
+    """Rates, of any length alike: PRIOR sound words stand beside each text's own, so that few words prove little."""
     n = len(words)
     if not n:
         return dict.fromkeys((*DENSE, "unlike"), 0.0)
     letters = sum(map(raw.count, (b"e", b"n", b"r", b"a", b"i"))), sum(map(raw.count, (b"E", b"N", b"R", b"A", b"I")))
     out = {
         "symbols": min(1.0, len(_SYMBOLS.findall(raw)) / n),
-        "capitals": letters[1] / max(1, sum(letters)) if n >= 10 else 0.0,
+        "capitals": letters[1] / (sum(letters) + PRIOR),
         "bars": raw.count(b" | ") / n,
-        "stutter": float((index[1:] == index[:-1]).mean()) if n >= 8 else 0.0,
-        "sameness": 1 - distinct / n if 30 <= n <= 400 else 0.0,
+        "stutter": float(np.count_nonzero(index[1:] == index[:-1])) / (n + PRIOR),
+        "sameness": repeats / (n + PRIOR),
     }
     # How far the worst measure has come to its labeller's limit.
     out["unlike"] = max(out[m] / least for _, m, least, _ in LABELLERS["junk"][1:-1])
@@ -109,6 +126,13 @@ def steps_of(measures: dict[str, float]) -> list[int]:
     return [11 * k + min(10, int(10 * measures[name])) for k, name in enumerate(DENSE)]
 
 
+def vote_features(measures: dict[str, float]) -> list[int]:
+    """The labellers' own votes for a fault as features: one id for each but the curated ones."""
+    base = 11 * len(DENSE)
+    limits = [(m, least) for fault in FAULTS for _, m, least, _ in LABELLERS[fault][:-1]]
+    return [base + k for k, (m, least) in enumerate(limits) if measures[m] >= least]
+
+
 @dataclass
 class Model:
     """What the sample and the vote counts taught."""
@@ -134,33 +158,32 @@ class Model:
 
     def judge(self, texts: list[str | None], table: WordTable) -> list[tuple[np.ndarray, dict[str, float]]]:
         """For each text the two scores and the measures."""
-        steps = {i: w for i, w in zip(self.ids.tolist(), self.weights) if i < RESERVED}
+        fixed = {i: w for i, w in zip(self.ids.tolist(), self.weights) if i < RESERVED}
         out = []
         for text in texts:
             raw = utf8(text)
             words = raw.split()
             index = table.of(words)
-            distinct = np.unique(index)
-            measures = dense(raw, words, index, len(distinct))
-            sums = table.rows(distinct).sum(axis=0)
-            logit = sums[:2] + self.bias
-            if words:
-                for step in steps_of(measures):
-                    logit = logit + steps.get(step, 0.0)
+            distinct, times, repeats = distinct_words(index)
+            measures = dense(raw, words, index, repeats)
+            rows = table.rows(distinct)
+            logit = rows[:, :2].sum(axis=0) + self.bias
             # A word that comes twice counts twice.
-            measures["words"], measures["stems"] = (float(x) for x in table.rows(index)[:, 2:].sum(axis=0))
+            measures["words"], measures["stems"] = (float(x) for x in times @ rows[:, 2:])
+            if words:
+                for step in steps_of(measures) + vote_features(measures):
+                    logit = logit + fixed.get(step, 0.0)
             out.append((1 / (1 + np.exp(-np.clip(logit, -30, 30))), measures))
         return out
 
-
     def weak(self, measures: dict[str, float]) -> list[float]:
         """The posteriors of the document's own votes, without a curated one."""
         return [self.posteriors.get(f, {}).get(votes(f, measures, None), 0.0) for f in FAULTS]
 
 
-def model_accepts(scores, weak, threshold: float) -> bool:
-    """Neither the scorer nor the labellers by themselves find a fault."""
-    return max(*scores, *weak) < threshold
+def model_accepts(scores, threshold: float) -> bool:
+    """The scorer finds neither fault."""
+    return max(scores) < threshold
 
 
 def votes(fault: str, measures: dict[str, float], curated: float | None) -> str:
@@ -283,7 +306,7 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, max_labelled: int,
     return first.unionByName(other.withColumns({"quality": F.lit(None).cast("double"), "toxic": F.lit(None).cast("double")}))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 3500, max_unlabelled: int = 500, max_features: int = 20_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_labelled: int = 3500, max_unlabelled: int = 2000, max_features: int = 20_000) -> Model:
     """The model of docs; labels(doc_id, quality 0/1, toxic 0/1) may be empty."""
     spark = docs.sparkSession
     few = F.broadcast(_sample(docs, labels, doc_id, max_labelled, max_unlabelled))
@@ -297,19 +320,18 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 raw = utf8(value)
                 words = raw.split()
                 index = table.of(words)
-                distinct = np.unique(index)
-                measures = dense(raw, words, index, len(distinct))
+                distinct, counts, repeats = distinct_words(index)
+                measures = dense(raw, words, index, repeats)
                 ids = table.rows(distinct).astype(np.int64)
-                counts = np.bincount(np.searchsorted(distinct, index), minlength=len(distinct))
                 measured.append([measures[d] for d in (*DENSE, "unlike")])
                 found.append(np.concatenate([steps_of(measures) if words else [], ids.ravel()]).astype("<i4").tobytes())
-                times.append(np.minimum(counts, 65535).astype("<u2").tobytes())
+                times.append(counts.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()), pa.array(measured, pa.list_(pa.float64())), pa.array(times, pa.binary())], names=["quality", "toxic", "features", "measures", "times"])
 
     sample = own.mapInArrow(features, "quality double, toxic double, features binary, measures array<double>, times binary").toArrow()
     quality, toxic = (np.array(sample.column(c).to_pylist(), dtype=float) for c in ("quality", "toxic"))
     raw = [np.frombuffer(b, dtype="<i4") for b in sample.column("features").to_pylist()]
-    times = [np.frombuffer(b, dtype="<u2").astype(float) for b in sample.column("times").to_pylist()]
+    times = [np.frombuffer(b, dtype="<u4").astype(float) for b in sample.column("times").to_pylist()]
     dense_rows = [dict(zip((*DENSE, "unlike"), m)) for m in sample.column("measures").to_pylist()]
     del sample
     features_of = Sample.of(raw)
@@ -341,15 +363,17 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         model.accuracies[fault] = {"share": share, **{name: a for (name, *_), a in zip(LABELLERS[fault], accuracy)}}
     if not raw:
         return model
+    for i, (f, m) in enumerate(zip(raw, dense_rows)):
+        ids = f[len(DENSE) :].reshape(-1, 4) if len(f) else f.reshape(0, 4)
+        known = np.isin(ids, lexicon)
+        m["words"], m["stems"] = float(times[i] @ known[:, 0]), float(times[i] @ (known[:, 1] | known[:, 2]))
+        raw[i] = np.concatenate([f, np.array(vote_features(m), dtype=np.int32)]) if len(f) else f
+    features_of = Sample.of(raw)
     found = []
     for k, fault in enumerate(FAULTS):
-        target = np.zeros(len(raw))
-        for i, (f, m) in enumerate(zip(raw, dense_rows)):
-            ids = f[len(DENSE) :].reshape(-1, 4) if len(f) else f.reshape(0, 4)
-            known = np.isin(ids, lexicon)
-            m = {**m, "words": float(times[i] @ known[:, 0]), "stems": float(times[i] @ (known[:, 1] | known[:, 2]))}
-            label = (quality, toxic)[k][i]
-            target[i] = model.posteriors[fault].get(votes(fault, m, None if np.isnan(label) else abs(label - (k == 0))), 0.0)
+        label = (quality, toxic)[k]
+        curated = [None if np.isnan(x) else abs(x - (k == 0)) for x in label]
+        target = np.array([model.posteriors[fault].get(votes(fault, m, c), 0.0) for m, c in zip(dense_rows, curated)])
         found.append(train(features_of, target, max_features))
     ids = np.union1d(found[0][0], found[1][0])
     weights = np.zeros((len(ids), 2))
@@ -371,7 +395,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             weak = [[w[k] for w in map(held.value.weak, (m for _, m in found))] for k in range(len(FAULTS))]
             scores = np.array([s for s, _ in found]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores[:, 0]), pa.array(scores[:, 1]), pa.array(weak[0], pa.float64()), pa.array(weak[1], pa.float64()), pa.array([model_accepts(s, w, threshold) for s, *w in zip(scores, *weak)], pa.bool_())],
+                [batch.column(0), pa.array(scores[:, 0]), pa.array(scores[:, 1]), pa.array(weak[0], pa.float64()), pa.array(weak[1], pa.float64()), pa.array([model_accepts(s, threshold) for s in scores], pa.bool_())],
                 names=["doc_id", "junk_score", "toxic_score", "weak_junk", "weak_toxic", "accepted"],
             )
 
@@ -386,6 +410,6 @@ def keep_accepted(docs: DataFrame, model: Model, text: str = "text", threshold:
         table = WordTable(held.value.rows())
         for batch in batches:
             found = held.value.judge(batch.column(at).to_pylist(), table)
-            yield batch.filter(pa.array([model_accepts(s, held.value.weak(m), threshold) for s, m in found], pa.bool_()))
+            yield batch.filter(pa.array([model_accepts(s, threshold) for s, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -106,3 +106,55 @@ def test_every_label_votes_however_small_the_sample(spark):
             assert all(abs(model.posteriors[fault][p] - v) < 1e-6 for p, v in post.items()) and abs(model.accuracies[fault]["share"] - share) < 1e-6
             # Where all are labelled, a document's own votes still have a posterior.
             assert all(op.votes(fault, model.judge([t], table)[0][1], None) in post for _, t in docs)
+
+
+def test_em_equals_plain_loops():
+    from math import exp, log
+
+    rng = random.Random(8)
+    for sided in (None, [False, True, False, True]):
+        counts = {}
+        for _ in range(3000):
+            bad = rng.random() < 0.2
+            pattern = "".join("-" if s and rng.random() > (0.4 if bad else 0.02) or rng.random() < 0.2 else "1" if s or rng.random() < (0.7 if bad else 0.03) else "0" for s in (sided or [False] * 4))
+            counts[pattern] = counts.get(pattern, 0) + 1
+        found, share, rates = op.estimate(counts, sided, rounds=7)
+        one_sided = sided or [False] * 4
+        post = {p: 0.9 if "1" in p else 0.02 for p in counts}
+        for _ in range(7):
+            bad, total = sum(n * post[p] for p, n in counts.items()), sum(counts.values())
+            want = min(max(bad / total, 1e-6), 1 - 1e-6)
+            p_, q_ = [], []
+            for k in range(4):
+                given = [x for x in counts if x[k] != "-" or one_sided[k]]
+                ones = [x for x in counts if x[k] == "1"]
+                p_.append(min(max((sum(counts[x] * post[x] for x in ones) + 0.5) / (sum(counts[x] * post[x] for x in given) + 1), op.FLOOR), 1 - 1e-3))
+                q_.append(min(max((sum(counts[x] * (1 - post[x]) for x in ones) + 0.01) / (sum(counts[x] * (1 - post[x]) for x in given) + 1), 1e-4), op.CEILING))
+            for x in counts:
+                odds = log(want / (1 - want))
+                for k, c in enumerate(x):
+                    odds += log(p_[k] / q_[k]) if c == "1" else log((1 - p_[k]) / (1 - q_[k])) if c == "0" and not one_sided[k] else 0.0
+                post[x] = 1 / (1 + exp(-max(-50, min(50, odds))))
+        assert abs(share - want) < 1e-9 and all(abs(found[x] - post[x]) < 1e-9 for x in counts)
+        assert all(abs(a - c) < 1e-9 and abs(b - d) < 1e-9 for (a, b), c, d in zip(rates, p_, q_))
+
+
+def test_scorer_equals_plain_sums(spark, learned):
+    from collections import Counter
+    from math import exp
+
+    df, _, model = learned
+    weights = {i: w for i, w in zip(model.ids.tolist(), model.weights.tolist())}
+    lexicon = set(model.lexicon.tolist())
+    rows = df.limit(200).collect() + spark.createDataFrame([(1, " ".join(f"w{k % 300}" for k in range(5000)), "x", 7), (2, "a b", "x", 7)], SCHEMA).collect()
+    found = model.judge([r.text for r in rows], op.WordTable(model.rows()))
+    for r, (scores, measures) in zip(rows, found):
+        words = r.text.encode().split()
+        n, repeats = len(words), sum(len(w) - len(set(w)) for w in (words[k : k + op.SAME_WINDOW] for k in range(0, len(words), op.SAME_WINDOW)))
+        assert abs(measures["sameness"] - repeats / (n + op.PRIOR)) < 1e-12
+        assert abs(measures["stutter"] - sum(a == b for a, b in zip(words, words[1:])) / (n + op.PRIOR)) < 1e-12
+        assert measures["words"] == sum(c for w, c in Counter(words).items() if op.word_features(w)[0] in lexicon)
+        features = [f for w in set(words) for f in op.word_features(w)] + op.steps_of(measures) + op.vote_features(measures)
+        for k in range(2):
+            logit = model.bias[k] + sum(weights[f][k] for f in features if f in weights)
+            assert abs(scores[k] - 1 / (1 + exp(-max(-30, min(30, logit))))) < 1e-9
