@@ -18,7 +18,8 @@ are taken as equal). Documents link when 100 * |A and B| >= 80 * |A or B|.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own
 component; a text of fewer words than a shingle has one; repeated rows (equal doc_id and text)
-each get a row; a null doc_id is its own component, null; empty tables give no rows. Columns
+each get a row; rows of one doc_id with different texts have the components of their own
+texts, and where one doc_id stands for several classes these are joined; a null doc_id is its own component, null; empty tables give no rows. Columns
 besides the id and the text are not read.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from emberline.llm._common import ASCII_LOWER, TMP, WordHash, materialize, n_shuffle, utf8
+from emberline.llm._common import ASCII_LOWER, TMP, WordHash, materialize, n_shuffle, text_of, utf8
 from emberline.llm.components import connected_components
 
 WORDS = 5
@@ -120,7 +121,7 @@ class Forest:
 
 _SETS = StructType([
     StructField("doc_id", LongType()), StructField("n", IntegerType()), StructField("key_a", LongType()),
-    StructField("key_b", LongType()), StructField("bitmap", BinaryType()), StructField("prefix", BinaryType()),
+    StructField("key_b", LongType()), StructField("bitmap", BinaryType()), StructField("prefix", BinaryType()), StructField("text_hash", LongType()),
 ])
 
 
@@ -131,16 +132,16 @@ def _signatures(words: int, percent: int):
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 out: list[list] = [[] for _ in _SETS.names]
-                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for key, text, text_hash in zip(*(c.to_pylist() for c in part.columns)):
                     own = shingles(text, memo, words)
                     n = len(own)
                     digest = xxhash.xxh3_128_intdigest(own.tobytes())
                     a, b = digest >> 65, digest & ((1 << 63) - 1)
                     bitmap = parity(own, bitmap_bits(n)).tobytes() if n else b""
                     prefix = own[: prefix_length(n, percent)].tobytes() if n else b""
-                    for column, value in zip(out, (key, n, a, b, bitmap, prefix)):
+                    for column, value in zip(out, (key, n, a, b, bitmap, prefix, text_hash)):
                         column.append(value)
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=_SETS.names)
 
     return sign
@@ -211,8 +212,8 @@ def exact_links(sets: list[np.ndarray], n_left: int, percent: int) -> list[tuple
 
 
 def set_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80) -> DataFrame:
-    """The written signature table: doc_id, n, the set's 128-bit key, bitmap, prefix."""
-    return materialize(docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(_signatures(words, percent), _SETS))
+    """The written signature table: doc_id, n, the set's 128-bit key, bitmap, prefix, the text's hash."""
+    return materialize(docs.select(F.col(doc_id).cast("long"), F.col(text), F.xxhash64(text_of(text))).mapInArrow(_signatures(words, percent), _SETS))
 
 
 def candidate_links(reps: DataFrame, percent: int = 80) -> DataFrame:
@@ -380,12 +381,8 @@ def true_links(docs: DataFrame, groups: DataFrame, percent: int = 80, words: int
     return dealt.select("group", "cell", "rep", "text", "left").mapInArrow(_verify(percent, words), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id.
-
-    Tables of ids are broadcast up to most_broadcast rows (at most 24 bytes each) and joined by
-    shuffle beyond.
-    """
+def _components(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, most_broadcast: int) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, text_hash."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = set_classes(rows, words=words, percent=percent)
     keys = sets.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key_a", "key_b")
@@ -398,16 +395,26 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     possible = connected_components(candidate_links(reps, percent))
     linked = connected_components(true_links(rows, possible, percent, words, most_broadcast))
     named = classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key_a", "key_b", F.coalesce("component", "rep").alias("class_component"))
-    out = sets.select("doc_id", "n", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "n", "key_a", "key_b", "text_hash").join(named, ["key_a", "key_b"], "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("class_component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+
+
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id.
+
+    Tables of ids are broadcast up to most_broadcast rows (at most 24 bytes each) and joined by
+    shuffle beyond.
+    """
+    return _components(docs, doc_id, text, words, percent, most_broadcast).drop("text_hash")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = 80, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of docs that stay: the smallest doc_id of each component, with all columns.
 
-    Dropped ids are broadcast up to most_broadcast rows and joined by shuffle beyond.
+    Dropped rows, by id and hash of the text, are broadcast up to most_broadcast rows and joined by shuffle beyond.
     """
-    found = jaccard_components(docs, doc_id, text, words, percent, most_broadcast)
-    gone = materialize(found.filter("component_id != doc_id").select(F.col("doc_id").alias(TMP + "id")).distinct())
+    found = _components(docs, doc_id, text, words, percent, most_broadcast)
+    gone = materialize(found.filter("component_id != doc_id").select(F.col("doc_id").alias(TMP + "id"), F.col("text_hash").alias(TMP + "text")).distinct())
     small = gone.count() <= most_broadcast
-    return docs.join(F.broadcast(gone) if small else gone, F.col(doc_id) == F.col(TMP + "id"), "left_anti").select(docs.columns)
+    same = (F.col(doc_id) == F.col(TMP + "id")) & (F.xxhash64(text_of(text)) == F.col(TMP + "text"))
+    return docs.join(F.broadcast(gone) if small else gone, same, "left_anti").select(docs.columns)

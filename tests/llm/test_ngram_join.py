@@ -116,3 +116,12 @@ def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)]
     found = dict(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_texts_of_one_id_fare_by_themselves(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "x", 1), (2, long, "x", 1), (2, "quite another text of six words", "x", 1), (3, "quite another text of six words", "x", 1), (4, "alone", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in op.jaccard_components(df).collect()} == {(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)}
+    for most in (1_000_000, 0):
+        assert sorted((r.doc_id, r.text[:5]) for r in op.near_dedup(df, most_broadcast=most).collect()) == [(1, "w0 w1"), (2, "quite"), (4, "alone")]
