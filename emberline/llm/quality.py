@@ -23,10 +23,11 @@ missing labels leave the heuristics alone; an empty documents table gives an emp
 
 from __future__ import annotations
 
-import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import eq
 from zlib import crc32
 
 import numpy as np
@@ -42,7 +43,8 @@ DIMENSIONS, RESERVED = 1 << 24, 80
 #: Words of a window of sameness, and what stands in for evidence where a text is short.
 SAME_WINDOW, PRIOR = 200, 5.0
 _SPAN = DIMENSIONS - RESERVED - 1
-_SYMBOLS = re.compile(rb"[#$%&*@^~=<>\\_]{2,}|!{2,}|\?{2,}")
+#: Runs of these are noise: for each, the table that makes them # and all else a blank.
+_MARKS = {chars: bytes(35 if c in chars else 32 for c in range(256)) for chars in (b"#$%&*@^~=<>\\_", b"!", b"?")}
 _EDGES = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 
 #: Labellers of each fault: (name, measure, votes 1 from here on, what it says below: 0 or nothing).
@@ -89,31 +91,24 @@ class WordTable(dict):
         return np.frombuffer(self.flat).reshape(-1, 4)[index] if len(index) else np.zeros((0, 4))
 
 
-def distinct_words(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(distinct words, how often each comes, repeats: words that came before in their window of SAME_WINDOW)."""
-    n = len(index)
-    if n <= SAME_WINDOW:
-        distinct, times = np.unique(index, return_counts=True)
-        return distinct, times, n - len(distinct)
-    most = int(index.max()) + 1
-    pairs, counts = np.unique(np.arange(n) // SAME_WINDOW * most + index, return_counts=True)
-    word = pairs % most
-    times = np.bincount(word, counts)
-    distinct = np.flatnonzero(times)
-    return distinct, times[distinct].astype(np.int64), n - len(pairs)
+def _runs(raw: bytes, chars: bytes) -> int:
+    """How many runs of two or more of these characters there are."""
+    marks = b" " + raw.translate(_MARKS[chars])
+    return marks.count(b" ##")
 
 
-def dense(raw: bytes, words: list[bytes], index: np.ndarray, repeats: int) -> dict[str, float]:
+def dense(raw: bytes, words: list[bytes]) -> dict[str, float]:
     """Rates, of any length alike: PRIOR sound words stand beside each text's own, so that few words prove little."""
     n = len(words)
     if not n:
         return dict.fromkeys((*DENSE, "unlike"), 0.0)
     letters = sum(map(raw.count, (b"e", b"n", b"r", b"a", b"i"))), sum(map(raw.count, (b"E", b"N", b"R", b"A", b"I")))
+    repeats = n - sum(len(set(words[k : k + SAME_WINDOW])) for k in range(0, n, SAME_WINDOW))
     out = {
-        "symbols": min(1.0, len(_SYMBOLS.findall(raw)) / n),
+        "symbols": min(1.0, sum(_runs(raw, chars) for chars in _MARKS) / n),
         "capitals": letters[1] / (sum(letters) + PRIOR),
         "bars": raw.count(b" | ") / n,
-        "stutter": float(np.count_nonzero(index[1:] == index[:-1])) / (n + PRIOR),
+        "stutter": sum(map(eq, words, words[1:])) / (n + PRIOR),
         "sameness": repeats / (n + PRIOR),
     }
     # How far the worst measure has come to its labeller's limit.
@@ -163,13 +158,11 @@ class Model:
         for text in texts:
             raw = utf8(text)
             words = raw.split()
-            index = table.of(words)
-            distinct, times, repeats = distinct_words(index)
-            measures = dense(raw, words, index, repeats)
-            rows = table.rows(distinct)
-            logit = rows[:, :2].sum(axis=0) + self.bias
+            measures, counts = dense(raw, words), Counter(words)
+            rows = table.rows(table.of(list(counts)))
+            logit = (np.ones(len(rows)) @ rows)[:2] + self.bias
             # A word that comes twice counts twice.
-            measures["words"], measures["stems"] = (float(x) for x in times @ rows[:, 2:])
+            measures["words"], measures["stems"] = (np.fromiter(counts.values(), dtype=float, count=len(counts)) @ rows)[2:].tolist()
             if words:
                 for step in steps_of(measures) + vote_features(measures):
                     logit = logit + fixed.get(step, 0.0)
@@ -319,13 +312,11 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             for value in batch.column(0).to_pylist():
                 raw = utf8(value)
                 words = raw.split()
-                index = table.of(words)
-                distinct, counts, repeats = distinct_words(index)
-                measures = dense(raw, words, index, repeats)
-                ids = table.rows(distinct).astype(np.int64)
+                measures, counts = dense(raw, words), Counter(words)
+                ids = table.rows(table.of(list(counts))).astype(np.int64)
                 measured.append([measures[d] for d in (*DENSE, "unlike")])
                 found.append(np.concatenate([steps_of(measures) if words else [], ids.ravel()]).astype("<i4").tobytes())
-                times.append(counts.astype("<u4").tobytes())
+                times.append(np.fromiter(counts.values(), dtype="<u4", count=len(counts)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary()), pa.array(measured, pa.list_(pa.float64())), pa.array(times, pa.binary())], names=["quality", "toxic", "features", "measures", "times"])
 
     sample = own.mapInArrow(features, "quality double, toxic double, features binary, measures array<double>, times binary").toArrow()
