@@ -32,6 +32,19 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "supplier").select(k.alias("fid"), F.col("s_name").alias("fname"), kind.alias("ftype"), F.when(k % 3 == 0, F.lit(0.02)).alias("half_deg"), lat.alias("flat"), lon.alias("flon"))
 
 
+#: Corners of the polygons around facilities, in ten-thousandths of a degree (lon, lat): an L.
+CORNERS = ((-4000, -4000), (4000, -4000), (4000, 0), (0, 0), (0, 4000), (-4000, 4000), (-4000, -4000))
+
+
+def polygon_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facilities with a polygon each, out of its WKT."""
+    from emberline.functions.geo import rings_of
+
+    at = lambda c, d: F.format_string("%.4f", (F.round(F.col(c) * 10000) + d) / 10000)
+    wkt = F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *[F.concat_ws(" ", at("flon", x), at("flat", y)) for x, y in CORNERS]), F.lit("))"))
+    return facilities(spark, sf_dir).drop("half_deg").withColumn("rings", rings_of(wkt))
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as the feed sends them: texts, some of them bad, every tenth twice."""
     h = hotspots(spark, sf_dir)
@@ -162,3 +175,18 @@ CLASS_SQL = f"""c AS (
       WHEN (within_facility OR distance_m <= 5000 OR coalesce(vision_industrial_prob >= 0.8, FALSE)) AND (persistence_score < 0.5 OR {_SURGE}) THEN 'industrial_fire'
       ELSE 'unknown' END AS class
   FROM h JOIN n USING (id) JOIN t USING (id))"""
+
+_EDGES = ", ".join(f"({ax}, {ay}, {bx}, {by})" for (ax, ay), (bx, by) in zip(CORNERS, CORNERS[1:]))
+_DEGREES = lambda c, d: f"(CAST(round({c} * 10000) + {d} AS DOUBLE) / CAST(10000 AS DOUBLE))"
+EDGES_SQL = f"""e AS (
+  SELECT fid, fname, ftype, {_DEGREES("flon", "ax")} AS ax, {_DEGREES("flat", "ay")} AS ay, {_DEGREES("flon", "bx")} AS bx, {_DEGREES("flat", "by_")} AS by_
+  FROM f, (VALUES {_EDGES}) t(ax, ay, bx, by_)),
+x AS (
+  SELECT id, fid, latitude, longitude, fname, ftype, ax, ay, bx, by_, (ax - longitude) * cos(radians(latitude)) AS px, ay - latitude AS py, (bx - ax) * cos(radians(latitude)) AS dx, by_ - ay AS dy,
+    (ay > latitude) <> (by_ > latitude) AND longitude < (bx - ax) * (latitude - ay) / nullif(by_ - ay, 0) + ax AS crossed
+  FROM h, e),
+y AS (SELECT *, greatest(0, least(1, -(px * dx + py * dy) / (dx * dx + dy * dy))) AS t FROM x),
+s AS (
+  SELECT id, fid, any_value(fname) AS fname, any_value(ftype) AS ftype, count(*) FILTER (crossed) % 2 = 1 AS inside,
+    min({metres_sql("latitude", "longitude", "(ay + t * dy)", "(ax + t * (bx - ax))")}) AS edge_m
+  FROM y GROUP BY id, fid)"""

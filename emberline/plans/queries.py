@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.config import KEEP_CLASSES, Screen
-from emberline.functions.geo import box_tiles, grid_cell, radius_box, rings_of
+from emberline.functions.geo import box_tiles, radius_box
 from emberline.functions.values import facility_type, is_industrial, land_cover, rounded
 from emberline.operators import classify as C
 from emberline.operators import context, facilities as fac, ingest, prune, serve
 from emberline.operators.enrich import enrich, history_features, nearest_facility, upsert_enrichment
 from emberline.plans import derived as D
-from emberline.plans.derived import CLASS_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, metres_sql, round_sql
+from emberline.plans.derived import CLASS_SQL, EDGES_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, metres_sql, round_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -400,6 +400,27 @@ def false_negatives(spark, sf_dir):
     return C.disagreements(classified(spark, sf_dir), "fn")
 
 
+@query(_ALL + f"SELECT id, class, distance_m, nearest_facility_type FROM c WHERE ({_REF}) = 'negative' AND class <> 'unknown' ORDER BY id LIMIT 10")
+def false_positives(spark, sf_dir):
+    return C.disagreements(classified(spark, sf_dir), "fp")
+
+
+_SHAPES = _with(HOTSPOTS_SQL, FACILITIES_SQL, EDGES_SQL)
+
+
+@query(_SHAPES + "SELECT DISTINCT id FROM s WHERE inside")
+def polygon_cover(spark, sf_dir):
+    return prune.inside_ids(D.hotspots(spark, sf_dir), D.polygon_sites(spark, sf_dir))
+
+
+@query(
+    _SHAPES + f"""SELECT id, fid AS nearest_facility_id, fname AS nearest_facility_name, ftype AS nearest_facility_type, {round_sql("CASE WHEN inside THEN 0 ELSE edge_m END", 1)} AS distance_m, inside AS within_facility
+    FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY CASE WHEN inside THEN 0 ELSE edge_m END, fid) = 1"""
+)
+def nearest_boundary(spark, sf_dir):
+    return nearest_facility(D.hotspots(spark, sf_dir), D.polygon_sites(spark, sf_dir))
+
+
 @query(_with(HOTSPOTS_SQL) + "SELECT id AS hotspot_id, CASE WHEN id % 3 = 0 THEN frp ELSE -1 END AS distance_m, CASE WHEN id % 2 = 0 THEN 'unknown' END AS class FROM h WHERE id % 2 = 0 OR id % 3 = 0")
 def enrichment_upsert(spark, sf_dir):
     h = D.hotspots(spark, sf_dir)
