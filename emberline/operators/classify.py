@@ -122,6 +122,38 @@ def agreement(df: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("compared"), F.count_if(good).alias("agreeing"), F.round((F.count_if(good) / F.nullif(F.count("*"), F.lit(0))).cast("decimal(18,6)"), 4).cast("double").alias("accuracy"))
 
 
+def report(df: DataFrame, n: int = 10) -> DataFrame:
+    """One row, fit for a JSON file: counts by reference, agreement, the confusion by class, and n samples of either error.
+
+    A row without a class counts as unknown. The counts reduce to a dozen rows before they meet.
+    """
+    rows = df.withColumn("class", F.coalesce("class", F.lit(C.UNKNOWN)))
+    table = lambda key: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n"))))
+    pairs = rows.groupBy(reference_label(rows).alias("reference"), "class").agg(F.count("*").alias("n"))
+    industrial = F.col("class").isin(*C.KEEP_CLASSES)
+    good = ((F.col("reference") == "positive") & industrial) | ((F.col("reference") == "negative") & ~industrial)
+    total = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0))
+    decided = total(F.col("reference") != "uncertain")
+    sums = pairs.agg(
+        total(F.lit(True)).alias("total_evaluated"), *[total(F.col("reference") == x).alias(f"ref_{x}") for x in ("positive", "negative", "uncertain")],
+        total(good).alias("agreement"), F.round((total(good) / F.nullif(decided, F.lit(0))).cast("decimal(18,6)"), 4).cast("double").alias("accuracy_decided"),
+    )
+    by_reference = pairs.groupBy("reference").agg(table("class").alias("row"))
+    confused = by_reference.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("reference", F.map_entries("row").alias("row"))))).alias("rows"))
+    confused = confused.select(F.transform_values("rows", lambda _, r: F.map_from_entries(r)).alias("confusion"))
+    by_class = pairs.groupBy("class").agg(F.sum("n").alias("n")).agg(table("class").alias("predicted_class_counts"))
+    out = sums.join(F.broadcast(confused)).join(F.broadcast(by_class))
+    for kind, name in (("fp", "false_positives_samples"), ("fn", "false_negatives_samples")):
+        found = disagreements(rows, kind, n)
+        out = out.join(F.broadcast(found.agg(F.sort_array(F.collect_list(F.struct(*found.columns))).alias(name))))
+    return out
+
+
+def write_report(found: DataFrame, path: str) -> None:
+    """The report's one row as a JSON file in a folder."""
+    found.coalesce(1).write.mode("overwrite").json(path)
+
+
 def disagreements(df: DataFrame, kind: str, n: int = 10) -> DataFrame:
     """The first n false positives ("fp") or false negatives ("fn") by id."""
     ref, industrial = reference_label(df), F.col("class").isin(*C.KEEP_CLASSES)

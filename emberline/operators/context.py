@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from emberline.functions.geo import cell_join, haversine
 from emberline.functions.values import land_cover
 from emberline.schemas import RUN_LOG, SCREEN_LOG, WORKER_STATUS
+from emberline.sources.land_cover import LandCover
+from emberline.tables import materialize
 
 
 def covered_ids(hotspots: DataFrame, cache: DataFrame, radius_m: float = 32_000.0) -> DataFrame:
@@ -64,12 +66,28 @@ def land_cover_pending(enrichment: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def put_land_cover(enrichment: DataFrame, answers: DataFrame) -> DataFrame:
-    """enrichment with the provider's codes (hotspot_id, code) put in where no class is known."""
-    got = answers.select("hotspot_id", land_cover(F.col("code")).alias("_c"))
+    """enrichment with the provider's codes (hotspot_id, code, perhaps note) put in where no class is known.
+
+    An answer without a code leaves its note, for instance why the provider failed.
+    """
+    failure = F.substring(F.col("note"), 1, 300) if "note" in answers.columns else F.lit(None).cast("string")
+    got = answers.select("hotspot_id", land_cover(F.col("code")).alias("_c"), failure.alias("_failure"))
     both = enrichment.join(got, "hotspot_id", "left")
     fill = F.col("landcover_class").isNull() & F.col("_c").isNotNull()
-    cols = [F.when(fill, F.col("_c")[c]).otherwise(F.col(c)).alias(c) if c.startswith("landcover_") else F.col(c) for c in enrichment.columns]
-    return both.select(cols)
+    new = {c: F.coalesce(F.col("_failure"), F.col("_c")[c]) if c == "landcover_note" else F.col("_c")[c] for c in enrichment.columns if c.startswith("landcover_")}
+    return both.select([F.when(fill, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in enrichment.columns])
+
+
+def fill_land_cover(enrichment: DataFrame, hotspots: DataFrame, service: LandCover, limit: int = 500, tasks: int = 8) -> DataFrame:
+    """enrichment with the land cover of at most ``limit`` detections that lack it; unchanged where the service is off.
+
+    The answers are written once, so nothing is asked twice; ``tasks`` bounds the requests under way.
+    """
+    if not service.enabled:
+        return enrichment
+    places = hotspots.select(F.col("id").alias("hotspot_id"), "latitude", "longitude")
+    points = places.join(F.broadcast(land_cover_pending(enrichment, limit)), "hotspot_id").repartition(tasks, "hotspot_id")
+    return put_land_cover(enrichment, materialize(service.answers(points)))
 
 
 def run_row(spark, **values) -> DataFrame:

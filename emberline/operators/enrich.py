@@ -185,8 +185,17 @@ def enrich(hotspots: DataFrame, facilities: DataFrame, store: DataFrame | None =
 
 def upsert_enrichment(stored: DataFrame, fresh: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """stored with the rows of fresh put in by hotspot_id; columns that fresh lacks, and ``keep``, stay."""
+    return _put(stored, fresh, keep, "full_outer")
+
+
+def write_back(stored: DataFrame, labelled: DataFrame) -> DataFrame:
+    """stored with class and reasons of labelled (hotspot_id, class, reasons) where it has the detection: an update, nothing is added."""
+    return _put(stored, labelled.select("hotspot_id", "class", "reasons"), (), "left")
+
+
+def _put(stored: DataFrame, fresh: DataFrame, keep: tuple[str, ...], how: str) -> DataFrame:
     new = fresh.select("hotspot_id", F.struct(*[c for c in fresh.columns if c != "hotspot_id"]).alias("_new"))
-    both = stored.join(new, "hotspot_id", "full_outer")
+    both = stored.join(new, "hotspot_id", how)
     taken = [c for c in fresh.columns if c != "hotspot_id" and c not in keep]
     cols = [F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in stored.columns if c != "hotspot_id"]
     return both.select("hotspot_id", *cols)

@@ -160,3 +160,12 @@ def from_map(nodes: DataFrame, ways: DataFrame, source: str = "osm") -> DataFram
     w = way_geometry(ways.filter(is_industrial(F.col("tags"))), nodes).filter(F.col("geometry").isNotNull())
     b = w.select(F.lit("way").alias("osm_type"), F.col("id").alias("osm_id"), F.try_element_at("tags", F.lit("name")).alias("name"), facility_type(F.col("tags")).alias("facility_type"), "tags", F.lit(source).alias("source"), "geometry", "latitude", "longitude")
     return a.unionByName(b)
+
+
+def from_elements(elements: DataFrame, source: str = "osm_live") -> DataFrame:
+    """Facilities among the elements of map-query answers, which carry their own points; what has no place is left out."""
+    own = valid_osm(elements.filter(is_industrial(F.col("tags"))))
+    spot = F.when(F.col("osm_type") == "node", F.struct("lat", "lon")).otherwise(way_point(F.col("points")))
+    wkt = F.when(F.col("osm_type") == "node", F.format_string("POINT(%.7f %.7f)", F.col("lon"), F.col("lat"))).otherwise(way_wkt(F.col("points")))
+    rows = own.select("osm_type", "osm_id", F.try_element_at("tags", F.lit("name")).alias("name"), facility_type(F.col("tags")).alias("facility_type"), "tags", F.lit(source).alias("source"), wkt.alias("geometry"), spot.alias("_at"))
+    return rows.filter(F.col("_at.lat").isNotNull() & F.col("_at.lon").isNotNull()).select(*rows.columns[:-1], F.col("_at.lat").alias("latitude"), F.col("_at.lon").alias("longitude"))

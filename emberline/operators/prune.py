@@ -36,9 +36,25 @@ def _marked(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, m
     return out.select("id", "class", F.coalesce(F.col("vision_industrial_prob") > 0.6, F.lit(False)).alias("vision"), "inside", "near")
 
 
-def candidates(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float = 5000.0) -> DataFrame:
-    """Ids worth enriching: near, inside or seen by vision, and not yet in a class that is kept."""
-    rows = _marked(hotspots, enrichment, facilities, metres)
+def chosen(rows: DataFrame, ids: DataFrame | list[int] | None = None, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """The rows with one of these ids (None: all) and after < id <= upto; the bounds and a short list reach the scan.
+
+    A frame of ids is one column of any size, met by a semi-join.
+    """
+    if after is not None:
+        rows = rows.filter(F.col("id") > after)
+    if upto is not None:
+        rows = rows.filter(F.col("id") <= upto)
+    if isinstance(ids, list):
+        if len(ids) <= 1000:
+            return rows.filter(F.col("id").isin(ids))
+        ids = rows.sparkSession.createDataFrame([(i,) for i in ids], "id long")
+    return rows if ids is None else rows.join(ids.toDF("id"), "id", "left_semi")
+
+
+def candidates(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float = 5000.0, after: int | None = None, upto: int | None = None) -> DataFrame:
+    """Ids worth enriching (of a range): near, inside or seen by vision, and not yet in a class that is kept."""
+    rows = _marked(chosen(hotspots, None, after, upto), enrichment, facilities, metres)
     open_class = F.col("class").isNull() | ~F.col("class").isin(*KEEP_CLASSES)
     return rows.filter(open_class & (F.col("vision") | F.col("inside") | F.col("near"))).select("id")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import box_of
-from emberline.functions.values import iso
+from emberline.functions.values import acq_datetime, iso
 
 UNCLASSIFIED = "unclassified"
 
@@ -88,14 +88,12 @@ def grid(rows: DataFrame, resolution: float, filters: Filters = Filters(), limit
     )
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """One GeoJSON feature a row, as text; nulls are written out."""
-    from emberline.functions.values import acq_datetime
-
+def _feature(columns: list[str]) -> Column:
+    """The GeoJSON feature of a row, as text; nulls are written out."""
     skip = {"location", "ingested_at", "dt"}
     zero = {"detections_24h", "detections_7d", "detections_30d", "days_active_30d", "persistence_score"}
     props = []
-    for c in rows.columns:
+    for c in columns:
         if c in skip:
             continue
         value = F.col(c)
@@ -109,9 +107,50 @@ def features(rows: DataFrame) -> DataFrame:
             value = F.date_format(value, "yyyy-MM-dd")
         props.append(value.alias(c))
     props.append(iso(acq_datetime(F.col("acq_date"), F.col("acq_time"))).alias("acq_datetime"))
-    point = F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates"))
+    return _json_feature(F.array("longitude", "latitude"), props)
+
+
+def _json_feature(at: Column, props: list) -> Column:
+    point = F.struct(F.lit("Point").alias("type"), at.alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*props).alias("properties"))
-    return rows.select("id", F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
+    return F.to_json(feature, {"ignoreNullFields": "false"})
+
+
+def features(rows: DataFrame) -> DataFrame:
+    """(id, feature): one GeoJSON feature a row, as text."""
+    return rows.select("id", _feature(rows.columns).alias("feature"))
+
+
+def _collection(top: DataFrame, feature: Column, rows: DataFrame, filters: Filters, limit: int, resolution: float | None) -> DataFrame:
+    """One row: the features of top, at most ``limit``, in order, with the count of all rows that match."""
+    when = acq_datetime(F.col("acq_date"), F.col("acq_time"))
+    entry = F.struct(F.coalesce("class", F.lit(UNCLASSIFIED)).alias("class"), (-F.unix_seconds(when)).alias("age"), "id", feature.alias("feature"))
+    body = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["feature"]), ",").alias("features"), F.count("*").alias("count"))
+    total = filters.apply(rows).agg(F.count("*").alias("total"))
+    number = F.col("total").cast("string")
+    text = F.concat(
+        F.lit('{"type":"FeatureCollection","features":['), "features", F.lit('],"count":'), F.col("count").cast("string"), F.lit(',"TotalFeatures":'), number, F.lit(',"numberMatched":'), number,
+        F.lit(',"truncated":'), (F.col("total") > limit).cast("string"), F.lit(f',"resolution":{"null" if resolution is None else resolution}}}'),
+    )
+    return body.join(F.broadcast(total)).select(text.alias("document"))
+
+
+def page_document(rows: DataFrame, filters: Filters = Filters(), limit: int = 50_000) -> DataFrame:
+    """One row with one text: the page as a FeatureCollection.
+
+    The page is cut as ``page`` cuts it, then ordered by class as served, newest first, ids breaking ties.
+    Only the page, at most 200,000 features, meets in a task.
+    """
+    top = page(rows, filters, limit)
+    return _collection(top, _feature(top.columns), rows, filters, limit, None)
+
+
+def grid_document(rows: DataFrame, resolution: float, filters: Filters = Filters(), limit: int = 50_000) -> DataFrame:
+    """One row with one text: the grid as a FeatureCollection of cells, ordered as a page is."""
+    cells = grid(rows, resolution, filters, limit)
+    names = ("id", "source", "class", "nearest_facility_name", "resolution_deg", "cell_count", "mean_frp", "max_frp")
+    props = [F.col(c) for c in names] + [iso(acq_datetime(F.col("acq_date"), F.col("acq_time"))).alias("acq_datetime")]
+    return _collection(cells, _json_feature(F.array("lon", "lat"), props), rows, filters, limit, resolution)
 
 
 def envelope(rows: DataFrame, filters: Filters = Filters(), limit: int = 50_000) -> dict:
@@ -181,6 +220,38 @@ def health(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, lo
     }
 
 
+def health_document(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, log: DataFrame, workers: DataFrame, now: Column) -> DataFrame:
+    """The health document as one row.
+
+    status is degraded where the last run failed within a day, whose error is then pipeline_error. The log is
+    read once and reduced to a row a source before the shuffle; of every other table only counts move.
+    """
+    since = now - F.make_dt_interval(F.lit(1))
+    names = ("source", "kind", "bbox", "date_from", "date_to", "days", "returned", "inserted", "duplicates", "invalid", "status", "error", "finished_at")
+    run, at, good = F.struct(*[c for c in names if c in log.columns]), F.struct("finished_at", "date_from"), F.col("status") == "success"
+    each = log.groupBy("source").agg(
+        F.max_by(run, at).alias("last"), F.max_by(F.when(good, run), F.when(good, at)).alias("good"), F.sum(F.when(good & (F.col("finished_at") >= since), F.col("inserted"))).alias("fresh"),
+    )
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(F.col(c)["finished_at"], "source")))
+    named = F.when(F.col("source").isNotNull(), F.struct("source", "last"))
+    runs = each.agg(
+        latest("good").alias("last_successful_ingestion"), latest("last").alias("last_run"), F.sort_array(F.collect_list("source")).alias("sources_used"),
+        F.map_from_entries(F.sort_array(F.collect_list(named))).alias("per_source"), F.coalesce(F.sum("fresh"), F.lit(0)).alias("inserted_24h"),
+    )
+    seen = evidence(enrichment).select(
+        "last_enrichment_at", "classified_count", F.struct(F.lit(False).alias("configured"), "model_version", "inferred_count").alias("vision"),
+        F.struct(F.col("landcover_configured").alias("configured"), F.col("landcover_count").alias("enriched_count")).alias("landcover"),
+    )
+    worker = worker_state(workers, now)
+    parts = (
+        seen, hotspots.agg(F.count("*").alias("total_hotspots")), facilities.agg(F.count("*").alias("total_facilities")), worker.select(F.struct(*worker.columns).alias("worker")),
+    )
+    for part in parts:
+        runs = runs.join(F.broadcast(part))
+    failed = F.coalesce((F.col("last_run.status") == "failed") & (F.col("last_run.finished_at") >= since), F.lit(False))
+    return runs.select(F.when(failed, "degraded").otherwise("ok").alias("status"), F.when(failed, F.col("last_run.error")).alias("pipeline_error"), *runs.columns)
+
+
 def degraded(log: DataFrame, now: Column) -> DataFrame:
     """One row: whether the last run failed within a day."""
     last = last_run(log).select("status", "finished_at")

@@ -71,6 +71,16 @@ def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("worker_id")).agg(F.max(F.col("ts").cast("timestamp")).alias("last_heartbeat_at"), F.count("*").alias("cycle_count"))
 
 
+def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored enrichment of four in five detections: some with vision, some with land cover."""
+    i = F.col("id")
+    label = F.when(i % 4 == 0, "gas_flare").when(i % 4 == 1, "unknown").when(i % 4 == 2, "industrial_fire")
+    return hotspots(spark, sf_dir).filter(i % 5 != 0).select(
+        i.alias("hotspot_id"), label.alias("class"), F.array(F.lit("old")).alias("reasons"), F.col("dt").alias("enriched_at"), F.col("frp").alias("distance_m"), "vision_industrial_prob",
+        F.when(i % 11 == 0, "v1").alias("vision_model_version"), F.when(i % 7 == 0, "cropland").alias("landcover_class"), F.lit(None).cast("map<string,string>").alias("landcover_fracs"), F.lit(None).cast("string").alias("landcover_note"),
+    )
+
+
 def query_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facilities(spark, sf_dir).filter(F.col("fid") % 4 == 0)
     return f.select(F.col("flat").alias("center_lat"), F.col("flon").alias("center_lon"), F.lit(32000.0).alias("radius_m"))
@@ -140,6 +150,10 @@ def round_sql(x: str, n: int) -> str:
     return f"CAST(round(CAST({x} AS DECIMAL(18,6)), {n}) AS DOUBLE)"
 
 
+ENRICHMENT_SQL = """en AS (
+  SELECT id AS hotspot_id, CASE id % 4 WHEN 0 THEN 'gas_flare' WHEN 1 THEN 'unknown' WHEN 2 THEN 'industrial_fire' END AS class, dt AS enriched_at, frp AS distance_m,
+    CASE WHEN id % 11 = 0 THEN 'v1' END AS vision_model_version, CASE WHEN id % 7 = 0 THEN 'cropland' END AS landcover_class
+  FROM h WHERE id % 5 <> 0)"""
 _CLAMP = lambda x, c: f"greatest({c} - coalesce(half_deg, 0), least({c} + coalesce(half_deg, 0), {x}))"
 NEAREST_SQL = f"""d AS (
   SELECT h.id, f.fid, f.fname, f.ftype, {metres_sql("latitude", "longitude", _CLAMP("latitude", "flat"), _CLAMP("longitude", "flon"))} AS dist,

@@ -10,9 +10,9 @@ from emberline.functions.geo import box_tiles, radius_box
 from emberline.functions.values import facility_type, is_industrial, land_cover, rounded
 from emberline.operators import classify as C
 from emberline.operators import context, facilities as fac, ingest, prune, serve
-from emberline.operators.enrich import enrich, history_features, nearest_facility, upsert_enrichment
+from emberline.operators.enrich import enrich, history_features, nearest_facility, upsert_enrichment, write_back
 from emberline.plans import derived as D
-from emberline.plans.derived import CLASS_SQL, EDGES_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, metres_sql, round_sql
+from emberline.plans.derived import CLASS_SQL, EDGES_SQL, ENRICHMENT_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, metres_sql, round_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -338,13 +338,28 @@ def import_report(spark, sf_dir):
     return fac.import_report(a.filter(F.col("fuel").isin(*WRI_THERMAL)), "fuel", 12)
 
 
-@query()
+_MAP = """WITH nd AS (SELECT c_custkey AS id, CAST(60000 + (c_custkey * 7919) % 320000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lat, CAST(680000 + (c_custkey * 104729) % 300000 AS DOUBLE) / CAST(10000 AS DOUBLE) AS lon FROM customer),
+ln AS (SELECT l_orderkey AS id, l_partkey % 1500 + 1 AS ref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey % 1500 + 1) AS pos FROM lineitem),
+rf AS (SELECT id, ref, pos FROM ln UNION ALL SELECT id, ref, 1000000 FROM ln WHERE pos = 1 AND id % 3 = 0),
+pt AS (SELECT rf.id, count(*) AS n, count(*) FILTER (nd.id IS NULL) AS lost, list(lat ORDER BY pos) AS lats, list(lon ORDER BY pos) AS lons, string_agg(format('{:.7f} {:.7f}', lon, lat), ', ' ORDER BY pos) AS xy
+  FROM rf LEFT JOIN nd ON nd.id = rf.ref GROUP BY rf.id),
+wy AS (SELECT *, n >= 4 AND lats[1] = lats[n] AND lons[1] = lons[n] AS closed FROM pt),
+wg AS (SELECT id, CASE WHEN lost = 0 AND closed THEN 'POLYGON((' || xy || '))' WHEN lost = 0 AND n >= 2 THEN 'LINESTRING(' || xy || ')' END AS geometry,
+  CASE WHEN lost = 0 AND closed THEN list_reduce(lats, lambda a, b: a + b) / CAST(n AS DOUBLE) WHEN lost = 0 AND n >= 2 THEN lats[n // 2 + 1] END AS latitude,
+  CASE WHEN lost = 0 AND closed THEN list_reduce(lons, lambda a, b: a + b) / CAST(n AS DOUBLE) WHEN lost = 0 AND n >= 2 THEN lons[n // 2 + 1] END AS longitude FROM wy)
+"""
+
+
+@query(_MAP + "SELECT id, geometry, latitude, longitude FROM wg")
 def way_geometry(spark, sf_dir):
     nodes, ways = D.map_objects(spark, sf_dir)
     return fac.way_geometry(ways, nodes).drop("tags")
 
 
-@query()
+@query(
+    _MAP + """SELECT 'node' AS osm_type, id AS osm_id, CAST(NULL AS VARCHAR) AS name, 'refinery' AS facility_type, 'osm' AS source, format('POINT({:.7f} {:.7f})', lon, lat) AS geometry, lat AS latitude, lon AS longitude FROM nd
+    UNION ALL SELECT 'way', id, NULL, 'industrial_area', 'osm', geometry, latitude, longitude FROM wg WHERE geometry IS NOT NULL"""
+)
 def map_facilities(spark, sf_dir):
     nodes, ways = D.map_objects(spark, sf_dir)
     return fac.from_map(nodes, ways).drop("tags")
@@ -429,6 +444,126 @@ def enrichment_upsert(spark, sf_dir):
     return upsert_enrichment(stored, fresh)
 
 
+_STORED = _with(HOTSPOTS_SQL, ENRICHMENT_SQL)[:-1]
+
+
+def _served(spark, sf_dir):
+    """Detections with the stored enrichment."""
+    h = D.hotspots(spark, sf_dir).drop("vision_industrial_prob")
+    return serve.served(h, D.enrichment(spark, sf_dir).withColumn("nearest_facility_name", F.lit(None).cast("string")))
+
+
+def _entries(found: DataFrame, properties: str) -> DataFrame:
+    """The features of a document, numbered, with what stands around them."""
+    get = lambda p, kind: F.get_json_object("document", f"$.{p}").cast(kind).alias(p)
+    shape = f"array<struct<geometry:struct<coordinates:array<double>>,properties:struct<{properties}>>>"
+    body = F.from_json(F.get_json_object("document", "$.features"), shape)
+    rows = found.select(get("count", "long"), get("TotalFeatures", "long"), get("numberMatched", "long"), get("truncated", "boolean"), F.posexplode(body).alias("place", "f"))
+    return rows.select("count", F.col("TotalFeatures").alias("total"), F.col("numberMatched").alias("matched"), "truncated", "place", "f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.geometry.coordinates")[1].alias("lat"))
+
+
+_AROUND = "(SELECT count(*) FROM top) AS count, (SELECT count(*) FROM sv) AS total, (SELECT count(*) FROM sv) AS matched"
+
+
+@query(
+    _STORED + f""", sv AS (SELECT h.*, class FROM h LEFT JOIN en ON hotspot_id = id WHERE acq_date >= DATE '2024-01-05' AND coalesce(class, 'unclassified') <> 'gas_flare'),
+    top AS (SELECT *, coalesce(class, 'unclassified') AS shown FROM sv ORDER BY class NULLS LAST, acq_date DESC, acq_time DESC, id LIMIT 500)
+    SELECT {_AROUND}, (SELECT count(*) > 500 FROM sv) AS truncated, CAST(row_number() OVER (ORDER BY shown, dt DESC, id) - 1 AS INTEGER) AS place, id, source, shown AS class, strftime(dt, '%Y-%m-%dT%H:%M:%SZ') AS acq_datetime,
+    frp, longitude AS lon, latitude AS lat FROM top"""
+)
+def hotspots_document(spark, sf_dir):
+    kept = serve.Filters(classes=("unknown", "industrial_fire", "unclassified"), date_from="2024-01-05")
+    return _entries(serve.page_document(_served(spark, sf_dir), kept, 500), "id:long,source:string,class:string,acq_datetime:string,frp:double")
+
+
+@query(
+    _STORED + f""", sv AS (SELECT h.*, coalesce(class, 'unclassified') AS class FROM h LEFT JOIN en ON hotspot_id = id),
+    ce AS (SELECT CAST(floor(latitude / 2.5) AS INTEGER) AS la, CAST(floor(longitude / 2.5) AS INTEGER) AS lo, count(*) AS cell_count, max(frp) AS max_frp,
+      CAST(round(CAST(sum(CAST(frp AS DECIMAL(18,6))) / count(*) AS DECIMAL(18,10)), 2) AS DOUBLE) AS mean_frp, arg_max(id, (acq_date, acq_time, -id)) AS id FROM sv GROUP BY 1, 2),
+    top AS (SELECT * FROM ce ORDER BY la, lo LIMIT 50)
+    SELECT {_AROUND}, (SELECT count(*) > 50 FROM sv) AS truncated, CAST(row_number() OVER (ORDER BY class, dt DESC, id) - 1 AS INTEGER) AS place, id, source, class, strftime(dt, '%Y-%m-%dT%H:%M:%SZ') AS acq_datetime,
+    CAST(2.5 AS DOUBLE) AS resolution_deg, cell_count, mean_frp, max_frp, CAST((lo + 0.5) * 2.5 AS DOUBLE) AS lon, CAST((la + 0.5) * 2.5 AS DOUBLE) AS lat FROM top JOIN sv USING (id)"""
+)
+def grid_document(spark, sf_dir):
+    found = serve.grid_document(_served(spark, sf_dir), 2.5, limit=50)
+    return _entries(found, "id:long,source:string,class:string,acq_datetime:string,resolution_deg:double,cell_count:long,mean_frp:double,max_frp:double")
+
+
+@query(
+    _LOG[:-1] + f""", {ENRICHMENT_SQL}, z AS (SELECT * FROM l ORDER BY finished_at DESC, source DESC LIMIT 1), g AS (SELECT * FROM l WHERE status = 'success' ORDER BY finished_at DESC, source DESC LIMIT 1),
+    ps AS (SELECT source, status, inserted FROM l QUALIFY row_number() OVER (PARTITION BY source ORDER BY finished_at DESC, date_from DESC) = 1),
+    w AS (SELECT event_type, max(ts) AS t, count(*) AS n FROM events GROUP BY 1)
+    SELECT (SELECT CASE WHEN status = 'failed' AND finished_at >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY THEN 'degraded' ELSE 'ok' END FROM z) AS status, (SELECT source || ' ' || status FROM z) AS last_run, (SELECT source || ' ' || inserted FROM g) AS last_good,
+    (SELECT string_agg(source, ',' ORDER BY source) FROM ps) AS sources, (SELECT string_agg(source || ':' || status || ':' || inserted, ',' ORDER BY source) FROM ps) AS per_source,
+    (SELECT CAST(coalesce(sum(inserted), 0) AS BIGINT) FROM l WHERE status = 'success' AND finished_at >= TIMESTAMP '{NOW}' - INTERVAL 1 DAY) AS inserted_24h,
+    (SELECT strftime(max(enriched_at), '%Y-%m-%dT%H:%M:%SZ') FROM en) AS last_enrichment, (SELECT count(class) FROM en) AS classified_count, (SELECT count(*) FROM h) AS total_hotspots, (SELECT count(*) FROM supplier) AS total_facilities,
+    (SELECT max(t) > TIMESTAMP '{NOW}' - INTERVAL 45 MINUTE FROM w) AS alive, (SELECT max(n) FROM w) AS cycle_count, (SELECT max(event_type) FROM w) AS worker_id,
+    (SELECT max(vision_model_version) FROM en) AS model_version, (SELECT count(vision_model_version) FROM en) AS inferred_count, (SELECT count(landcover_class) FROM en) AS landcover_count"""
+)
+def health_document(spark, sf_dir):
+    h = D.hotspots(spark, sf_dir)
+    found = serve.health_document(h, D.enrichment(spark, sf_dir), D.facilities(spark, sf_dir), D.run_log(spark, sf_dir), D.workers(spark, sf_dir), F.lit(NOW).cast("timestamp"))
+    runs = F.transform(F.map_entries("per_source"), lambda e: F.concat_ws(":", e["key"], e["value"]["status"], e["value"]["inserted"].cast("string")))
+    return found.select(
+        "status", F.concat_ws(" ", "last_run.source", "last_run.status").alias("last_run"), F.concat_ws(" ", "last_successful_ingestion.source", F.col("last_successful_ingestion.inserted").cast("string")).alias("last_good"),
+        F.array_join("sources_used", ",").alias("sources"), F.array_join(runs, ",").alias("per_source"), "inserted_24h", F.date_format("last_enrichment_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("last_enrichment"),
+        "classified_count", "total_hotspots", "total_facilities", "worker.alive", "worker.cycle_count", "worker.worker_id", "vision.model_version", "vision.inferred_count", F.col("landcover.enriched_count").alias("landcover_count"),
+    )
+
+
+@query(_STORED + " SELECT count(class) AS classified_count, strftime(max(enriched_at), '%Y-%m-%d %H:%M') AS last_enrichment, max(vision_model_version) AS model_version, count(vision_model_version) AS inferred_count, bool_or(landcover_class IS NOT NULL) AS landcover_configured, count(landcover_class) AS landcover_count FROM en")
+def evidence(spark, sf_dir):
+    found = serve.evidence(D.enrichment(spark, sf_dir))
+    return found.withColumn("last_enrichment", F.date_format("last_enrichment_at", "yyyy-MM-dd HH:mm")).drop("last_enrichment_at")
+
+
+@query(_STORED + " SELECT hotspot_id, CASE WHEN hotspot_id % 3 = 0 THEN 'unknown' ELSE class END AS class, CASE WHEN hotspot_id % 3 = 0 THEN 'new' ELSE 'old' END AS reason, distance_m, vision_model_version, landcover_class FROM en")
+def class_write_back(spark, sf_dir):
+    labelled = D.hotspots(spark, sf_dir).filter("id % 3 = 0").select(F.col("id").alias("hotspot_id"), F.lit("unknown").alias("class"), F.array(F.lit("new")).alias("reasons"))
+    found = write_back(D.enrichment(spark, sf_dir), labelled)
+    return found.select("hotspot_id", "class", F.array_join("reasons", "; ").alias("reason"), "distance_m", "vision_model_version", "landcover_class")
+
+
+_COVER = "CASE hotspot_id % 3 WHEN 0 THEN 'cropland' WHEN 1 THEN 'built_up' END"
+
+
+@query(_STORED + f" SELECT hotspot_id, coalesce(landcover_class, {_COVER}) AS landcover_class, CASE WHEN landcover_class IS NOT NULL THEN NULL WHEN hotspot_id % 3 = 2 THEN 'provider error' ELSE 'esri class ' || (4 + hotspot_id % 3) || ' (' || {_COVER} || ')' END AS landcover_note FROM en")
+def land_cover_write_back(spark, sf_dir):
+    e = D.enrichment(spark, sf_dir)
+    i = F.col("hotspot_id")
+    answers = e.select(i, F.when(i % 3 != 2, (4 + i % 3).cast("int")).alias("code"), F.when(i % 3 == 2, "provider error").alias("note"))
+    return context.put_land_cover(e, answers).select("hotspot_id", "landcover_class", "landcover_note")
+
+
+@query(_with(HOTSPOTS_SQL) + "SELECT id, source, acq_date FROM h WHERE id IN (SELECT o_orderkey FROM orders)")
+def hotspots_by_ids(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    return prune.chosen(D.hotspots(spark, sf_dir), ids).select("id", "source", "acq_date")
+
+
+@query(_MARKS + "SELECT id FROM m WHERE (class IS NULL OR class NOT IN ('gas_flare', 'persistent_industrial_source', 'industrial_fire')) AND (vision OR inside OR near) AND id > 200 AND id <= 700")
+def candidates_in_range(spark, sf_dir):
+    h, e = _known(spark, sf_dir)
+    return prune.candidates(h, e, D.facilities(spark, sf_dir), after=200, upto=700)
+
+
+@query(
+    _ALL + f""", v AS (SELECT {_REF} AS ref, class, (({_REF}) = 'positive' AND class <> 'unknown') OR (({_REF}) = 'negative' AND class = 'unknown') AS good FROM c)
+    SELECT count(*) AS total_evaluated, count(*) FILTER (ref = 'positive') AS ref_positive, count(*) FILTER (ref = 'negative') AS ref_negative, count(*) FILTER (ref = 'uncertain') AS ref_uncertain, count(*) FILTER (good) AS agreement,
+    {round_sql("CAST(count(*) FILTER (good) AS DOUBLE) / count(*) FILTER (ref <> $$uncertain$$)", 4)} AS accuracy_decided,
+    (SELECT string_agg(ref || '/' || class || '=' || n, ', ' ORDER BY ref, class) FROM (SELECT ref, class, count(*) AS n FROM v GROUP BY ALL)) AS confusion, (SELECT string_agg(class || '=' || n, ', ' ORDER BY class) FROM (SELECT class, count(*) AS n FROM v GROUP BY ALL)) AS by_class,
+    (SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM c WHERE ({_REF}) = 'negative' AND class <> 'unknown' ORDER BY id LIMIT 10)) AS fp FROM v"""
+)
+def validation_report(spark, sf_dir):
+    pair = lambda k, v: F.concat(k, F.lit("="), v.cast("string"))
+    flat = F.flatten(F.transform(F.map_entries("confusion"), lambda r: F.transform(F.map_entries(r["value"]), lambda c: F.concat(r["key"], F.lit("/"), pair(c["key"], c["value"])))))
+    counts = F.transform(F.map_entries("predicted_class_counts"), lambda c: pair(c["key"], c["value"]))
+    ids = F.array_join(F.transform("false_positives_samples", lambda r: r["id"].cast("string")), ",")
+    return C.report(classified(spark, sf_dir)).select(
+        "total_evaluated", "ref_positive", "ref_negative", "ref_uncertain", "agreement", "accuracy_decided", F.array_join(flat, ", ").alias("confusion"), F.array_join(counts, ", ").alias("by_class"), F.nullif(ids, F.lit("")).alias("fp"),
+    )
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

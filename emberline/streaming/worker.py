@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from emberline import schemas
 from emberline.config import History, Screen
 from emberline.operators.classify import classify
-from emberline.operators.context import heartbeat, run_row, screen_row
+from emberline.operators.context import fill_land_cover, heartbeat, refresh_context, run_row, screen_row
 from emberline.operators.enrich import enrich
+from emberline.operators.facilities import upsert
 from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
 from emberline.sources.files import detections_of_lines
+from emberline.sources.land_cover import LandCover
 from emberline.tables import append, materialize, read_or_empty, replace, scratch
 
 _SCHEMAS = {
@@ -217,6 +219,30 @@ def backfill(store: Store, sources: list[str], start: str, end: str, bbox: str,
     return out
 
 
+def refresh_map(store: Store, query, now: dt.datetime | None = None, radius_m: float = 32_000.0, limit: int = 50) -> dict[str, int]:
+    """Put in the facilities around uncovered detections; each place asked goes to the query cache.
+
+    query(lat, lon, radius) gives rows of the facilities' columns, as dicts, or raises RuntimeError.
+    """
+    spark, now = store.spark, now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    done, found, failures = refresh_context(spark, store.read("hotspots"), store.read("query_cache"), query, radius_m, limit)
+    if found:
+        batch = spark.createDataFrame([tuple(r.get(f.name) for f in schemas.FACILITIES) for r in found], schemas.FACILITIES).drop("first_seen_at", "updated_at")
+        with scratch(spark):
+            store.replace("facilities", materialize(upsert(store.read("facilities"), batch, F.lit(now))))
+    # Last: a place counts as asked only once its facilities are stored.
+    if done:
+        store.append("query_cache", spark.createDataFrame([(*d, now) for d in done], schemas.QUERY_CACHE))
+    return {"asked": len(done), "facilities": len(found), "failures": failures}
+
+
+def refresh_land_cover(store: Store, service: LandCover, limit: int = 500) -> None:
+    """Ask the land cover of detections that lack it; nothing happens where the service is off."""
+    if service.enabled:
+        with scratch(store.spark):
+            store.replace("enrichment", materialize(fill_land_cover(store.read("enrichment"), store.read("hotspots"), service, limit)))
+
+
 def authorized(given: str | None, secret: str | None) -> bool:
     """Whether a bearer token is the secret; without a secret nobody is."""
     return bool(secret) and hmac.compare_digest((given or "").removeprefix("Bearer ").encode(), secret.encode())
