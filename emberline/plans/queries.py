@@ -81,7 +81,24 @@ def classify_labels(spark, sf_dir):
     return classified(spark, sf_dir).select("id", "class")
 
 
-@query()
+_REASONS = """, z AS (
+  SELECT *, '"' || trim(nearest_facility_name) || '" (' || nearest_facility_type || ')' AS place, format('{:,.0f}', distance_m) AS metres, format('{:.1f}', frp) AS mw, coalesce(distance_m <= 5000, FALSE) AS close,
+    format('{:.1f}', current_frp_vs_historical_mean) || 'x the 30-d mean' AS times, format('{:.1f}', current_frp_vs_historical_mean) AS ratio, coalesce(current_frp_vs_historical_mean >= 2.5, FALSE) AS surge,
+    CASE WHEN frp >= 15 THEN 'FRP ' || format('{:.1f}', frp) || ' >= 15 (bright)' END AS bright, detections_7d || ' detections in 7 d, ' || days_active_30d || ' active days in 30 d' AS counts,
+    'vision industrial probability ' || format('{:.2f}', vision_industrial_prob) AS seen FROM c),
+w AS (SELECT *, CASE WHEN within_facility THEN 'hotspot lies inside ' || place || ' polygon' WHEN close THEN 'within ' || metres || ' m of ' || place END AS at_site,
+    CASE WHEN surge THEN 'FRP ' || mw || ' is ' || times || ' (sudden event)' WHEN detections_7d <= 1 THEN 'new detection (' || detections_7d || ' prior detections in 7 d)' END AS sudden FROM z)
+SELECT id, class, CASE class
+  WHEN 'gas_flare' THEN concat_ws('; ', 'gas-flare candidate site ' || place, bright, CASE WHEN detections_7d >= 3 OR days_active_30d >= 3 THEN counts || ' (recurrent)' END,
+    CASE WHEN nighttime_detection_fraction >= 0.6 THEN 'nighttime fraction ' || format('{:.2f}', nighttime_detection_fraction) || ' >= 0.6 (night recurrence)' END,
+    CASE WHEN persistence_score >= 0.5 THEN 'persistence ' || format('{:.2f}', persistence_score) || ' (' || detections_7d || ' detections in 7 d)' END, CASE WHEN surge THEN 'FRP ' || mw || ' is ' || times || ' (burst)' END, seen)
+  WHEN 'persistent_industrial_source' THEN concat_ws('; ', 'within ' || metres || ' m of ' || place, counts, 'FRP is steady relative to the historical mean' || coalesce(' (ratio ' || ratio || ')', ''), seen)
+  WHEN 'industrial_fire' THEN concat_ws('; ', at_site, sudden, CASE WHEN at_site IS NULL AND sudden IS NULL AND vision_industrial_prob >= 0.8 THEN seen || ' >= 0.8' END, bright, seen)
+  ELSE CASE WHEN NOT within_facility AND NOT close AND vision_industrial_prob IS NULL THEN 'nearest known industrial facility is ' || metres || ' m away' ELSE 'no rule produced a decision' END END AS reasons
+FROM w"""
+
+
+@query(_ALL[:-1] + _REASONS)
 def classify_reasons(spark, sf_dir):
     return classified(spark, sf_dir, True).select("id", "class", F.array_join("reasons", "; ").alias("reasons"))
 
