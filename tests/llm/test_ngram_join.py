@@ -125,3 +125,21 @@ def test_texts_of_one_id_fare_by_themselves(spark):
     assert {(r.doc_id, r.component_id) for r in op.jaccard_components(df).collect()} == {(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)}
     for most in (1_000_000, 0):
         assert sorted((r.doc_id, r.text[:5]) for r in op.near_dedup(df, most_broadcast=most).collect()) == [(1, "w0 w1"), (2, "quite"), (4, "alone")]
+
+
+def test_families_that_share_a_passage_in_one_large_group(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, passage = [], [f"p{i}" for i in range(70)]
+    # Three families share a passage without linking; each drifts, so that its ends do not link.
+    for family, members in enumerate((40, 25, 8)):
+        words = passage + [f"f{family}x{i}" for i in range(60)]
+        for i in range(members):
+            words[rng.randrange(len(words))] = f"new{family}y{i}"
+            rows.append((family * 100 + i, " ".join(words)))
+    # Rows that link with few or none of them.
+    rows += [(1000 + i, " ".join(passage + [f"s{i}y{j}" for j in range(rng.choice([10, 30, 60]))])) for i in range(12)]
+    want = brute(rows)
+    assert len({c for _, c in want.values()}) > 3
+    monkeypatch.setattr(op, "TILE", 7)
+    monkeypatch.setattr(op.into_cells, "__defaults__", (7,))
+    assert run(spark, rows) == want
