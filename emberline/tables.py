@@ -33,12 +33,25 @@ def _hadoop(spark: SparkSession, path: str):
     return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def fresh_path(spark: SparkSession) -> str:
+    """A path for an intermediate table that nothing lies at yet."""
+    return f"{shared_folder(spark)}/emberline-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Take away an intermediate table before the application ends."""
+    own, fs = _hadoop(spark, path)
+    fs.delete(own, True)
+    fs.cancelDeleteOnExit(own)
+
+
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a written table, computed once and safe from lost executors.
 
-    It goes at the end of the innermost ``scratch``, or with the application.
+    It goes at the end of the innermost ``scratch``, or with the application; ``remove`` takes one at a given
+    ``path`` (of ``fresh_path``) sooner.
     """
-    path = f"{shared_folder(df.sparkSession)}/emberline-{uuid.uuid4().hex}"
+    path = path or fresh_path(df.sparkSession)
     df.write.parquet(path)
     own, fs = _hadoop(df.sparkSession, path)
     fs.deleteOnExit(own)
@@ -55,9 +68,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scratch.pop():
-            own, fs = _hadoop(spark, path)
-            fs.delete(own, True)
-            fs.cancelDeleteOnExit(own)
+            remove(spark, path)
 
 
 def _settle(spark: SparkSession, path: str) -> bool:
