@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import clustering, decontaminate, divergence, exact_dedup, html_text, line_dedup, lm_score, ngram_join, packing, pii, quality, sharding
+from emberline.llm import clustering, decontaminate, divergence, exact_dedup, html_text, line_dedup, lm_score, ngram_join, packing, pii, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op10_html_extraction(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+
+
 def op12_centroid_clustering(spark, sf_dir):
     return clustering.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -131,7 +136,7 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 ALL = (
     op1_decontamination, op2_sharding, op3_quality_classifier, op4_ngram_jaccard_join, op5_lm_scoring, op6_best_fit_packing, op7_pii, op8_exact_dedup, op9_line_dedup, op10_html_extraction,
-    op12_centroid_clustering, op13_source_divergence,
+    op11_toxicity, op12_centroid_clustering, op13_source_divergence,
 )
 
 
