@@ -25,15 +25,20 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.lit(2 * R) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
+def turned(lon: Column, origin: Column) -> Column:
+    """The longitude within half a turn of an origin; one that is so already stays as it is, to the last bit."""
+    return lon - 360.0 * F.round((lon - origin) / 360)
+
+
 def box_distance(lat: Column, lon: Column, flat: Column, flon: Column, half: Column) -> Column:
-    """Metres to the nearest point of a box of half-width ``half`` degrees (null: a point)."""
+    """Metres to the nearest point of a box of half-width ``half`` degrees (null: a point). Longitudes wrap."""
     h = F.coalesce(half, F.lit(0.0))
     clamp = lambda x, c: F.greatest(c - h, F.least(c + h, x))
-    return haversine(lat, lon, clamp(lat, flat), clamp(lon, flon))
+    return haversine(lat, lon, clamp(lat, flat), clamp(turned(lon, flon), flon))
 
 
 def in_box(lat: Column, lon: Column, flat: Column, flon: Column, half: Column) -> Column:
-    return F.coalesce((F.abs(lat - flat) <= half) & (F.abs(lon - flon) <= half), F.lit(False))
+    return F.coalesce((F.abs(lat - flat) <= half) & (F.abs(turned(lon, flon) - flon) <= half), F.lit(False))
 
 
 def xyz(lat: Column, lon: Column) -> list[Column]:
@@ -41,7 +46,7 @@ def xyz(lat: Column, lon: Column) -> list[Column]:
     return [F.lit(R) * F.cos(a) * F.cos(b), F.lit(R) * F.cos(a) * F.sin(b), F.lit(R) * F.sin(a)]
 
 
-def own_cell(lat: Column, lon: Column, size: float) -> Column:
+def own_cell(lat: Column, lon: Column, size: Column | float) -> Column:
     """The cell that holds a point."""
     return F.xxhash64(*[F.floor(v / size).cast("int") for v in xyz(lat, lon)])
 
@@ -53,18 +58,42 @@ def cells_within(lat: Column, lon: Column, reach: Column | float, size: Column |
     return F.flatten(F.transform(x, lambda a: F.flatten(F.transform(y, lambda b: F.transform(z, lambda c: F.xxhash64(a, b, c))))))
 
 
+#: Cells of a scale are four times as wide as those of the one before.
+SCALES = tuple(range(9))
+
+
+def scale_of(extent: Column, size: Column | float) -> Column:
+    """The first scale whose cells are wide enough for an extent: however far a thing reaches, it goes to a few cells."""
+    return F.coalesce(*[F.when(extent <= size * 4.0**k / 2, k) for k in SCALES[:-1]], F.lit(SCALES[-1]))
+
+
+def width(size: Column | float, scale: Column) -> Column:
+    return size * F.pow(F.lit(4.0), scale)
+
+
+def at_scales(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows once for each _scale in use; used has the few scales (and what else they go by), a row each."""
+    every = rows.withColumn("_scale", F.explode(F.array(*[F.lit(k) for k in SCALES])))
+    return every.join(F.broadcast(used), used.columns, "left_semi")
+
+
 def cell_join(left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str], right_at: tuple[str, str], extent: str | None = None) -> DataFrame:
     """Pairs of rows that may be within ``radius`` metres: an equi-join on cells, exact distance to be checked.
 
     Each left row has one cell; a right row goes to the few cells that it can be met from. extent
-    names a right column with the metres that the row reaches around its point. Cells are three
-    radii wide, so a point goes to fewer than five on average.
+    names a right column with the metres that the row reaches around its point; rows that reach far meet in wider cells, in which
+    each left row is then listed too. Cells are three radii wide, so a point goes to fewer than five on average.
     """
     size = 3.0 * radius
-    reach = F.lit(radius) + (F.coalesce(F.col(extent), F.lit(0.0)) if extent else F.lit(0.0))
-    here = left.withColumn("_cell", own_cell(F.col(left_at[0]), F.col(left_at[1]), size))
-    there = right.withColumn("_cell", F.explode(cells_within(F.col(right_at[0]), F.col(right_at[1]), reach, size)))
-    return here.join(there, "_cell").drop("_cell")
+    if extent is None:
+        here = left.withColumn("_cell", own_cell(F.col(left_at[0]), F.col(left_at[1]), size))
+        there = right.withColumn("_cell", F.explode(cells_within(F.col(right_at[0]), F.col(right_at[1]), radius, size)))
+        return here.join(there, "_cell").drop("_cell")
+    far = F.coalesce(F.col(extent), F.lit(0.0))
+    sized = right.withColumn("_scale", scale_of(far, size))
+    there = sized.withColumn("_cell", F.explode(cells_within(F.col(right_at[0]), F.col(right_at[1]), far + radius, width(size, F.col("_scale")))))
+    here = at_scales(left, sized.select("_scale").distinct()).withColumn("_cell", own_cell(F.col(left_at[0]), F.col(left_at[1]), width(size, F.col("_scale"))))
+    return here.join(there, ["_scale", "_cell"]).drop("_scale", "_cell")
 
 
 def grid_cell(lat: Column, lon: Column) -> Column:
@@ -112,27 +141,36 @@ def _edges(ring: Column, step) -> Column:
 
 
 def in_rings(lat: Column, lon: Column, rings: Column) -> Column:
-    """Even-odd rule over all rings, so holes are outside."""
+    """Even-odd rule over all closed rings, so holes are outside. Longitudes are counted on from the first vertex, within half a turn.
+
+    This walks all edges: for single polygons. ``operators/cover.py`` judges many points.
+    """
+    origin = rings[0][0]["lon"]
+    here = turned(lon, origin)
 
     def crosses(a: Column, b: Column) -> Column:
+        ax, bx = turned(a["lon"], origin), turned(b["lon"], origin)
         spans = (a["lat"] > lat) != (b["lat"] > lat)
-        at = (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"]
-        return F.when(spans & (lon < at), 1).otherwise(0)
+        at = (bx - ax) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + ax
+        return F.when(spans & (here < at), 1).otherwise(0)
 
-    hits = F.flatten(F.transform(rings, lambda r: F.when(F.size(r) >= 3, _edges(r, crosses)).otherwise(F.array().cast("array<int>"))))
+    closed = lambda r: (F.size(r) > 3) & (F.get(r, 0) == F.element_at(r, -1))
+    hits = F.flatten(F.transform(rings, lambda r: F.when(closed(r), _edges(r, crosses)).otherwise(F.array().cast("array<int>"))))
     return F.coalesce(F.aggregate(hits, F.lit(0), lambda s, x: s + x) % 2 == 1, F.lit(False))
 
 
-def ring_distance(lat: Column, lon: Column, rings: Column) -> Column:
-    """Great-circle metres to the nearest edge; its nearest point is found in a local flat projection. Longitudes wrap."""
+def edge_distance(lat: Column, lon: Column, alat: Column, alon: Column, blat: Column, blon: Column) -> Column:
+    """Great-circle metres to an edge; its nearest point is found in a local flat projection. Longitudes wrap."""
     wrap = lambda d: d - 360 * F.round(d / 360)
+    c = F.cos(F.radians(lat))
+    ax, ay = wrap(alon - lon) * c, alat - lat
+    dx, dy = wrap(blon - alon) * c, blat - alat
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
+    return haversine(lat, lon, alat + t * dy, alon + t * wrap(blon - alon))
 
-    def to_edge(a: Column, b: Column) -> Column:
-        c = F.cos(F.radians(lat))
-        ax, ay = wrap(a["lon"] - lon) * c, a["lat"] - lat
-        dx, dy = wrap(b["lon"] - a["lon"]) * c, b["lat"] - a["lat"]
-        length = dx * dx + dy * dy
-        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
-        return haversine(lat, lon, a["lat"] + t * dy, a["lon"] + t * wrap(b["lon"] - a["lon"]))
 
+def ring_distance(lat: Column, lon: Column, rings: Column) -> Column:
+    """Metres to the nearest edge of any ring; a ring of one point is an edge to itself."""
+    to_edge = lambda a, b: edge_distance(lat, lon, a["lat"], a["lon"], b["lat"], b["lon"])
     return F.array_min(F.flatten(F.transform(rings, lambda r: F.when(F.size(r) >= 2, _edges(r, to_edge)).otherwise(_edges(F.concat(r, r), to_edge)))))

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.config import History
-from emberline.functions.geo import METRES_PER_DEGREE, R, box_distance, cell_join, cells_within, haversine, in_box, in_rings, ring_distance, xyz
+from emberline.functions.geo import METRES_PER_DEGREE, R, at_scales, box_distance, cell_join, cells_within, haversine, in_box, own_cell, scale_of, width, xyz
 from emberline.functions.values import rounded
+from emberline.operators.cover import boundary_sites, polygon_cells, with_metres, within_cells
+from emberline.tables import materialize
 
 #: Base cells in metres. The search has levels, each with cells twice as wide as the one before; a cell of the last reaches around the globe.
 BASE = 1250.0
@@ -37,37 +39,43 @@ def _diameter(k: int) -> float:
     return 2 * R * math.asin(min(1.0, 3**0.5 * GROUPED[k] * BASE / (2 * R)))
 
 
-def with_extent(facilities: DataFrame) -> DataFrame:
-    """Adds half_deg where it is missing, and extent_m (metres that the facility reaches around its point)."""
+def sites_of(facilities: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """What a detection can be nearest to: fid, fname, ftype, flat, flon, half_deg, site, extent_m (metres reached around the point).
+
+    A facility is one site, or, where it has polygons, one for each of their cells that a boundary touches; site then names the cell.
+    """
     out = facilities if "half_deg" in facilities.columns else facilities.withColumn("half_deg", F.lit(None).cast("double"))
+    placed = out.filter("flat IS NOT NULL AND flon IS NOT NULL")
     extent = F.coalesce(F.col("half_deg"), F.lit(0.0)) * METRES_PER_DEGREE * 1.5
-    if "rings" in facilities.columns:
-        far = F.array_max(F.transform(F.flatten("rings"), lambda p: haversine(F.col("flat"), F.col("flon"), p["lat"], p["lon"])))
-        extent = F.greatest(extent, F.coalesce(far, F.lit(0.0)))
-    return out.withColumn("extent_m", extent)
+    whole = placed.select("fid", "fname", "ftype", "flat", "flon", "half_deg", F.lit(None).cast("long").alias("site"), extent.alias("extent_m"), *(["rings"] if "rings" in placed.columns else []))
+    if cells is None:
+        return whole
+    parts = boundary_sites(cells).drop("edges").join(placed.select("fid", "fname", "ftype"), "fid")
+    return whole.filter("rings IS NULL").drop("rings").unionByName(parts.withColumn("half_deg", F.lit(None).cast("double")))
 
 
-def distance_to_facility(sites: DataFrame, lat: Column, lon: Column) -> Column:
-    """0 inside, else metres to the boundary; to the point where there is no extent."""
-    box = box_distance(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg"))
-    if "rings" not in sites.columns:
-        return box
-    rings = F.col("rings")
-    polygon = F.when(in_rings(lat, lon, rings), 0.0).otherwise(ring_distance(lat, lon, rings))
-    return F.when(rings.isNotNull(), polygon).otherwise(box)
+def _scored(pairs: DataFrame, hotspots: DataFrame, facilities: DataFrame, cells: DataFrame | None) -> DataFrame:
+    """(id, one: struct(dist, fid, outside, fname, ftype)) of pairs (id, latitude, longitude and a site's columns).
 
-
-def inside_facility(sites: DataFrame, lat: Column, lon: Column) -> Column:
-    boxed = in_box(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg"))
-    return F.when(F.col("rings").isNotNull(), in_rings(lat, lon, F.col("rings"))).otherwise(boxed) if "rings" in sites.columns else boxed
+    0 inside, else metres to the boundary, or to the point where there is no extent. Edges join last, each site with its own.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    one = lambda dist, inside: F.struct(dist.alias("dist"), "fid", (~inside).alias("outside"), "fname", "ftype")
+    if cells is None:
+        box = F.col("flat"), F.col("flon"), F.col("half_deg")
+        return pairs.select("id", F.when(F.col("fid").isNotNull(), one(box_distance(lat, lon, *box), in_box(lat, lon, *box))).alias("one"))
+    edges = boundary_sites(cells).select("fid", "site", "edges")
+    boxed = F.col("site").isNull() & in_box(lat, lon, F.col("flat"), F.col("flon"), F.col("half_deg"))
+    # A row an edge: distances are compiled, and are reduced where they arise.
+    each = pairs.join(edges, ["fid", "site"], "left").select(*pairs.columns, F.explode_outer("edges").alias("edge"))
+    far = with_metres(each).select("id", F.when(F.col("fid").isNotNull(), one(F.col("metres"), boxed)).alias("one"))
+    near = within_cells(hotspots, cells).join(facilities.select("fid", "fname", "ftype"), "fid")
+    return far.unionByName(near.select("id", one(F.lit(0.0), F.lit(True)).alias("one")))
 
 
-def _nearest_within(hotspots: DataFrame, facilities: DataFrame, radius: float) -> DataFrame:
-    """(id, best: struct(dist, fid, fname, ftype, inside)) of the detections with a facility so near."""
-    lat, lon = F.col("latitude"), F.col("longitude")
-    pairs = cell_join(hotspots.select("id", "latitude", "longitude"), facilities, radius, ("latitude", "longitude"), ("flat", "flon"), "extent_m")
-    scored = pairs.withColumn("dist", distance_to_facility(facilities, lat, lon)).filter(F.col("dist") <= radius)
-    return scored.groupBy("id").agg(F.min(F.struct("dist", "fid", "fname", "ftype", inside_facility(facilities, lat, lon).alias("inside"))).alias("best"))
+def _nearest_within(hotspots: DataFrame, sites: DataFrame, radius: float) -> DataFrame:
+    """Pairs (id, latitude, longitude and a site's columns) of detections with sites that may be so near."""
+    return cell_join(hotspots.select("id", "latitude", "longitude"), sites, radius, ("latitude", "longitude"), ("flat", "flon"), "extent_m")
 
 
 def _candidates(hotspots: DataFrame, sites: DataFrame) -> DataFrame:
@@ -94,11 +102,13 @@ def _candidates(hotspots: DataFrame, sites: DataFrame) -> DataFrame:
     level = asked.join(seen, ["level", "cell"], "left_semi").groupBy("_base").agg(F.min("level").alias("level"))
     grouped = base.join(level, "_base").withColumn("group", F.xxhash64("level", *wider(pick(GROUPED))))
     groups = grouped.groupBy("group", "level").agg(F.min("at").alias("at"))
-    wide = pick(4 * s for s in LEVELS)
-    groups = groups.select("group", "level", "at", F.xxhash64(*[F.floor(c / wide).cast("int") for c in xyz(at["latitude"], at["longitude"])]).alias("cell"))
-    placed = levelled.select(*sites.columns, "l.level", "l.meets", around(F.col("l.meets") + F.col("extent_m"), 4 * F.col("l.size")))
+    # A site far larger than a level's cells goes to wider ones, in which the groups are listed too.
+    sized = sites.select("*", levels).select(*sites.columns, "l.level", "l.meets", (4 * F.col("l.size")).alias("_size")).withColumn("_scale", scale_of(F.col("extent_m"), F.col("_size")))
+    placed = sized.withColumn("cell", F.explode(cells_within(F.col("flat"), F.col("flon"), F.col("meets") + F.col("extent_m"), width(F.col("_size"), F.col("_scale"))))).drop("_size")
+    asking = at_scales(groups.select("group", "level", "at"), sized.select("level", "_scale").distinct())
+    asking = asking.withColumn("cell", own_cell(at["latitude"], at["longitude"], width(pick(4 * s for s in LEVELS), F.col("_scale"))))
     far = haversine(at["latitude"], at["longitude"], F.col("flat"), F.col("flon"))
-    pairs = groups.join(placed, ["level", "cell"]).withColumn("_far", far).filter((F.col("level") == last) | (F.col("_far") - F.col("extent_m") <= F.col("meets")))
+    pairs = asking.join(placed, ["level", "_scale", "cell"]).withColumn("_far", far).filter((F.col("level") == last) | (F.col("_far") - F.col("extent_m") <= F.col("meets")))
     best = F.min(F.col("_far") + F.col("extent_m")).over(Window.partitionBy("group"))
     kept = pairs.withColumn("_best", best).filter(F.col("_far") - F.col("extent_m") <= F.col("_best") + 2 * pick(_diameter(k) for k in range(last + 1)) + 1)
     return grouped.select("_base", "group").join(kept.select("group", *sites.columns), "group").drop("group")
@@ -109,22 +119,26 @@ def nearest_facility(hotspots: DataFrame, facilities: DataFrame, max_distance_m:
 
     Ties go to the smaller fid. Without max_distance_m the search is exact at any distance: each base cell
     finds, by cells of growing size, the facilities that can be nearest to one of its detections, and
-    the detections meet those by an equi-join on the base cell. One lazy plan, no ring after another.
+    the detections meet those by an equi-join on the base cell. One lazy plan, no ring after another; polygons are cut into cells first.
     """
-    sites = with_extent(facilities).filter("flat IS NOT NULL AND flon IS NOT NULL")
-    lat, lon = F.col("latitude"), F.col("longitude")
+    cells = None
+    if "rings" in facilities.columns:
+        # Written once, since the search, the distances and the inside test all read it.
+        cells = materialize(polygon_cells(facilities.filter("rings IS NOT NULL AND flat IS NOT NULL AND flon IS NOT NULL").select("fid", "rings")))
+    sites = sites_of(facilities, cells)
     if max_distance_m is not None:
         # By id first: with the facilities broadcast, the grouping by id then needs no other shuffle.
-        found = hotspots.select("id").join(_nearest_within(hotspots.repartition("id"), sites, max_distance_m), "id", "left")
+        dealt = hotspots.repartition("id")
+        scored = _scored(_nearest_within(dealt, sites, max_distance_m), dealt, facilities, cells).filter(F.col("one.dist") <= max_distance_m)
+        found = hotspots.select("id").join(scored.groupBy("id").agg(F.min("one").alias("best")), "id", "left")
     else:
-        base = F.xxhash64(*[F.floor(c / BASE).cast("int") for c in xyz(lat, lon)])
+        base = F.xxhash64(*[F.floor(c / BASE).cast("int") for c in xyz(F.col("latitude"), F.col("longitude"))])
         pairs = hotspots.select("id", "latitude", "longitude", base.alias("_base")).join(_candidates(hotspots, sites), "_base", "left")
-        one = F.struct(distance_to_facility(facilities, lat, lon).alias("dist"), "fid", "fname", "ftype", inside_facility(facilities, lat, lon).alias("inside"))
-        found = pairs.groupBy("id").agg(F.min(F.when(F.col("fid").isNotNull(), one)).alias("best"))
+        found = _scored(pairs, hotspots, facilities, cells).groupBy("id").agg(F.min("one").alias("best"))
     best = F.col("best")
     return found.select(
         "id", best["fid"].alias("nearest_facility_id"), best["fname"].alias("nearest_facility_name"), best["ftype"].alias("nearest_facility_type"),
-        rounded(best["dist"], 1).alias("distance_m"), F.coalesce(best["inside"], F.lit(False)).alias("within_facility"),
+        rounded(best["dist"], 1).alias("distance_m"), F.coalesce(~best["outside"], F.lit(False)).alias("within_facility"),
     )
 
 

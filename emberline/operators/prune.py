@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import KEEP_CLASSES
 from emberline.functions.geo import cell_join, haversine
-from emberline.operators.enrich import inside_facility, with_extent
+from emberline.operators.cover import containing
 
 
 def near_ids(hotspots: DataFrame, facilities: DataFrame, metres: float) -> DataFrame:
@@ -18,12 +18,8 @@ def near_ids(hotspots: DataFrame, facilities: DataFrame, metres: float) -> DataF
 
 
 def inside_ids(hotspots: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Ids of detections inside a facility's extent."""
-    sites = with_extent(facilities)
-    shaped = [F.col(c).isNotNull() for c in ("half_deg", "rings") if c in sites.columns]
-    sites = sites.filter(shaped[0] | shaped[-1])
-    pairs = cell_join(hotspots.select("id", "latitude", "longitude"), sites, 5000.0, ("latitude", "longitude"), ("flat", "flon"), "extent_m")
-    return pairs.filter(inside_facility(sites, F.col("latitude"), F.col("longitude"))).select("id").distinct()
+    """Ids of detections inside a facility's extent, polygon or box."""
+    return containing(hotspots, facilities).select("id").distinct()
 
 
 def _marked(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float) -> DataFrame:

@@ -45,6 +45,44 @@ def polygon_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facilities(spark, sf_dir).drop("half_deg").withColumn("rings", rings_of(wkt))
 
 
+#: Shapes by fid % 4, each a list of rings, in hundred-thousandths of a degree (lon, lat) around a facility: a square with a hole,
+#: two parts of which one has a hole, a slanted ring, one of 300 km. The odd ends keep corners off the places of detections.
+_RING = lambda *p: (*p, p[0])
+SHAPES = (
+    (_RING((-40005, -40005), (40005, -30005), (40005, 40005), (-40005, 40005)), _RING((-20005, -20005), (20005, -20005), (20005, 20005), (-20005, 20005))),
+    (_RING((-60005, -10005), (-10005, -10005), (-10005, 50005), (-60005, 50005)), _RING((-40005, 5005), (-20005, 5005), (-20005, 30005)), _RING((20005, -50005), (80005, -40005), (30005, 20005))),
+    (_RING((-90005, -30005), (10005, -50005), (95005, 5005), (0, 45005), (5, 15)),),
+    (_RING((-135005, -135005), (135005, -125005), (120005, 135005), (15, 90005), (-135005, 130005)),),
+)
+#: Degrees by which detections and facilities are moved, so that they lie on both sides of the date line.
+AHEAD = 97
+
+
+def _moved(lon):
+    """A longitude moved ahead and brought back to one turn, to five places."""
+    return (F.pmod(F.round(lon * 100000).cast("long") + AHEAD * 100000 + 18000000, F.lit(36000000)) - 18000000).cast("double") / F.lit(100000.0)
+
+
+def moved_hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hotspots(spark, sf_dir).withColumn("longitude", _moved(F.col("longitude")))
+
+
+def shaped_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facilities around the date line, each with the polygon or polygons of its number, out of WKT."""
+    from emberline.functions.geo import rings_of
+
+    x, y = F.round(F.col("flon") * 100000).cast("long"), F.round(F.col("flat") * 100000).cast("long")
+    lon = lambda d: F.format_string("%.5f", (F.pmod(x + d + AHEAD * 100000 + 18000000, F.lit(36000000)) - 18000000) / 100000.0)
+    ring = lambda points: F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", lon(a), F.format_string("%.5f", (y + b) / 100000.0)) for a, b in points]), F.lit(")"))
+    polygon = lambda rings: F.concat(F.lit("("), F.concat_ws(", ", *map(ring, rings)), F.lit(")"))
+    wkt = [
+        F.concat(F.lit("POLYGON"), polygon(SHAPES[0])), F.concat(F.lit("MULTIPOLYGON("), polygon(SHAPES[1][:2]), F.lit(", "), polygon(SHAPES[1][2:]), F.lit(")")),
+        F.concat(F.lit("POLYGON"), polygon(SHAPES[2])), F.concat(F.lit("POLYGON"), polygon(SHAPES[3])),
+    ]
+    chosen = F.element_at(F.array(*wkt), (F.col("fid") % 4 + 1).cast("int"))
+    return facilities(spark, sf_dir).drop("half_deg").withColumns({"rings": rings_of(chosen), "flon": _moved(F.col("flon"))})
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections as the feed sends them: texts, some of them bad, every tenth twice."""
     h = hotspots(spark, sf_dir)
@@ -204,3 +242,13 @@ s AS (
   SELECT id, fid, any_value(fname) AS fname, any_value(ftype) AS ftype, count(*) FILTER (crossed) % 2 = 1 AS inside,
     min({metres_sql("latitude", "longitude", "(ay + t * dy)", "(ax + t * (bx - ax))")}) AS edge_m
   FROM y GROUP BY id, fid)"""
+
+_SHAPE_EDGES = ", ".join(f"({k}, {ax}, {ay}, {bx}, {by})" for k, rings in enumerate(SHAPES) for r in rings for (ax, ay), (bx, by) in zip(r, r[1:]))
+#: Edges before they are brought back to one turn: a plain plane, in which the date line is no place of its own.
+SHAPES_SQL = f"""e AS (
+  SELECT fid, fname, ftype, CAST(round(flon * 100000) + ax AS DOUBLE) / 100000 AS ax, CAST(round(flat * 100000) + ay AS DOUBLE) / 100000 AS ay,
+    CAST(round(flon * 100000) + bx AS DOUBLE) / 100000 AS bx, CAST(round(flat * 100000) + by_ AS DOUBLE) / 100000 AS by_
+  FROM f JOIN (VALUES {_SHAPE_EDGES}) t(k, ax, ay, bx, by_) ON k = fid % 4),
+s AS (
+  SELECT id, fid FROM h JOIN e ON (ay > latitude) <> (by_ > latitude) AND longitude < (bx - ax) * (latitude - ay) / nullif(by_ - ay, 0) + ax
+  GROUP BY id, fid HAVING count(*) % 2 = 1)"""

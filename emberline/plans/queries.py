@@ -9,10 +9,10 @@ from emberline.config import KEEP_CLASSES, Screen
 from emberline.functions.geo import box_tiles, radius_box
 from emberline.functions.values import facility_type, is_industrial, land_cover, rounded
 from emberline.operators import classify as C
-from emberline.operators import context, facilities as fac, ingest, prune, serve
+from emberline.operators import context, cover, facilities as fac, ingest, prune, serve
 from emberline.operators.enrich import enrich, history_features, nearest_facility, upsert_enrichment, write_back
 from emberline.plans import derived as D
-from emberline.plans.derived import CLASS_SQL, EDGES_SQL, ENRICHMENT_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, metres_sql, round_sql
+from emberline.plans.derived import CLASS_SQL, EDGES_SQL, ENRICHMENT_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, SHAPES_SQL, metres_sql, round_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -453,6 +453,21 @@ def nearest_boundary(spark, sf_dir):
     return nearest_facility(D.hotspots(spark, sf_dir), D.polygon_sites(spark, sf_dir))
 
 
+@query(_with(HOTSPOTS_SQL, FACILITIES_SQL, SHAPES_SQL) + "SELECT id, fid FROM s")
+def polygon_cover_shapes(spark, sf_dir):
+    return cover.containing(D.moved_hotspots(spark, sf_dir), D.shaped_sites(spark, sf_dir))
+
+
+@query(
+    _with(HOTSPOTS_SQL, FACILITIES_SQL, SHAPES_SQL) + f"""SELECT id, CASE WHEN inside IS NULL THEN edge_m ELSE 0 END AS distance_m, inside IS NOT NULL AS within_facility FROM (SELECT id, {round_sql("min(edge_m)", 1)} AS edge_m FROM (
+      SELECT id, {metres_sql("latitude", "longitude", "(ay + t * (by_ - ay))", "(ax + t * (bx - ax))")} AS edge_m FROM (SELECT *, greatest(0, least(1, -((ax - longitude) * cos(radians(latitude)) * dx + (ay - latitude) * dy) / (dx * dx + dy * dy))) AS t
+      FROM (SELECT *, (bx - ax) * cos(radians(latitude)) AS dx, by_ - ay AS dy FROM h, e))) GROUP BY id) LEFT JOIN (SELECT DISTINCT id, TRUE AS inside FROM s) USING (id)"""
+)
+def nearest_shapes(spark, sf_dir):
+    """Over the date line, with holes and parts. Which of several facilities a detection is inside of is in polygon_cover_shapes."""
+    return nearest_facility(D.moved_hotspots(spark, sf_dir), D.shaped_sites(spark, sf_dir)).select("id", "distance_m", "within_facility")
+
+
 @query(_with(HOTSPOTS_SQL) + "SELECT id AS hotspot_id, CASE WHEN id % 3 = 0 THEN frp ELSE -1 END AS distance_m, CASE WHEN id % 2 = 0 THEN 'unknown' END AS class FROM h WHERE id % 2 = 0 OR id % 3 = 0")
 def enrichment_upsert(spark, sf_dir):
     h = D.hotspots(spark, sf_dir)
