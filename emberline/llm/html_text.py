@@ -6,8 +6,11 @@ its text that stands in links. The element with the most points is the container
 that score well, or are good paragraphs, are kept with it. Within what is kept, furniture
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
 is left out, and each block of text becomes one line. Beside an article or main element, headings and
-further articles stay. A class word does not make furniture of an element with most of the page's
-prose, nor of one around main or around the article with the most prose.
+further articles stay; so does loose text that reads like a paragraph. Class and id words make furniture of block elements only, never of headings, paragraphs and
+parts of lists and tables, and only where a whole name consists of them and of words for boxes ("related-posts", not "related-work"). They do not make
+furniture of an element with most of the page's prose, nor of one around main or around the article with the most
+prose; a section inside an article or main goes by its name only if that tells of reader comments, or if half of its text stands in links.
+Formulas and the labels of drawings are text. A button is part of the text inside a heading, paragraph or list part.
 
 Defined cases: a null or empty page has empty text; text outside any block is a block of its own;
 unclosed and stray tags are mended as browsers do for paragraphs, list items and table cells; a
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 # Element names as HTML defines or uses them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -47,15 +50,22 @@ _NO_ENDS = (None,) * len(_FAMILIES)
 #: A paragraph outside of one of these is not ended by what is inside.
 P_SCOPES = frozenset("button td th caption table".split())
 DROP = frozenset(
-    "nav aside footer form button select input textarea script style noscript template iframe object embed dialog menu head title svg math canvas audio video search option datalist".split()
+    "nav aside footer form select input textarea script style noscript template iframe object embed dialog menu head title desc metadata annotation annotation-xml canvas audio video search option datalist".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist note".split())
-FURNITURE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|"
-    r"comments?|commentlist|replies|disqus|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|"
-    r"widget|toolbar|pagination|pager|skip|search|form|copyright|disclaimer|alert)(?:$|[\s_-]|\d)",
-    re.I,
+FURNITURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements adbox adslot banner sponsor sponsored promo promos promotion promotions nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead "
+    "comment comments commentlist reply replies disqus respond cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login share sharing social related recommend recommended recommendations "
+    "widget toolbar pagination pager skip search form copyright disclaimer alert".split()
 )
+#: Words that name boxes and places, not contents: beside one of the above they leave a name what it is.
+BOX_WORDS = frozenset(
+    "box block bar list lists link links item items container wrapper wrap inner outer area panel section unit slot top bottom left right site page global main primary secondary post posts article articles news story "
+    "stories button buttons icon icons media module row col column content header body group holder the".split()
+)
+_NAME_PARTS = re.compile(r"[^\W\d_]+")
+#: A name of these parts says nothing of what stands inside.
+NAMELESS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt td th tr tbody thead tfoot pre blockquote figure figcaption caption summary address hgroup".split())
 HEADER_WORDS = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-]|\d)", re.I)
 CONTENT_WORDS = re.compile(r"article|body|content|entry|main|post|story|text", re.I)
@@ -65,7 +75,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
 
 class Node:
@@ -75,7 +85,7 @@ class Node:
     here, and of each family of ENDS the outermost element that its next tag ends.
     """
 
-    __slots__ = ("name", "names", "role", "parts", "parent", "points", "content", "in_article", "paragraph", "ends", "length", "linked")
+    __slots__ = ("name", "names", "role", "parts", "parent", "points", "content", "in_article", "in_main", "in_text", "paragraph", "ends", "length", "linked")
 
     def __init__(self, name: str, attributes: str, parent: Node | None):
         self.name, self.parent, self.parts, self.points = name, parent, [], 0.0
@@ -83,9 +93,12 @@ class Node:
         self.content = False
         self.length = self.linked = 0
         if parent is None:
-            self.in_article, self.paragraph, self.ends = False, None, _NO_ENDS
+            self.in_article = self.in_main = self.in_text = False
+            self.paragraph, self.ends = None, _NO_ENDS
         else:
             self.in_article = parent.in_article or parent.name == "article"
+            self.in_main = parent.in_main or parent.name in ("article", "main")
+            self.in_text = parent.name in NAMELESS or parent.in_text and parent.name not in BLOCK
             self.paragraph = self if name == "p" else None if name in P_SCOPES else parent.paragraph
             self.ends = parent.ends
             if name in _FAMILY_NAMES:
@@ -106,14 +119,23 @@ class Node:
         if self.by_nature() or self.named():
             return True
         # A header inside an article carries its heading.
-        return (self.name == "header" or bool(self.names and not self.content and HEADER_WORDS.search(self.names))) and not self.in_article
+        return (self.name == "header" or bool(self.names and not self.content and self.name in BLOCK and self.name not in NAMELESS and HEADER_WORDS.search(self.names))) and not self.in_article
 
     def by_nature(self) -> bool:
         """Furniture whatever its class."""
+        if self.name == "button":
+            return not self.in_text
         return self.name in DROP or self.role in FURNITURE_ROLES and self.name not in ("html", "body", "main", "article")
 
     def named(self) -> bool:
-        return bool(self.names and not self.content and FURNITURE_WORDS.search(self.names))
+        """Furniture by a class or an id."""
+        return bool(self.names) and not self.content and self.name in BLOCK and self.name not in NAMELESS and any(map(names_furniture, self.names.split()))
+
+
+def names_furniture(name: str) -> bool:
+    """Whether a class or id is of furniture words, among words for boxes."""
+    parts = _NAME_PARTS.findall(name.lower())
+    return any(w in FURNITURE_WORDS for w in parts) and all(w in FURNITURE_WORDS or w in BOX_WORDS for w in parts)
 
 
 def parse(page: str) -> Node:
@@ -165,7 +187,9 @@ def parse(page: str) -> Node:
             continue
         if name in RAW:
             close = _RAW_END[name].search(page, place)
-            place = close.end() if close else end
+            # The end tag runs to the next >; without one, nothing closes any more.
+            stop = page.find(">", close.end()) if close else -1
+            place = stop + 1 if stop >= 0 else end
             continue
         opened[name] += 1
         at = node
@@ -226,8 +250,15 @@ def mark_content(root: Node, comments: bool = False) -> None:
         if x is not root:
             seen[id(x)] = seen[id(x.parent)] and not x.furniture()
     for x in reversed(order):
+        x.length += sum(len(p) for p in x.parts if isinstance(p, str))
+        if x.name == "a":
+            x.linked = x.length
+        if x.name == "section" and x.in_main and x.linked <= x.length / 2 and not (x.names and COMMENT_WORDS.search(x.names)):
+            x.content = True
         if x is not root:
             prose[id(x.parent)] += prose[id(x)]
+            x.parent.length += x.length
+            x.parent.linked += x.linked
     total = prose[id(root)]
     if not total:
         return
@@ -282,23 +313,38 @@ def kept(best: Node) -> list[Node | str]:
     if best.parent is None or best.name == "body":
         return [best]
     whole = best.name in ("article", "main")
+    reads = lambda text, share: share < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")))
     out: list[Node | str] = []
     held: list[Node | str] = []
+    loose: list[Node | str] = []
     passed = False
+
+    def settle() -> None:
+        """Text that stands loose, with what is inline in it, counts as one paragraph."""
+        text = "".join(x if isinstance(x, str) else _text(x) for x in loose)
+        linked = sum(x.linked for x in loose if isinstance(x, Node))
+        if text.strip() and reads(text.strip(), linked / len(text)):
+            out.extend([*held, *loose])
+        loose.clear()
+
     for x in best.parent.parts:
+        if x is not best and (isinstance(x, str) or x.name not in BLOCK and not x.furniture()):
+            loose.append(x)
+            continue
+        settle()
         if x is best:
             out.append(x)
             passed = True
-        elif isinstance(x, Node) and not x.furniture():
+        elif not x.furniture():
             if whole and passed and x.name in HEADINGS:
                 held.append(x)
                 continue
             text, share = _text(x).strip(), x.linked / max(1, x.length)
             good = x.points >= max(10, best.points / 5) or whole and x.name == "article" and x.points > 0 and share < 0.25
-            good = good or x.name in HEADINGS and text or x.name in PARAGRAPHS and share < 0.25 and (len(text) > 80 or text.endswith((".", "!", "?")))
-            if good:
+            if good or x.name in HEADINGS and text or x.name in PARAGRAPHS and reads(text, share):
                 out += [*held, x]
             held.clear()
+    settle()
     return out
 
 

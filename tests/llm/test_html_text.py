@@ -131,3 +131,49 @@ def test_further_articles_and_good_siblings_of_an_article_stay():
     assert op.main_text(f"<body><div>{part}{part}{part}</div>") == "\n".join([LONG] * 3)
     assert op.main_text(f"<main><article><p>{LONG}</p><p>{LONG}</p></article><p>{LONG}</p></main>") == "\n".join([LONG] * 3)
     assert op.main_text(f"<article><p>{LONG}</p><p style='display:none'>{LONG}</p></article>") == "\n".join([LONG] * 2)
+
+
+def test_names_inside_an_article_drop_no_text():
+    """Headings, paragraphs, list parts and sections stay, whatever they are called."""
+    parts = [
+        '<h2 id="related-work">Related work</h2>', '<h2 id="comments">Comments</h2>', '<h3 id="search">Search</h3>', '<p class="menu">The menu of the day, in short.</p>', f'<section id="social-history"><p>{LONG}</p></section>',
+        f'<section id="search"><h2>Search trees</h2><p>{LONG}</p></section>', '<dl><dt class="side">Side</dt><dd class="form-factor">Of a board.</dd></dl>', '<ul><li class="share">A share of it</li></ul>', f'<div class="related-work"><p>{LONG}</p></div>',
+        f'<blockquote class="sidebar">{LONG}</blockquote>', '<h2><button class="toggle">Part three</button></h2>', '<p>A <span class="ad">small</span> word.</p>',
+    ]
+    text = lambda p: op._SPACE.sub(" ", re.sub("<[^>]+>", " ", re.sub("</?(?:span|button)[^>]*>", "", p))).strip()
+    for frame in ("<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>"):
+        page = "<body><nav>x</nav>" + frame.format(f"<p>{LONG}</p>" + "".join(parts) + f"<p>{LONG}</p>") + "<footer>y</footer>"
+        found = op.main_text(page)
+        assert found.startswith(LONG) and found.endswith(LONG)
+        assert found.replace("\n", " ") == " ".join([LONG, *map(text, parts), LONG])
+
+
+def test_furniture_inside_an_article_goes():
+    links = "".join(f"<li><a href=/{i}>Another story, {i}</a></li>" for i in range(5))
+    for part in (f'<div class="related-posts"><p>{LONG}</p></div>', f'<section id="comments"><p>{LONG}</p></section>', f'<section class="related"><ul>{links}</ul></section>', "<div class=ad>Buy it.</div>", "<button>Share</button>", f'<ul class="share-links">{links}</ul>', f"<form><p>{LONG}</p></form>", '<div class="cookie-notice top">We use them.</div>'):
+        assert op.main_text(f"<body><article><p>{LONG}</p>{part}<p>{LONG}</p></article>") == f"{LONG}\n{LONG}", part
+
+
+def test_formulas_drawings_and_loose_text_stay():
+    assert op.main_text(f"<article><p>We write <math><mi>y plus one</mi><annotation>y+1</annotation></math> here, and <svg><title>Icon</title><path d='M0'/><text>a label</text></svg> too.</p><p>{LONG}</p></article>") == f"We write y plus one here, and a label too.\n{LONG}"
+    assert op.main_text(f"<body><nav>Menu</nav><div>{LONG} <b>Bold</b> end.<article><p>{LONG}</p><p>{LONG}</p></article>Home <a href=x>More</a></div>") == "\n".join([f"{LONG} Bold end.", LONG, LONG])
+
+
+def test_unfinished_end_tags_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for unit in ("</script ", "<script></script x", "</p ", "<a '", "<!-", "<svg>", "</"):
+        op.main_text("<p>text</p><script>" + unit * 50_000)
+        op.main_text("<p>text</p>" + unit * 50_000)
+    assert time.perf_counter() - began < 8
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "li", "pre", "dd"]), st.sampled_from(["", "menu", "related-work", "comments", "search x", "footer"]), st.sampled_from([LONG, "short", "a &lt; b", "one<br>two", "<b>x</b> y"])), min_size=1, max_size=12), st.sampled_from(["nav", "footer", "aside", "form"]))
+def test_text_equals_a_plain_extractor(parts, furniture):
+    """Every block of the article, by the definition of the page, and nothing of what stands around it or between."""
+    junk = f"<{furniture}><p>{LONG}</p></{furniture}>"
+    page = junk + "<article>" + "".join(f"<{n} class='{c}'>{t}</{n}>{junk if k % 3 == 2 else ''}" for k, (n, c, t) in enumerate(parts)) + "</article>" + junk
+    lines = [html.unescape(re.sub("<[^>]+>", "", t.replace("<br>", " "))) for _, _, t in parts]
+    assert op.main_text(page) == "\n".join(lines)
