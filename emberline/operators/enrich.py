@@ -147,32 +147,101 @@ def micro(x: Column) -> Column:
     return (x.cast("decimal(18,6)") * 1_000_000).cast("long")
 
 
-def history_pairs(hotspots: DataFrame, store: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs (id, dt, ...; o_id, o_dt, o_date, o_frp, o_night) of neighbours of the last 30 days or later."""
-    here = hotspots.select("id", "latitude", "longitude", "acq_date", "dt")
-    there = store.select(F.col("id").alias("o_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"), F.col("acq_date").alias("o_date"), F.col("dt").alias("o_dt"), F.col("frp").alias("o_frp"), micro(F.col("frp")).alias("o_micro"), (F.col("daynight") == "N").alias("o_night"))
+#: Cells of crowds are so many times finer than the radius, and a crowd is so many detections in one.
+FINE, CROWD = 32, 64
+#: What is known of neighbours, one or many: the day, first and last time, how many, FRP in millionths and how many have one, the largest, how many by night.
+HEARD = ("id", "dt", "o_date", "first", "last", "n", "micro", "n_frp", "max_frp", "n_night")
+
+
+def _fine_cell(lat: Column, lon: Column, radius_m: float) -> list[Column]:
+    return [F.floor(c / (radius_m / FINE)).cast("int").alias(f"c{n}") for n, c in zip("xyz", xyz(lat, lon))]
+
+
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.groupBy(*by).agg(
+        F.min("o_dt").alias("first"), F.max("o_dt").alias("last"), F.count("*").alias("n"), F.sum("o_micro").alias("micro"), F.count("o_micro").alias("n_frp"), F.max("o_frp").alias("max_frp"), F.count_if("o_night").alias("n_night")
+    )
+
+
+def _one_by_one(pairs: DataFrame) -> DataFrame:
+    """HEARD of pairs (id, dt, o_...): each neighbour by itself."""
+    return pairs.select("id", "dt", "o_date", F.col("o_dt").alias("first"), F.col("o_dt").alias("last"), F.lit(1).cast("long").alias("n"), F.col("o_micro").alias("micro"), F.col("o_micro").isNotNull().cast("long").alias("n_frp"), F.col("o_frp").alias("max_frp"), F.coalesce(F.col("o_night"), F.lit(False)).cast("long").alias("n_night"))
+
+
+def history_pairs(here: DataFrame, there: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of detections (id, latitude, longitude, acq_date, dt) and neighbours (o_...) of the last 30 days or later."""
     near = haversine(F.col("latitude"), F.col("longitude"), F.col("o_lat"), F.col("o_lon")) <= radius_m
     # Both sides grow with the store: a shuffled join, whose crowded cells adaptive execution splits.
     pairs = cell_join(here.hint("merge"), there, radius_m, ("latitude", "longitude"), ("o_lat", "o_lon"))
     return pairs.filter((F.col("id") != F.col("o_id")) & (F.col("o_date") >= F.date_sub("acq_date", 30)) & near)
 
 
-def history_features(hotspots: DataFrame, store: DataFrame | None = None, cfg: History = History()) -> DataFrame:
+def crowd_rows(here: DataFrame, members: DataFrame, radius_m: float, windows: tuple[int, ...]) -> DataFrame:
+    """HEARD of neighbours in crowds; members are the detections (o_..., cx, cy, cz) of the crowded fine cells.
+
+    A cell that lies wholly within the radius is heard by its sums: of whole days; of hours on the days
+    that a window begins on and on the detection's own day; of single detections in the hour in which the window begins, or that of the detection
+    itself. Only cells that the radius cuts are compared one by one.
+    """
+    cell, size = ["cx", "cy", "cz"], radius_m / FINE
+    half, chord = 3**0.5 / 2 * size, 2 * R * math.sin(min(radius_m / (2 * R), math.pi / 2))
+    cells = members.groupBy(*cell).agg(F.min(F.struct("o_lat", "o_lon")).alias("at")).select(*cell, "at.*")
+    met = cell_join(here.hint("merge"), cells, radius_m + 2 * half, ("latitude", "longitude"), ("o_lat", "o_lon"))
+    away = F.sqrt(sum(((p - (F.col(c) + 0.5) * size) ** 2 for p, c in zip(xyz(F.col("latitude"), F.col("longitude")), cell)), F.lit(0.0)))
+    met = met.withColumn("away", away).filter(F.col("away") - half <= chord * (1 + 1e-9)).drop("o_lat", "o_lon")
+    within = met.filter(F.col("away") + half <= chord * (1 - 1e-9)).drop("away")
+    cut = met.filter(F.col("away") + half > chord * (1 - 1e-9)).drop("away")
+    alone = F.col("id") != F.col("o_id")
+    recent = F.col("o_date") >= F.date_sub("acq_date", 30)
+    near = haversine(F.col("latitude"), F.col("longitude"), F.col("o_lat"), F.col("o_lon")) <= radius_m
+    singly = cut.join(members, cell).filter(alone & recent & near)
+    special = F.array(*[F.date_sub("acq_date", w) for w in sorted({0, 30, *windows})])
+    days = within.join(_summed(members, *cell, "o_date"), cell).filter(recent & ~F.array_contains(special, F.col("o_date")))
+    # Days that are split: the hour of the detection by single ones, the others as a whole.
+    split = within.withColumn("o_date", F.explode(special)).filter(recent).withColumn("hour", F.hour("dt"))
+    timed = members.withColumn("hour", F.hour("o_dt"))
+    hours = split.withColumnRenamed("hour", "own").join(_summed(timed, *cell, "o_date", "hour"), [*cell, "o_date"]).filter("hour != own")
+    minutes = split.join(timed, [*cell, "o_date", "hour"]).filter(alone)
+    found = _one_by_one(singly).unionByName(_one_by_one(minutes))
+    for part in (days, hours):
+        found = found.unionByName(part.select(*HEARD))
+    return found
+
+
+def heard(hotspots: DataFrame, store: DataFrame, cfg: History, crowd: int = CROWD) -> DataFrame:
+    """HEARD of all neighbours of the last 30 days or later: one by one in thin places, by sums in crowds.
+
+    So n detections at one spot give some n times the days, hours and minutes that matter, not n * n rows.
+    A detection and the stored row of its id must be alike.
+    """
+    here = hotspots.select("id", "latitude", "longitude", "acq_date", "dt")
+    there = store.select(F.col("id").alias("o_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"), F.col("acq_date").alias("o_date"), F.col("dt").alias("o_dt"), F.col("frp").alias("o_frp"), micro(F.col("frp")).alias("o_micro"), (F.col("daynight") == "N").alias("o_night"))
+    placed = there.select("*", *_fine_cell(F.col("o_lat"), F.col("o_lon"), cfg.radius_m))
+    cell = ["cx", "cy", "cz"]
+    crowded = placed.groupBy(*cell).count().filter(F.col("count") >= crowd).select(*cell)
+    thin = placed.join(crowded, cell, "left_anti").drop(*cell)
+    members = placed.join(crowded, cell, "left_semi")
+    singly = _one_by_one(history_pairs(here, thin, cfg.radius_m))
+    return singly.unionByName(crowd_rows(here, members, cfg.radius_m, (1, 7, cfg.window_days)))
+
+
+def history_features(hotspots: DataFrame, store: DataFrame | None = None, cfg: History = History(), crowd: int = CROWD) -> DataFrame:
     """Counts, means and ratios of each detection's neighbours in space and time.
 
     store is where the neighbours come from (the detections themselves if not given). Neighbours later
     than a detection count too unless cfg.causal.
     """
-    pairs = history_pairs(hotspots, hotspots if store is None else store, cfg.radius_m)
+    rows = heard(hotspots, hotspots if store is None else store, cfg, crowd)
     if cfg.causal:
-        pairs = pairs.filter("o_dt <= dt")
-    since = lambda days: F.col("o_dt") >= F.col("dt") - F.make_dt_interval(F.lit(days))
-    frp = F.col("o_micro")
+        rows = rows.filter("first <= dt")
+    # What is summed lies on one side of every window's beginning, and of the detection's own time.
+    since = lambda days: F.col("last") >= F.col("dt") - F.make_dt_interval(F.lit(days))
+    total_since = lambda days, c: F.sum(F.when(since(days), F.col(c)).otherwise(0))
     # By day first: distinct days then are a count of rows, and far fewer rows move.
-    daily = pairs.groupBy("id", "o_date").agg(
-        F.count_if(since(1)).alias("d24"), F.count_if(since(cfg.window_days)).alias("d7"), F.count_if(since(30)).alias("d30"),
-        F.sum(F.when(since(7), frp)).alias("sum7"), F.count(F.when(since(7), frp)).alias("n7"), F.sum(F.when(since(30), frp)).alias("sum30"), F.count(F.when(since(30), frp)).alias("n30"),
-        F.max(F.when(since(30), F.col("o_frp"))).alias("max30"), F.count_if(since(30) & F.col("o_night")).alias("night30"),
+    daily = rows.groupBy("id", "o_date").agg(
+        total_since(1, "n").alias("d24"), total_since(cfg.window_days, "n").alias("d7"), total_since(30, "n").alias("d30"),
+        total_since(7, "micro").alias("sum7"), total_since(7, "n_frp").alias("n7"), total_since(30, "micro").alias("sum30"), total_since(30, "n_frp").alias("n30"),
+        F.max(F.when(since(30), F.col("max_frp"))).alias("max30"), total_since(30, "n_night").alias("night30"),
     )
     total = lambda c: F.sum(c).alias(c)
     agg = daily.groupBy("id").agg(
