@@ -22,7 +22,7 @@ from emberline.operators.facilities import from_elements
 from emberline.sources.feeds import DetectionFeed, ask_map, map_query
 from emberline.sources.files import map_elements, read_detections
 from emberline.sources.land_cover import LandCover
-from emberline.streaming.worker import Store, backfill, maintenance, refresh_land_cover, refresh_map, run_cycle
+from emberline.streaming.worker import Store, backfill, compact, maintenance, refresh_land_cover, refresh_map, run_cycle
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,6 +57,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=500)
     p = command("prune", "count what would be deleted, or delete it")
     p.add_argument("--apply", action="store_true")
+    p = command("compact", "take many small files together")
+    p.add_argument("--most", type=int, default=16, help="files of a day, or of a log, that may stay")
     p = command("report", "hold the classes against labels from the map")
     p.add_argument("--out", help="folder for the JSON file (default: printed)")
     p = command("page", "a page of detections, or of grid cells, as GeoJSON")
@@ -111,6 +113,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         return service.status()
     if o.command == "prune":
         return maintenance(store, dry_run=not o.apply)
+    if o.command == "compact":
+        return {"files": compact(store, o.most)}
     rows = serve.served(store.read("hotspots"), store.read("enrichment"))
     if o.command == "report":
         found = report(rows)

@@ -121,11 +121,13 @@ def radius_box(lat: Column, lon: Column, metres: Column | float) -> Column:
     return F.struct((lon - dlon).alias("west"), (lat - dlat).alias("south"), (lon + dlon).alias("east"), (lat + dlat).alias("north"))
 
 
-def box_tiles(box: tuple[float, float, float, float], chunks: int) -> list[str]:
-    """chunks x chunks sub-boxes, row by row, each "w,s,e,n" to six places."""
-    w, s, e, n = box
-    dx, dy = (e - w) / chunks, (n - s) / chunks
-    return [f"{w + i * dx:.6f},{s + j * dy:.6f},{w + (i + 1) * dx:.6f},{s + (j + 1) * dy:.6f}" for j in range(chunks) for i in range(chunks)]
+def tiles_of(boxes: DataFrame, chunks: int) -> DataFrame:
+    """boxes(west, south, east, north) cut into chunks x chunks tiles, each as the text "w,s,e,n" to six places."""
+    steps = F.sequence(F.lit(0), F.lit(chunks - 1))
+    edge = lambda low, high, k: F.col(low) + k * ((F.col(high) - F.col(low)) / chunks)
+    parts = boxes.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
+    i, j = F.col("i"), F.col("j")
+    return parts.select(F.format_string("%.6f,%.6f,%.6f,%.6f", edge("west", "east", i), edge("south", "north", j), edge("west", "east", i + 1), edge("south", "north", j + 1)).alias("tile"))
 
 
 def rings_of(wkt: Column) -> Column:

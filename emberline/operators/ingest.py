@@ -132,12 +132,15 @@ def screen_stats(marked: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("fetched"), F.count_if("near").alias("kept"), F.count_if(~F.col("near")).alias("dropped"), F.count_if("in_day").alias("in_day"), F.count_if("prior").alias("prior"), F.count_if("bright").alias("frp"))
 
 
+def windows_of(spans: DataFrame, days: int = 5) -> DataFrame:
+    """(date_from, days) windows that cover each span (first, last), the last cut short."""
+    dates = spans.filter("first <= last").select("last", F.explode(F.sequence("first", "last", F.make_dt_interval(F.lit(days)))).alias("date_from"))
+    return dates.withColumn("date_from", F.col("date_from").cast("date")).select("date_from", F.least(F.lit(days), F.date_diff("last", F.col("date_from")) + 1).cast("int").alias("days"))
+
+
 def day_windows(spark, start: str, end: str, days: int = 5) -> DataFrame:
-    """(date_from, days) windows that cover start to end, the last cut short."""
-    begin, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    step = F.make_dt_interval(F.lit(days))
-    dates = spark.range(1).filter(begin <= last).select(F.explode(F.sequence(begin, last, step)).alias("date_from")).select(F.col("date_from").cast("date"))
-    return dates.select("date_from", F.least(F.lit(days), F.date_diff(last, F.col("date_from")) + 1).cast("int").alias("days"))
+    """The windows of one span of days."""
+    return windows_of(spark.range(1).select(F.lit(start).cast("date").alias("first"), F.lit(end).cast("date").alias("last")), days)
 
 
 def pending_units(units: DataFrame, log: DataFrame, bbox: str) -> DataFrame:

@@ -72,6 +72,11 @@ def id_range(hotspots: DataFrame) -> DataFrame:
     return hotspots.agg(F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.count("*").alias("n"))
 
 
+def of_days(rows: DataFrame, days: list) -> DataFrame:
+    """The rows of some days; the days reach the scan."""
+    return rows.filter(F.col("acq_date").isin(days))
+
+
 def prune(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float = 5000.0) -> tuple[DataFrame, DataFrame]:
     """(detections, enrichment) without what is to be deleted; enrichment goes with its detection."""
     gone = disposition(hotspots, enrichment, facilities, metres).filter("disposition = 'delete'").select("id")

@@ -57,16 +57,82 @@ def check_page(limit: int, resolution: float | None = None) -> None:
 
 
 def served(hotspots: DataFrame, enrichment: DataFrame) -> DataFrame:
-    """Detections with what is known of them."""
+    """Detections with what is known of them.
+
+    Where both are cut by day the day is met too, so that a filter of days prunes either scan.
+    """
     known = enrichment.withColumnRenamed("hotspot_id", "id")
-    return hotspots.join(known, "id", "left")
+    if "acq_date" not in known.columns:
+        return hotspots.join(known, "id", "left")
+    extra = [c for c in known.columns if c not in ("id", "acq_date")]
+    return hotspots.join(known, ["id", "acq_date"], "left").select(*hotspots.columns, *extra)
+
+
+#: The order of a page: by class (nulls last), newest first; ids break ties.
+ORDER = ("class", "acq_date", "acq_time", "id")
+#: Rows that a page may have to be found by one top-n; of larger ones the cut is found by counts.
+SMALL_PAGE = 5_000
+
+
+def _order() -> list[Column]:
+    return [F.col("class").asc_nulls_last(), F.col("acq_date").desc(), F.col("acq_time").desc(), F.col("id")]
+
+
+def _later_class(name: str | None) -> Column:
+    return F.lit(False) if name is None else F.col("class").isNull() | (F.col("class") > name)
+
+
+def after_key(rows: DataFrame, key: tuple) -> DataFrame:
+    """The rows that come after (class, acq_date, acq_time, id) in the order of a page: the next page begins there."""
+    name, day, time, number = key
+    day = F.lit(day).cast("date")
+    newer = (F.col("acq_date") < day) | (F.col("acq_date") == day) & ((F.col("acq_time") < time) | (F.col("acq_time") == time) & (F.col("id") > number))
+    return rows.filter(_later_class(name) | F.col("class").eqNullSafe(F.lit(name).cast("string")) & newer)
+
 
+def _cut(counts: list[tuple], limit: int) -> tuple | None:
+    """(group, how many of it) where so many rows end, of (group, n) in order; None where they do not."""
+    for group, n in counts:
+        if n > limit:
+            return group, limit
+        limit -= n
+    return None
 
-def page(rows: DataFrame, filters: Filters = Filters(), limit: int = 50_000) -> DataFrame:
-    """The first ``limit`` rows by class (nulls last), newest first; ids break ties."""
+
+def first_rows(rows: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows of a page's order, unsorted.
+
+    Counts by class and day, then by the minutes of one day, find where the page ends: a few thousand numbers. All
+    rows before that minute are filtered, and only those of the minute are numbered, so no task sees more than a minute.
+    """
+    found = [((r["class"], r.acq_date), r.n) for r in rows.groupBy("class", "acq_date").agg(F.count("*").alias("n")).collect()]
+    cut = _cut(sorted(found, key=lambda x: (x[0][0] is None, x[0][0] or "", -x[0][1].toordinal())), limit)
+    if cut is None:
+        return rows
+    (name, day), rest = cut
+    own = F.col("class").eqNullSafe(F.lit(name).cast("string"))
+    edge = rows.filter(own & (F.col("acq_date") == F.lit(day)))
+    minutes = [(r.acq_time, r.n) for r in edge.groupBy("acq_time").agg(F.count("*").alias("n")).collect()]
+    time, rest = _cut(sorted(minutes, key=lambda x: -x[0]), rest) or (None, 0)
+    earlier = F.col("class").isNotNull() if name is None else F.col("class") < name
+    whole = earlier | own & ((F.col("acq_date") > F.lit(day)) | (F.col("acq_date") == F.lit(day)) & (F.col("acq_time") > F.lit(time)))
+    last = edge.filter(F.col("acq_time") == F.lit(time)).withColumn("_n", F.row_number().over(Window.partitionBy("acq_time").orderBy("id"))).filter(F.col("_n") <= rest).drop("_n")
+    return rows.filter(F.coalesce(whole, F.lit(False))).unionByName(last)
+
+
+def page(rows: DataFrame, filters: Filters = Filters(), limit: int = 50_000, after: tuple | None = None) -> DataFrame:
+    """The first ``limit`` rows by class (nulls last), newest first; ids break ties.
+
+    after is the key (class, acq_date, acq_time, id) of the last row of the page before. A large page is cut by counts and sorted by
+    ranges, in as many tasks as its rows need.
+    """
     check_page(limit)
-    order = [F.col("class").asc_nulls_last(), F.col("acq_date").desc(), F.col("acq_time").desc(), F.col("id")]
-    return filters.apply(rows).orderBy(*order).limit(limit)
+    rows = filters.apply(rows)
+    if after is not None:
+        rows = after_key(rows, after)
+    if limit <= SMALL_PAGE:
+        return rows.orderBy(*_order()).limit(limit)
+    return first_rows(rows, limit).orderBy(*_order())
 
 
 def grid(rows: DataFrame, resolution: float, filters: Filters = Filters(), limit: int = 50_000) -> DataFrame:
@@ -153,13 +219,6 @@ def grid_document(rows: DataFrame, resolution: float, filters: Filters = Filters
     return _collection(cells, _json_feature(F.array("lon", "lat"), props), rows, filters, limit, resolution)
 
 
-def envelope(rows: DataFrame, filters: Filters = Filters(), limit: int = 50_000) -> dict:
-    """What goes around a page: matching total, returned, truncated."""
-    check_page(limit)
-    total = filters.apply(rows).count()
-    return {"type": "FeatureCollection", "totalFeatures": total, "numberReturned": min(total, limit), "truncated": total > limit}
-
-
 def detail(rows: DataFrame, hotspot_id: int) -> DataFrame:
     """The one detection with this id, or no row."""
     return features(rows.filter(F.col("id") == hotspot_id))
@@ -211,15 +270,6 @@ def evidence(enrichment: DataFrame) -> DataFrame:
     )
 
 
-def health(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, log: DataFrame, workers: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """The parts of the health document, each a small DataFrame."""
-    return {
-        "last_successful_ingestion": last_run(log, "success"), "last_run": last_run(log), "per_source": last_run_per_source(log),
-        "sources_used": log.select("source").distinct().orderBy("source"), "inserted_24h": inserted_since(log, now - F.make_dt_interval(F.lit(1))),
-        "worker": worker_state(workers, now), "evidence": evidence(enrichment), "totals": stats(hotspots, facilities), "degraded": degraded(log, now),
-    }
-
-
 def health_document(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, log: DataFrame, workers: DataFrame, now: Column) -> DataFrame:
     """The health document as one row.
 

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.config import KEEP_CLASSES, Screen
-from emberline.functions.geo import box_tiles, radius_box
+from emberline.functions.geo import radius_box, tiles_of
 from emberline.functions.values import facility_type, is_industrial, land_cover, rounded
 from emberline.operators import classify as C
 from emberline.operators import context, cover, facilities as fac, ingest, prune, serve
 from emberline.operators.enrich import enrich, history_features, nearest_facility, upsert_enrichment, write_back
 from emberline.plans import derived as D
 from emberline.plans.derived import CLASS_SQL, EDGES_SQL, ENRICHMENT_SQL, FACILITIES_SQL, HISTORY_SQL, HOTSPOTS_SQL, NEAREST_SQL, SHAPES_SQL, metres_sql, round_sql
+from emberline.tables import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,10 +40,10 @@ def classified(spark: SparkSession, sf_dir: str, reasons: bool = False) -> DataF
 
 
 def _known(spark, sf_dir):
-    """(detections, enrichment): every fifth detection is not classified yet."""
+    """(detections, enrichment): every fifth detection is not classified yet. The enrichment is a stored table, as it is where it is served from."""
     c = classified(spark, sf_dir)
     e = c.filter("id % 5 != 0").select(F.col("id").alias("hotspot_id"), "class", "nearest_facility_name", "nearest_facility_type", "distance_m", "within_facility", "detections_7d", "vision_industrial_prob")
-    return D.hotspots(spark, sf_dir).drop("vision_industrial_prob"), e
+    return D.hotspots(spark, sf_dir).drop("vision_industrial_prob"), materialize(e)
 
 
 _ALL = _with(HOTSPOTS_SQL, FACILITIES_SQL, NEAREST_SQL, HISTORY_SQL, CLASS_SQL)
@@ -172,9 +173,9 @@ def frp_percentile(spark, sf_dir):
 _PAGE = "id, source, acq_date, acq_time, class"
 
 
-def _page(spark, sf_dir, **filters):
+def _page(spark, sf_dir, limit=1000, after=None, **filters):
     h, e = _known(spark, sf_dir)
-    return serve.page(serve.served(h, e), serve.Filters(**filters), 1000).select("id", "source", "acq_date", "acq_time", "class")
+    return serve.page(serve.served(h, e), serve.Filters(**filters), limit, after).select("id", "source", "acq_date", "acq_time", "class")
 
 
 _PAGE_ORDER = " ORDER BY class NULLS LAST, acq_date DESC, acq_time DESC, id LIMIT 1000"
@@ -185,6 +186,16 @@ def hotspots_page(spark, sf_dir):
     return _page(spark, sf_dir)
 
 
+@query(_KNOWN + f"SELECT {_PAGE} FROM k" + _PAGE_ORDER.replace("1000", "6000"))
+def hotspots_large_page(spark, sf_dir):
+    return _page(spark, sf_dir, limit=6000)
+
+
+@query(_KNOWN + f"SELECT {_PAGE} FROM k WHERE class > 'industrial_fire' OR class IS NULL OR class = 'industrial_fire' AND (acq_date < DATE '2024-01-10' OR acq_date = DATE '2024-01-10' AND (acq_time < 600 OR acq_time = 600 AND id > 10))" + _PAGE_ORDER)
+def hotspots_next_page(spark, sf_dir):
+    return _page(spark, sf_dir, after=("industrial_fire", "2024-01-10", 600, 10))
+
+
 @query(_KNOWN + f"SELECT {_PAGE} FROM k WHERE coalesce(class, 'unclassified') IN ('gas_flare', 'unclassified')" + _PAGE_ORDER)
 def hotspots_by_class(spark, sf_dir):
     return _page(spark, sf_dir, classes=("gas_flare", "unclassified"))
@@ -210,9 +221,23 @@ def grid_aggregate(spark, sf_dir):
     return serve.grid(serve.served(h, e), 0.5).select("cell_lat", "cell_lon", "cell_count", "mean_frp", "max_frp", "id")
 
 
-@query()
+_NUMBERS = ("frp", "latitude", "longitude", "distance_m", "persistence_score", "current_frp_vs_historical_mean")
+
+
+@query(
+    _ALL + """SELECT id, 'Feature' AS type, 'Point' AS kind, longitude AS lon, latitude AS lat, source, class, strftime(acq_date, '%Y-%m-%d') AS acq_day, strftime(dt, '%Y-%m-%dT%H:%M:%SZ') AS acq_datetime, nearest_facility_name, within_facility,
+    detections_24h, detections_30d, daynight, vision_industrial_prob IS NULL AS unseen, """ + ", ".join(f"{c} AS p_{c}" for c in _NUMBERS) + " FROM c"
+)
 def hotspot_features(spark, sf_dir):
-    return serve.features(classified(spark, sf_dir, True))
+    """The features, read back out of their JSON; a null property is written out, not left away."""
+    found = serve.features(classified(spark, sf_dir, True))
+    get = lambda path, kind="string": F.get_json_object("feature", f"$.{path}").cast(kind)
+    of = lambda name, kind="string": get(f"properties.{name}", kind).alias(name)
+    return found.select(
+        "id", get("type").alias("type"), get("geometry.type").alias("kind"), get("geometry.coordinates[0]", "double").alias("lon"), get("geometry.coordinates[1]", "double").alias("lat"), of("source"), of("class"), get("properties.acq_date").alias("acq_day"), of("acq_datetime"),
+        of("nearest_facility_name"), of("within_facility", "boolean"), of("detections_24h", "long"), of("detections_30d", "long"), of("daynight"), F.contains(F.col("feature"), F.lit('"vision_industrial_prob":null')).alias("unseen"),
+        *[get(f"properties.{c}", "double").alias(f"p_{c}") for c in _NUMBERS],
+    )
 
 
 @query(_with(HOTSPOTS_SQL) + "SELECT id, latitude, longitude, strftime(dt, '%Y-%m-%dT%H:%M:%SZ') AS acq_datetime FROM h WHERE id = 42")
@@ -292,9 +317,10 @@ def id_range(spark, sf_dir):
     return prune.id_range(D.hotspots(spark, sf_dir))
 
 
-@query("SELECT CAST(d AS DATE) AS date_from, CAST(least(5, date_diff('day', CAST(d AS DATE), DATE '2024-01-30') + 1) AS INTEGER) AS days FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 5 DAY) t(d)")
+@query(_with(HOTSPOTS_SQL, "b AS (SELECT min(acq_date) AS first, max(acq_date) AS last FROM h)") + "SELECT CAST(d AS DATE) AS date_from, CAST(least(5, date_diff('day', CAST(d AS DATE), last) + 1) AS INTEGER) AS days FROM (SELECT last, unnest(generate_series(CAST(first AS TIMESTAMP), CAST(last AS TIMESTAMP), INTERVAL 5 DAY)) AS d FROM b)")
 def backfill_windows(spark, sf_dir):
-    return ingest.day_windows(spark, "2024-01-01", "2024-01-30")
+    """Windows over the days that have detections."""
+    return ingest.windows_of(D.hotspots(spark, sf_dir).agg(F.min("acq_date").alias("first"), F.max("acq_date").alias("last")))
 
 
 @query(_LOG + "SELECT s.source, CAST(d AS DATE) AS date_from, 1 AS days FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-03', INTERVAL 1 DAY) t(d), (SELECT DISTINCT source FROM h) s WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.source = s.source AND l.date_from = CAST(d AS DATE) AND l.status = 'success')")
@@ -402,9 +428,12 @@ def radius_boxes(spark, sf_dir):
     return D.facilities(spark, sf_dir).select("fid", rounded(box["west"], 5).alias("west"), rounded(box["north"], 5).alias("north"))
 
 
-@query("SELECT format('{:.6f},{:.6f},{:.6f},{:.6f}', 68 + i * 7.5, 6 + j * 8.0, 68 + (i + 1) * 7.5, 6 + (j + 1) * 8.0) AS tile FROM range(4) a(i), range(4) b(j)")
+@query(_with(FACILITIES_SQL, "b AS (SELECT floor(min(flon)) AS w, floor(min(flat)) AS s, ceil(max(flon)) AS e, ceil(max(flat)) AS n FROM f)") + "SELECT format('{:.6f},{:.6f},{:.6f},{:.6f}', w + i * ((e - w) / 4), s + j * ((n - s) / 4), w + (i + 1) * ((e - w) / 4), s + (j + 1) * ((n - s) / 4)) AS tile FROM b, range(4) a(i), range(4) c(j)")
 def area_tiles(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in box_tiles((68.0, 6.0, 98.0, 38.0), 4)], "tile string")
+    """Tiles of the box around all facilities."""
+    whole = lambda f, agg, c: f(agg(c)).cast("double")
+    box = D.facilities(spark, sf_dir).agg(whole(F.floor, F.min, "flon").alias("west"), whole(F.floor, F.min, "flat").alias("south"), whole(F.ceil, F.max, "flon").alias("east"), whole(F.ceil, F.max, "flat").alias("north"))
+    return tiles_of(box, 4)
 
 
 @query("SELECT p_partkey % 14 AS code, CASE p_partkey % 14 WHEN 1 THEN 'tree_cover' WHEN 2 THEN 'shrubland' WHEN 3 THEN 'grassland' WHEN 4 THEN 'cropland' WHEN 5 THEN 'built_up' WHEN 6 THEN 'bare' WHEN 7 THEN 'snow_ice' WHEN 8 THEN 'water' WHEN 9 THEN 'wetlands' WHEN 10 THEN 'mangroves' WHEN 11 THEN 'moss_lichen' END AS label, count(*) AS n FROM part GROUP BY ALL")
@@ -432,6 +461,13 @@ def false_negatives(spark, sf_dir):
     return C.disagreements(classified(spark, sf_dir), "fn")
 
 
+@query(_ALL + f", z AS (SELECT * EXCLUDE (class), CASE WHEN id % 4 = 1 THEN 'unknown' ELSE class END AS class FROM c) SELECT id, class, distance_m, nearest_facility_type FROM z WHERE ({_REF}) = 'positive' AND class = 'unknown' ORDER BY id LIMIT 10")
+def false_negatives_of_stored(spark, sf_dir):
+    """Stored labels, of which every fourth is out of date, held against the map."""
+    stored = F.when(F.col("id") % 4 == 1, "unknown").otherwise(F.col("class"))
+    return C.disagreements(classified(spark, sf_dir).withColumn("class", stored), "fn")
+
+
 @query(_ALL + f"SELECT id, class, distance_m, nearest_facility_type FROM c WHERE ({_REF}) = 'negative' AND class <> 'unknown' ORDER BY id LIMIT 10")
 def false_positives(spark, sf_dir):
     return C.disagreements(classified(spark, sf_dir), "fp")

@@ -23,7 +23,7 @@ ENRICHMENT = _of(
     hotspot_id=L, nearest_facility_id=L, nearest_facility_name=S, nearest_facility_type=S, distance_m=D, within_facility=B, detections_24h=L, detections_7d=L, detections_30d=L,
     days_active_30d=L, mean_frp_7d=D, mean_frp_30d=D, max_frp_30d=D, current_frp_vs_historical_mean=D, nighttime_detection_fraction=D, persistence_score=D, frp_vs_nearby=D,
     **{"class": S}, reasons=ArrayType(S), enriched_at=T, vision_industrial_prob=D, vision_fire_prob=D, vision_flare_prob=D, vision_facility_type=S, vision_model_version=S,
-    landcover_class=S, landcover_fracs=TAGS, landcover_note=S,
+    landcover_class=S, landcover_fracs=TAGS, landcover_note=S, acq_date=DT,
 )
 RUN_LOG = _of(kind=S, source=S, bbox=S, date_from=DT, date_to=DT, days=I, returned=L, inserted=L, duplicates=L, invalid=L, status=S, error=S, started_at=T, finished_at=T)
 SCREEN_LOG = _of(kind=S, source=S, bbox=S, date_from=DT, days=I, fetched=L, kept=L, dropped=L, in_day=L, prior=L, frp=L, percentile_pct=DecimalType(38, 6), frp_mw=DecimalType(38, 6), created_at=T)

@@ -1,6 +1,6 @@
 """The worker: micro-batches of detection files into the store, and resumable backfill.
 
-Tables lie under one folder: hotspots (by acq_date), facilities, enrichment, run_log, screen_log, query_cache,
+Tables lie under one folder: hotspots and enrichment (by acq_date), facilities, run_log, screen_log, query_cache,
 id_ranges, worker_status. A batch is validated, made new against the stored rows of its own days (so
 re-delivery inserts nothing), appended, enriched and classified by the same plans as a batch job
 against the rows of the 30 days before. Nothing is ever too late: there is no watermark, the store
@@ -8,7 +8,8 @@ itself is the state.
 
 A cycle writes to two tables and may die between. So it first reserves its ids in id_ranges; the next cycle
 enriches what has an id of an unfinished range but no enrichment. Every row is stored and enriched
-exactly once, wherever a cycle ends.
+exactly once, wherever a cycle ends. Deletes and updates rewrite the days they touch only, of both tables in one
+step that the next writer ends if it breaks off. One worker writes at a time.
 """
 
 from __future__ import annotations
@@ -23,20 +24,21 @@ from pyspark.sql import functions as F
 from emberline import schemas
 from emberline.config import History, Screen
 from emberline.operators.classify import classify
-from emberline.operators.context import fill_land_cover, heartbeat, refresh_context, run_row, screen_row
+from emberline.operators.context import fill_land_cover, heartbeat, land_cover_pending, refresh_context, run_row, screen_row
 from emberline.operators.enrich import enrich
 from emberline.operators.facilities import upsert
 from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
+from emberline.operators.prune import disposition, disposition_counts, of_days
 from emberline.sources.files import detections_of_lines
 from emberline.sources.land_cover import LandCover
-from emberline.tables import append, materialize, read_or_empty, replace, scratch
+from emberline.tables import append, file_counts, finish_swaps, materialize, read_or_empty, replace, scratch, swap
 
 _SCHEMAS = {
     "hotspots": schemas.HOTSPOTS, "facilities": schemas.FACILITIES, "enrichment": schemas.ENRICHMENT, "run_log": schemas.RUN_LOG, "screen_log": schemas.SCREEN_LOG,
     "query_cache": schemas.QUERY_CACHE, "id_ranges": schemas.ID_RANGES, "worker_status": schemas.WORKER_STATUS,
 }
 #: Columns that tables are partitioned by.
-_BY = {"hotspots": "acq_date"}
+_BY = {"hotspots": "acq_date", "enrichment": "acq_date"}
 
 
 class Store:
@@ -57,13 +59,23 @@ class Store:
     def replace(self, name: str, rows: DataFrame) -> None:
         replace(_conform(rows, _SCHEMAS[name]), self.path(name), _BY.get(name))
 
+    def swap(self, days: list, tables: dict[str, DataFrame]) -> None:
+        """Put the rows of these days in the place of those that tables have, in one step."""
+        swap(self.spark, self.folder, "acq_date", days, [(_conform(rows, _SCHEMAS[name]), self.path(name)) for name, rows in tables.items()])
+
+    def finish(self) -> int:
+        """End what a broken swap left."""
+        return finish_swaps(self.spark, self.folder)
+
     def sites(self) -> DataFrame:
         """Facilities as enrichment takes them."""
         from emberline.functions.geo import rings_of
 
         f = self.read("facilities")
-        rings = F.when(F.col("geometry").startswith("POLYGON") | F.col("geometry").startswith("MULTIPOLYGON"), rings_of(F.col("geometry")))
-        return f.select(F.xxhash64("osm_type", "osm_id").alias("fid"), F.col("name").alias("fname"), F.col("facility_type").alias("ftype"), F.col("latitude").alias("flat"), F.col("longitude").alias("flon"), rings.alias("rings"))
+        shaped = F.col("geometry").startswith("POLYGON") | F.col("geometry").startswith("MULTIPOLYGON")
+        out = [F.xxhash64("osm_type", "osm_id").alias("fid"), F.col("name").alias("fname"), F.col("facility_type").alias("ftype"), F.col("latitude").alias("flat"), F.col("longitude").alias("flon")]
+        # Without any polygon none is looked for.
+        return f.select(*out) if f.filter(shaped).isEmpty() else f.select(*out, F.when(shaped, rings_of(F.col("geometry"))).alias("rings"))
 
 
 def _conform(df: DataFrame, schema) -> DataFrame:
@@ -99,6 +111,7 @@ def _mark(store: Store, cycle: str, state: str, first: int, last: int, now: dt.d
 
 def recover(store: Store, now: dt.datetime, history: History = History()) -> int:
     """Enrich the rows that unfinished cycles stored; how many there were. The id bounds reach the scans."""
+    store.finish()
     total = 0
     for cycle, first, last in unfinished(store):
         known = store.read("enrichment").filter(F.col("hotspot_id").between(first, last)).select(F.col("hotspot_id").alias("id"))
@@ -237,10 +250,17 @@ def refresh_map(store: Store, query, now: dt.datetime | None = None, radius_m: f
 
 
 def refresh_land_cover(store: Store, service: LandCover, limit: int = 500) -> None:
-    """Ask the land cover of detections that lack it; nothing happens where the service is off."""
-    if service.enabled:
-        with scratch(store.spark):
-            store.replace("enrichment", materialize(fill_land_cover(store.read("enrichment"), store.read("hotspots"), service, limit)))
+    """Ask the land cover of detections that lack it and rewrite their days; nothing happens where the service is off."""
+    if not service.enabled:
+        return
+    store.finish()
+    known = store.read("enrichment")
+    with scratch(store.spark):
+        pending = materialize(land_cover_pending(known, limit))
+        days = [r.acq_date for r in known.join(F.broadcast(pending), "hotspot_id").select("acq_date").distinct().collect()]
+        if days:
+            # The smallest ids that lack one are of these days, so the same are asked.
+            store.swap(days, {"enrichment": fill_land_cover(of_days(known, days), of_days(store.read("hotspots"), days), service, limit)})
 
 
 def authorized(given: str | None, secret: str | None) -> bool:
@@ -249,15 +269,45 @@ def authorized(given: str | None, secret: str | None) -> bool:
 
 
 def maintenance(store: Store, dry_run: bool = True, metres: float = 5000.0) -> dict[str, int]:
-    """Counts by disposition; unless dry_run, what is to be deleted goes from both tables."""
-    from emberline.operators.prune import disposition, disposition_counts, prune
-
-    args = (store.read("hotspots"), store.read("enrichment"), store.sites(), metres)
+    """Counts by disposition; unless dry_run, what is to be deleted goes from both tables, of which only its days are rewritten."""
+    store.finish()
+    hotspots, known = store.read("hotspots"), store.read("enrichment")
     with scratch(store.spark):
-        counts = {r.disposition: r.n for r in disposition_counts(disposition(*args)).collect()}
+        found = materialize(disposition(hotspots, known, store.sites(), metres))
+        counts = {r.disposition: r.n for r in disposition_counts(found).collect()}
         if not dry_run and counts.get("delete"):
-            rows, known = (materialize(x) for x in prune(*args))
-            # Enrichment first: a detection without it is judged again by the next run, the reverse would never be met.
-            store.replace("enrichment", known)
-            store.replace("hotspots", rows)
+            gone = materialize(hotspots.select("id", "acq_date").join(found.filter("disposition = 'delete'").select("id"), "id"))
+            days = [r.acq_date for r in gone.select("acq_date").distinct().collect()]  # as many as days
+            ids = gone.select("id")
+            stay = of_days(known, days).join(ids.withColumnRenamed("id", "hotspot_id"), "hotspot_id", "left_anti")
+            store.swap(days, {"enrichment": stay, "hotspots": of_days(hotspots, days).join(ids, "id", "left_anti")})
     return counts
+
+
+def compact(store: Store, most: int = 16) -> dict[str, int]:
+    """Write anew what lies in more than ``most`` files: days of the large tables, the logs, and the id ranges, of which only what is still needed stays.
+
+    Returns how many files were taken together, by table.
+    """
+    store.finish()
+    spark, out = store.spark, {}
+    for name, by in _BY.items():
+        many = {day: n for day, n in file_counts(spark, store.path(name)).items() if day and n > most}
+        if many:
+            days = [dt.date.fromisoformat(day.partition("=")[2]) for day in many]
+            store.swap(days, {name: of_days(store.read(name), days)})
+            out[name] = sum(many.values())
+    for name in ("run_log", "screen_log", "query_cache", "id_ranges"):
+        files = file_counts(spark, store.path(name)).get("", 0)
+        if files <= most:
+            continue
+        rows = store.read(name)
+        if name == "id_ranges":
+            # The largest id ever given, and the ranges of cycles that have not ended.
+            done = rows.filter("state = 'done'")
+            rest = rows.join(done.select("cycle"), "cycle", "left_anti")
+            rows = rest.unionByName(done.orderBy(F.desc("last_id"), "cycle").limit(1))
+        with scratch(spark):
+            store.replace(name, materialize(rows.hint("rebalance")))
+        out[name] = files
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -111,3 +112,69 @@ def replace(df: DataFrame, path: str, by: str | None = None) -> None:
     fs.rename(_hadoop(spark, fresh)[0], target)
     fs.delete(aside, True)
     spark.catalog.refreshByPath(path)
+
+
+def swap(spark: SparkSession, folder: str, by: str, values: list, tables: list[tuple[DataFrame, str]]) -> None:
+    """Replace some partitions of tables under a folder, of all of them as one step; other partitions are not touched.
+
+    Each (rows, path) has all rows of the partitions with these values; one without rows goes. The new partitions are written
+    beside the tables first. Then a plan of moves is put down, by one rename: from there on the step counts as done, and
+    whoever writes next ends it with ``finish_swaps``, wherever it broke off.
+    """
+    moves: list[list[str | None]] = []
+    named = {f"{by}={value}" for value in values}
+    for rows, path in tables:
+        _settle(spark, path)
+        fresh = f"{path}.fresh-{uuid.uuid4().hex}"
+        append(rows, fresh, by)
+        own, fs = _hadoop(spark, fresh)
+        written = {x.getPath().getName() for x in fs.listStatus(own) if x.isDirectory()}
+        if not written <= named:
+            raise ValueError(f"rows outside the partitions that are replaced: {sorted(written - named)}")
+        moves += [[f"{path}/{name}", f"{fresh}/{name}" if name in written else None] for name in sorted(named)]
+    plan, fs = _hadoop(spark, f"{folder}/_swaps/{uuid.uuid4().hex}.json")
+    draft, _ = _hadoop(spark, f"{folder}/_drafts/{plan.getName()}")
+    out = fs.create(draft)
+    out.write(bytearray(json.dumps(moves), "utf-8"))
+    out.close()
+    fs.mkdirs(plan.getParent())
+    fs.rename(draft, plan)
+    finish_swaps(spark, folder)
+
+
+def finish_swaps(spark: SparkSession, folder: str) -> int:
+    """End the swaps under a folder that have a plan; how many there were. Doing a move again changes nothing."""
+    where, fs = _hadoop(spark, f"{folder}/_swaps")
+    plans = sorted(str(x.getPath()) for x in fs.listStatus(where)) if fs.exists(where) else []
+    for plan in plans:
+        moves = json.loads(spark.read.text(plan, wholetext=True).first()[0])
+        for target, fresh in moves:
+            _move(spark, target, fresh)
+        fs.delete(_hadoop(spark, plan)[0], True)
+        for fresh in {fresh.rpartition("/")[0] for _, fresh in moves if fresh}:
+            fs.delete(_hadoop(spark, fresh)[0], True)
+        for path in {target.rpartition("/")[0] for target, _ in moves}:
+            spark.catalog.refreshByPath(path)
+    return len(plans)
+
+
+def _move(spark: SparkSession, target: str, fresh: str | None) -> None:
+    """Put a partition in the place of another, or take it away; one that was moved already is left alone."""
+    to, fs = _hadoop(spark, target)
+    if fresh is None:
+        fs.delete(to, True)
+    elif fs.exists(_hadoop(spark, fresh)[0]):
+        fs.delete(to, True)
+        fs.mkdirs(to.getParent())
+        fs.rename(_hadoop(spark, fresh)[0], to)
+
+
+def file_counts(spark: SparkSession, path: str) -> dict[str, int]:
+    """How many data files each partition of a table has, by the partition's folder name; those beside partitions count for ""."""
+    own, fs = _hadoop(spark, path)
+    if not fs.exists(own):
+        return {}
+    data = lambda files: sum(not x.getPath().getName().startswith(("_", ".")) and not x.isDirectory() for x in files)
+    listed = list(fs.listStatus(own))
+    found = {x.getPath().getName(): data(fs.listStatus(x.getPath())) for x in listed if x.isDirectory() and "=" in x.getPath().getName()}
+    return found | ({"": n} if (n := data(listed)) else {})
