@@ -22,7 +22,7 @@ from emberline.operators.facilities import from_elements
 from emberline.sources.feeds import DetectionFeed, ask_map, map_query
 from emberline.sources.files import map_elements, read_detections
 from emberline.sources.land_cover import LandCover
-from emberline.streaming.worker import Store, backfill, compact, maintenance, refresh_land_cover, refresh_map, run_cycle
+from emberline.streaming.worker import Store, backfill, compact, maintenance, refresh_land_cover, refresh_map, run_cycle, stream_feed, until_stopped
 
 
 def parser() -> argparse.ArgumentParser:
@@ -57,6 +57,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--limit", type=int, default=500)
     p = command("prune", "count what would be deleted, or delete it")
     p.add_argument("--apply", action="store_true")
+    p = command("watch", "ask the feed again and again, until SIGTERM")
+    p.add_argument("--base", required=True)
+    p.add_argument("--key", default="")
+    p.add_argument("--bbox", default="world")
+    p.add_argument("--source", action="append", default=[])
+    p.add_argument("--days", type=int, default=1)
+    p.add_argument("--minutes", type=float, default=10)
+    p.add_argument("--checkpoint", required=True, help="folder for the streams' progress")
     p = command("compact", "take many small files together")
     p.add_argument("--most", type=int, default=16, help="files of a day, or of a log, that may stay")
     p = command("report", "hold the classes against labels from the map")
@@ -113,6 +121,11 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         return service.status()
     if o.command == "prune":
         return maintenance(store, dry_run=not o.apply)
+    if o.command == "watch":
+        feed = {"base": o.base, "key": o.key, "bbox": normalize_bbox(o.bbox), "days": str(o.days)}
+        sources = parse_sources(",".join(o.source or SOURCES))
+        streams = [stream_feed(store, feed, s, f"{o.checkpoint}/{s}", o.minutes, worker_id=s) for s in sources]
+        return {s: {"status": end} for s, end in zip(sources, until_stopped(store, streams))}
     if o.command == "compact":
         return {"files": compact(store, o.most)}
     rows = serve.served(store.read("hotspots"), store.read("enrichment"))

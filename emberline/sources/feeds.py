@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import datetime as dt
 import io
 import json
 import time
@@ -11,7 +12,7 @@ import urllib.parse
 import urllib.request
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from emberline.schemas import RAW_DETECTION
 
@@ -59,7 +60,7 @@ class FeedPart(InputPartition):
 
 
 class DetectionFeed(DataSource):
-    """spark.read.format("detections"): options base, key, sources, bbox, days, dates (comma-separated).
+    """spark.read or readStream.format("detections"): options base, key, sources, bbox, days, dates (comma-separated; not of a stream).
 
     One partition a source and date. Every column is text, as sent; feed names the source.
     """
@@ -74,21 +75,64 @@ class DetectionFeed(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _FeedReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _FeedStream(self.options)
+
+
+def _split(options: dict, key: str) -> list[str]:
+    return [x for x in options.get(key, "").split(",") if x]
+
+
+def _rows(o: dict, source: str, days: int, date: str | None):
+    """The rows of one request, every column as sent, and the source."""
+    names = [f.name for f in RAW_DETECTION]
+    url = feed_url(o["base"], o.get("key", ""), source, o["bbox"], days, date)
+    for row in parse_csv(fetch_text(url, int(o.get("attempts", "3")), float(o.get("timeout", "60")))):
+        yield tuple(row.get(n) for n in names) + (source,)
+
 
 class _FeedReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
 
     def partitions(self):
-        split = lambda k: [x for x in self.options.get(k, "").split(",") if x]
-        return [FeedPart(s, d) for s in split("sources") for d in split("dates") or [None]]
+        return [FeedPart(s, d) for s in _split(self.options, "sources") for d in _split(self.options, "dates") or [None]]
 
     def read(self, partition):
-        o = self.options
-        url = feed_url(o["base"], o.get("key", ""), partition.source, o["bbox"], int(o.get("days", "1")), partition.date)
-        names = [f.name for f in RAW_DETECTION]
-        for row in parse_csv(fetch_text(url, int(o.get("attempts", "3")), float(o.get("timeout", "60")))):
-            yield tuple(row.get(n) for n in names) + (partition.source,)
+        yield from _rows(self.options, partition.source, int(self.options.get("days", "1")), partition.date)
+
+
+class _FeedStream(DataSourceStreamReader):
+    """The feed asked again and again: option every (seconds, 600) and days (1), that each tick asks anew; today fixes the last day.
+
+    An offset is a tick of the clock and the day it fell on. A batch asks, one partition a source and day, for the last ``days`` days,
+    since rows come late, and for all days since the offset before, since the reader may have been away. Rows come again
+    so; whoever stores them knows them by their key. A batch that is delivered again asks for the same days.
+    """
+
+    def __init__(self, options):
+        self.options = dict(options)
+
+    def initialOffset(self) -> dict:
+        return {"tick": 0, "until": ""}
+
+    def latestOffset(self) -> dict:
+        now = time.time()
+        today = self.options.get("today") or time.strftime("%Y-%m-%d", time.gmtime(now))
+        return {"tick": int(now / float(self.options.get("every", "600"))), "until": today}
+
+    def partitions(self, start: dict, end: dict) -> list[FeedPart]:
+        if start == end or not end["until"]:
+            return []
+        last = dt.date.fromisoformat(end["until"])
+        first = last - dt.timedelta(days=int(self.options.get("days", "1")) - 1)
+        if start["until"]:
+            first = min(first, dt.date.fromisoformat(start["until"]))
+        days = [str(first + dt.timedelta(days=k)) for k in range((last - first).days + 1)]
+        return [FeedPart(s, d) for s in _split(self.options, "sources") for d in days]
+
+    def read(self, partition: FeedPart):
+        yield from _rows(self.options, partition.source, 1, partition.date)
 
 
 # What the map query selects.

@@ -16,6 +16,9 @@ from __future__ import annotations
 
 import datetime as dt
 import hmac
+import signal
+import threading
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +32,7 @@ from emberline.operators.enrich import enrich
 from emberline.operators.facilities import upsert
 from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
 from emberline.operators.prune import disposition, disposition_counts, of_days
+from emberline.sources.feeds import DetectionFeed
 from emberline.sources.files import detections_of_lines
 from emberline.sources.land_cover import LandCover
 from emberline.tables import append, file_counts, finish_swaps, materialize, read_or_empty, replace, scratch, swap
@@ -41,11 +45,17 @@ _SCHEMAS = {
 _BY = {"hotspots": "acq_date", "enrichment": "acq_date"}
 
 
+class Stopped(Exception):
+    """A batch that was not begun, since its stream is to end; the next start gets it."""
+
+
 class Store:
     """The tables under a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        #: Once set, streams into this store begin no other batch.
+        self.stop = threading.Event()
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -186,24 +196,53 @@ def beat(store: Store, worker_id: str, status: str, inserted: int, cycle: int, e
         store.replace("worker_status", materialize(rows))
 
 
-def stream_detections(store: Store, folder: str, source: str, checkpoint: str, once: bool = True, minutes: int = 10, worker_id: str = "worker", files_per_batch: int = 1000, **options):
-    """Start taking in the CSV files that arrive in a folder; once: what is there now, then end.
+def _stream(store: Store, rows: DataFrame, take, source: str, checkpoint: str, once: bool, minutes: float, worker_id: str, **options):
+    """Start a stream whose batches are taken in; take(batch) gives raw rows.
 
-    Each file's columns are found by its own header. A batch that fails is logged, ends the stream and is
-    delivered again by the next start, since its checkpoint is not committed.
+    A batch that fails is logged, ends the stream and is delivered again by the next start, since its checkpoint is not committed.
     """
-    lines = store.spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
 
     def batch(df: DataFrame, number: int) -> None:
+        if store.stop.is_set():
+            raise Stopped(f"before batch {number}")
         try:
-            result = run_cycle(store, detections_of_lines(df), source, strict=True, **options)
+            result = run_cycle(store, take(df), source, strict=True, **options)
         except Exception as e:
             beat(store, worker_id, "failed", 0, number + 1, f"{type(e).__name__}: {e}")
             raise
         beat(store, worker_id, result["status"], result["inserted"], number + 1)
 
-    writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{minutes} minutes")).start()
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{round(minutes * 60_000)} milliseconds")).start()
+
+
+def stream_detections(store: Store, folder: str, source: str, checkpoint: str, once: bool = True, minutes: float = 10, worker_id: str = "worker", files_per_batch: int = 1000, **options):
+    """Start taking in the CSV files that arrive in a folder; once: what is there now, then end. Each file's columns are found by its own header."""
+    lines = store.spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    return _stream(store, lines, detections_of_lines, source, checkpoint, once, minutes, worker_id, **options)
+
+
+def stream_feed(store: Store, feed: dict[str, str], source: str, checkpoint: str, minutes: float = 10, worker_id: str = "worker", **options):
+    """Start asking the feed (options of ``DetectionFeed``) for one source every so many minutes, the last days each time.
+
+    A stream a source: one whose service fails ends alone, and asks for all it missed when it is started again.
+    """
+    store.spark.dataSource.register(DetectionFeed)
+    rows = store.spark.readStream.format("detections").options(**feed, sources=source, every=str(minutes * 60)).load().drop("feed")
+    return _stream(store, rows, lambda df: df, source, checkpoint, False, minutes, worker_id, bbox=feed["bbox"], days=int(feed.get("days", "1")), **options)
+
+
+def until_stopped(store: Store, queries: list, poll: float = 0.5) -> list[str]:
+    """Wait for streams: on SIGTERM, or once ``store.stop`` is set, each ends after the batch that is under way. How each ended: stopped or failed."""
+    if threading.current_thread() is threading.main_thread():
+        signal.signal(signal.SIGTERM, lambda *_: store.stop.set())
+    while running := [q for q in queries if q.isActive]:
+        if store.stop.is_set():
+            for q in running:
+                if not q.status["isTriggerActive"]:
+                    q.stop()
+        time.sleep(poll)
+    return ["failed" if (e := q.exception()) is not None and Stopped.__name__ not in str(e) else "stopped" for q in queries]
 
 
 def run_once(store: Store, feeds: dict[str, DataFrame], **options) -> dict[str, dict]:

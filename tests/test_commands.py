@@ -44,7 +44,7 @@ def test_land_cover_service(service, monkeypatch):
     assert on("/cover").identify(1.0, 2.0) == (4, None) and json.loads(seen[-1])["geometry"] == {"x": 2.0, "y": 1.0, "spatialReference": {"wkid": 4326}}
     assert on("/none").identify(1.0, 2.0) == (None, "no class value in response")
     assert on("/gone").identify(1.0, 2.0)[1].startswith("provider error: HTTPError") and on("/odd").identify(1.0, 2.0)[0] is None
-    assert on("/cover").probe() == (True, "provider responded; sample class code 4")
+    assert on("/cover").probe() == (True, "class 4 at 48.2, 11.5")
     assert not on("/odd").probe()[0] and not on("/gone").probe()[0]
     assert lc.LandCover().identify(1.0, 2.0) == (None, "land cover disabled") and lc.LandCover().status()["configured"] is False
     assert lc.LandCover("other", True).identify(1.0, 2.0) == (None, "unsupported provider other") and lc.LandCover("other", True).status()["ok"] is None
