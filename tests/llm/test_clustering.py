@@ -60,7 +60,8 @@ def test_odd_vectors(spark):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_bounds_leave_most_vectors_out_of_the_scan(seed):
+def test_bounds_hold_and_leave_most_vectors_out_of_the_scan(seed):
+    """While centroids still leap every vector is scanned; once they drift little, few are."""
     rng = np.random.default_rng(seed)
     middle = rng.normal(size=(8, 64)) * 3
     x = np.floor(1024 * (middle[rng.integers(0, 8, 4000)] + rng.normal(size=(4000, 64)))).astype(np.int64)
@@ -76,4 +77,4 @@ def test_bounds_leave_most_vectors_out_of_the_scan(seed):
         exact[np.arange(4000), cluster] = np.inf
         assert (exact.min(axis=1) >= lower).all()
         before, c = c, np.array([x[cluster == k].sum(axis=0) // max(1, (cluster == k).sum()) if (cluster == k).any() else c[k] for k in range(8)])
-    assert sum(scanned[1:]) < 0.3 * 4000 * 7
+    assert sum(scanned[4:]) < 0.1 * 4000 * 4, scanned
