@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from emberline.functions.geo import grid_cell, haversine
+from emberline.functions.geo import grid_cell, haversine, rings_of, turned
 from emberline.functions.values import OSMPP_THERMAL, WRI_THERMAL, facility_type, fnv1a64, fuel_family, is_industrial
 
 
@@ -138,6 +138,47 @@ def way_point(points: Column) -> Column:
     return F.when(closed, F.struct(mean("lat").alias("lat"), mean("lon").alias("lon"))).when(F.size(points) >= 2, F.struct(middle["lat"].alias("lat"), middle["lon"].alias("lon")))
 
 
+def on_surface(rows: DataFrame) -> DataFrame:
+    """rows with surface: struct(lat, lon), a point inside the polygons of rings; null where no ring is closed.
+
+    A parallel halfway between two neighbouring vertex latitudes, those around the middle of the tallest ring, meets no vertex; of its runs
+    inside, holes and parts heeded, the widest (to 1e-9 degrees, the first of equal ones) has the point in its middle. Longitudes are counted on from the first vertex.
+    """
+    closed = lambda r: (F.size(r) > 3) & (F.get(r, 0) == F.element_at(r, -1))
+    origin = F.col("rings")[0][0]["lon"]
+    point = lambda p: F.struct(turned(p["lon"], origin).alias("lon"), p["lat"].alias("lat"))
+    y, lats, xs = F.col("_y"), F.col("_lats"), F.col("_xs")
+
+    def crossing(r: Column, i: Column) -> Column:
+        a, b = F.get(r, i), F.get(r, i + 1)
+        return F.when((a["lat"] > y) != (b["lat"] > y), (b["lon"] - a["lon"]) * (y - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])
+
+    crossings = F.flatten(F.transform("_areas", lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: crossing(r, i))))
+    tall = lambda f, r: f(F.transform(r, lambda p: p["lat"]))
+    ring = lambda r, i: F.struct(F.round(tall(F.array_max, r) - tall(F.array_min, r), 9).alias("tall"), (-i).alias("first"), ((tall(F.array_max, r) + tall(F.array_min, r)) / 2).alias("middle"))
+    run = lambda i: F.struct(F.round(F.get(xs, i + 1) - F.get(xs, i), 9).alias("wide"), (-i).alias("first"), ((F.get(xs, i) + F.get(xs, i + 1)) / 2).alias("lon"))
+    steps = [
+        {"_areas": F.transform(F.filter("rings", closed), lambda r: F.transform(r, point))},
+        {"_lats": F.array_sort(F.array_distinct(F.transform(F.flatten("_areas"), lambda p: p["lat"])))},
+        {"_middle": F.array_max(F.transform("_areas", ring))["middle"]},
+        {"_y": (F.array_max(F.filter(lats, lambda v: v <= F.col("_middle"))) + F.array_min(F.filter(lats, lambda v: v > F.col("_middle")))) / 2},
+        {"_xs": F.array_sort(F.filter(crossings, lambda x: x.isNotNull()))},
+        {"_run": F.when(F.size(xs) > 1, F.array_max(F.transform(F.sequence(F.lit(0), F.size(xs) - 2, F.lit(2)), run)))},
+        {"surface": F.when(F.col("_run").isNotNull(), F.struct(y.alias("lat"), turned(F.col("_run.lon"), F.lit(0.0)).alias("lon")))},
+    ]
+    for step in steps:
+        rows = rows.withColumns(step)
+    return rows.drop(*[c for step in steps[:-1] for c in step])
+
+
+def located(batch: DataFrame) -> DataFrame:
+    """batch(geometry, latitude, longitude, ...) with the place of a polygon inside of it; other places stay."""
+    shaped = F.col("geometry").startswith("POLYGON") | F.col("geometry").startswith("MULTIPOLYGON")
+    found = on_surface(batch.withColumn("rings", F.when(shaped, rings_of(F.col("geometry")))))
+    place = {c: F.coalesce(F.col("surface")[k], F.col(c)) for c, k in (("latitude", "lat"), ("longitude", "lon"))}
+    return found.withColumns(place).select(batch.columns)
+
+
 def way_geometry(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, geometry, latitude, longitude, tags) of ways: references resolved in order by a shuffle join.
 

@@ -243,12 +243,12 @@ s AS (
     min({metres_sql("latitude", "longitude", "(ay + t * dy)", "(ax + t * (bx - ax))")}) AS edge_m
   FROM y GROUP BY id, fid)"""
 
-_SHAPE_EDGES = ", ".join(f"({k}, {ax}, {ay}, {bx}, {by})" for k, rings in enumerate(SHAPES) for r in rings for (ax, ay), (bx, by) in zip(r, r[1:]))
+_SHAPE_EDGES = ", ".join(f"({k}, {g}, {ax}, {ay}, {bx}, {by})" for k, rings in enumerate(SHAPES) for g, r in enumerate(rings) for (ax, ay), (bx, by) in zip(r, r[1:]))
 #: Edges before they are brought back to one turn: a plain plane, in which the date line is no place of its own.
 SHAPES_SQL = f"""e AS (
-  SELECT fid, fname, ftype, CAST(round(flon * 100000) + ax AS DOUBLE) / 100000 AS ax, CAST(round(flat * 100000) + ay AS DOUBLE) / 100000 AS ay,
+  SELECT fid, g, fname, ftype, CAST(round(flon * 100000) + ax AS DOUBLE) / 100000 AS ax, CAST(round(flat * 100000) + ay AS DOUBLE) / 100000 AS ay,
     CAST(round(flon * 100000) + bx AS DOUBLE) / 100000 AS bx, CAST(round(flat * 100000) + by_ AS DOUBLE) / 100000 AS by_
-  FROM f JOIN (VALUES {_SHAPE_EDGES}) t(k, ax, ay, bx, by_) ON k = fid % 4),
+  FROM f JOIN (VALUES {_SHAPE_EDGES}) t(k, g, ax, ay, bx, by_) ON k = fid % 4),
 s AS (
   SELECT id, fid FROM h JOIN e ON (ay > latitude) <> (by_ > latitude) AND longitude < (bx - ax) * (latitude - ay) / nullif(by_ - ay, 0) + ax
   GROUP BY id, fid HAVING count(*) % 2 = 1)"""

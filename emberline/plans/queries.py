@@ -494,6 +494,21 @@ def polygon_cover_shapes(spark, sf_dir):
     return cover.containing(D.moved_hotspots(spark, sf_dir), D.shaped_sites(spark, sf_dir))
 
 
+@query(
+    _with(HOTSPOTS_SQL, FACILITIES_SQL, SHAPES_SQL) + f""", t AS (SELECT fid, (min(ay) + max(ay)) / 2 AS middle FROM e GROUP BY fid, g QUALIFY row_number() OVER (PARTITION BY fid ORDER BY round(max(ay) - min(ay), 9) DESC, g) = 1),
+    v AS (SELECT fid, ay AS lat, middle FROM e JOIN t USING (fid)),
+    p AS (SELECT fid, (max(lat) FILTER (lat <= middle) + min(lat) FILTER (lat > middle)) / 2 AS y FROM v GROUP BY fid),
+    x AS (SELECT fid, y, x, row_number() OVER (PARTITION BY fid ORDER BY x) AS k FROM (SELECT fid, y, (bx - ax) * (y - ay) / (by_ - ay) + ax AS x FROM e JOIN p USING (fid) WHERE (ay > y) <> (by_ > y))),
+    r AS (SELECT a.fid, a.y, a.k, round(b.x - a.x, 9) AS wide, (a.x + b.x) / 2 AS lon FROM x a JOIN x b ON b.fid = a.fid AND b.k = a.k + 1 WHERE a.k % 2 = 1),
+    b AS (SELECT fid, y, lon FROM r QUALIFY row_number() OVER (PARTITION BY fid ORDER BY wide DESC, k) = 1)
+    SELECT fid, {round_sql("y", 5)} AS latitude, {round_sql("lon + 97 - 360 * round((lon + 97) / 360)", 5)} AS longitude FROM b"""
+)
+def surface_points(spark, sf_dir):
+    """A point inside each facility's polygons, over the date line too."""
+    found = fac.on_surface(D.shaped_sites(spark, sf_dir))
+    return found.select("fid", rounded(F.col("surface.lat"), 5).alias("latitude"), rounded(F.col("surface.lon"), 5).alias("longitude"))
+
+
 @query(
     _with(HOTSPOTS_SQL, FACILITIES_SQL, SHAPES_SQL) + f"""SELECT id, CASE WHEN inside IS NULL THEN edge_m ELSE 0 END AS distance_m, inside IS NOT NULL AS within_facility FROM (SELECT id, {round_sql("min(edge_m)", 1)} AS edge_m FROM (
       SELECT id, {metres_sql("latitude", "longitude", "(ay + t * (by_ - ay))", "(ax + t * (bx - ax))")} AS edge_m FROM (SELECT *, greatest(0, least(1, -((ax - longitude) * cos(radians(latitude)) * dx + (ay - latitude) * dy) / (dx * dx + dy * dy))) AS t

@@ -29,7 +29,7 @@ from emberline.config import History, Screen
 from emberline.operators.classify import classify
 from emberline.operators.context import fill_land_cover, heartbeat, land_cover_pending, refresh_context, run_row, screen_row
 from emberline.operators.enrich import enrich
-from emberline.operators.facilities import upsert
+from emberline.operators.facilities import located, upsert
 from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
 from emberline.operators.prune import disposition, disposition_counts, of_days
 from emberline.sources.feeds import DetectionFeed
@@ -281,7 +281,7 @@ def refresh_map(store: Store, query, now: dt.datetime | None = None, radius_m: f
     if found:
         batch = spark.createDataFrame([tuple(r.get(f.name) for f in schemas.FACILITIES) for r in found], schemas.FACILITIES).drop("first_seen_at", "updated_at")
         with scratch(spark):
-            store.replace("facilities", materialize(upsert(store.read("facilities"), batch, F.lit(now))))
+            store.replace("facilities", materialize(upsert(store.read("facilities"), located(batch), F.lit(now))))
     # Last: a place counts as asked only once its facilities are stored.
     if done:
         store.append("query_cache", spark.createDataFrame([(*d, now) for d in done], schemas.QUERY_CACHE))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions import geo
-from emberline.operators import cover, enrich, prune
+from emberline.operators import cover, enrich, facilities, prune
 
 SITES = "fid long, fname string, ftype string, flat double, flon double, rings array<array<struct<lon:double,lat:double>>>"
 
@@ -123,6 +123,22 @@ def test_the_date_line_as_one_place(spark):
     assert [r.distance_m for r in enrich.nearest_facility(df, boxes).orderBy("id").collect()][:4] == [0.0] * 4
 
 
+def test_a_point_on_the_surface_is_inside(spark, shapes):
+    rng = random.Random(3)
+    more = shapes + [[star(rng, rng.uniform(-180, 180), rng.uniform(-60, 60), 10 ** rng.uniform(-3, 1), rng.randrange(3, 30)) for _ in range(rng.randrange(1, 4))] for _ in range(40)]
+    more = [[[(round(x, 7), round(y, 7)) for x, y in ring] for ring in rings] for rings in more]
+    found = {r.fid: r.surface for r in facilities.on_surface(table(spark, more)).collect()}
+    for k, rings in enumerate(more):
+        areas = [r for r in rings if len(r) > 3 and r[0] == r[-1]]
+        assert (found[k] is None) == (not areas)
+        # All parts are counted on from the first vertex of the whole.
+        assert not areas or inside(found[k].lat, found[k].lon, rings)
+    text = lambda rings: "MULTIPOLYGON(((" + ")), ((".join(", ".join(f"{x} {y}" for x, y in r) for r in rings) + ")))"
+    batch = spark.createDataFrame([(1, text(more[0]), 0.0, 0.0), (2, "POINT(3 4)", 4.0, 3.0), (3, None, 5.0, 6.0)], "osm_id long, geometry string, latitude double, longitude double")
+    rows = {r.osm_id: r for r in facilities.located(batch).collect()}
+    assert inside(rows[1].latitude, rows[1].longitude, more[0]) and (rows[2].latitude, rows[3].longitude) == (4.0, 6.0)
+
+
 def test_pieces_are_small_and_few(spark):
     """300 km with 4,000 edges: cells of few edges, most cells without any, and no rings in an exchange."""
     rng = random.Random(1)
