@@ -15,14 +15,14 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.config import SOURCES, normalize_bbox, overpass_box, parse_sources
+from emberline.config import SOURCES, History, normalize_bbox, overpass_box, parse_sources
 from emberline.operators import serve
 from emberline.operators.classify import report, write_report
 from emberline.operators.facilities import from_elements
 from emberline.sources.feeds import DetectionFeed, ask_map, map_query
 from emberline.sources.files import map_elements, read_detections
 from emberline.sources.land_cover import LandCover
-from emberline.streaming.worker import Store, backfill, compact, maintenance, refresh_land_cover, refresh_map, run_cycle, stream_feed, until_stopped
+from emberline.streaming.worker import Store, backfill, backfill_feed, compact, maintenance, refresh_land_cover, refresh_map, run_cycle, stream_feed, until_stopped
 
 
 def parser() -> argparse.ArgumentParser:
@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--start", required=True)
             p.add_argument("--end", required=True)
             p.add_argument("--force", action="store_true", help="also what is done")
+            p.add_argument("--at-once", type=int, default=4, help="requests under way at most")
             p.add_argument("--dry-run", action="store_true")
     p = command("map", "ask the map around uncovered detections")
     p.add_argument("--mirror", action="append", required=True)
@@ -108,9 +109,12 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         o.bbox, sources = normalize_bbox(o.bbox), parse_sources(",".join(o.source or SOURCES))
     if o.command == "ingest":
         raw = lambda s: read_detections(spark, o.files) if o.files else _feed(spark, o, s, o.days, o.date)
-        return {s: run_cycle(store, raw(s), s, bbox=o.bbox, days=o.days) for s in sources}
+        return {s: run_cycle(store, raw(s), s, history=History.from_env(), bbox=o.bbox, days=o.days) for s in sources}
     if o.command == "backfill":
-        done = backfill(store, sources, o.start, o.end, o.bbox, lambda s, date, days: _feed(spark, o, s, days, str(date)), o.days, o.force, o.dry_run)
+        if o.dry_run:
+            done = backfill(store, sources, o.start, o.end, o.bbox, None, o.days, o.force, True)
+        else:
+            done = backfill_feed(store, sources, o.start, o.end, {"base": o.base, "key": o.key, "bbox": o.bbox}, o.days, o.at_once, history=History.from_env(), force=o.force)
         return {"units": [[s, str(day), days, status] for s, day, days, status in done]}
     if o.command == "map":
         return refresh_map(store, _around(spark, o.mirror), limit=o.limit)

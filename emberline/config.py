@@ -38,6 +38,11 @@ class History:
     persistence_detections: float = 5.0
     causal: bool = False  # True leaves out neighbours later than the detection
 
+    @staticmethod
+    def from_env() -> History:
+        env = os.environ.get
+        return History(float(env("PERSIST_RADIUS_M", 1000)), int(env("PERSIST_WINDOW_DAYS", 7)), float(env("PERSIST_DENOM", 5)))
+
 
 @dataclass(frozen=True)
 class Screen:

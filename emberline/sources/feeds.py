@@ -10,8 +10,11 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from emberline.schemas import RAW_DETECTION
@@ -135,6 +138,32 @@ class _FeedStream(DataSourceStreamReader):
         yield from _rows(self.options, partition.source, 1, partition.date)
 
 
+def ask_windows(units: DataFrame, options: dict[str, str], at_once: int = 4) -> DataFrame:
+    """The feed's answers for units (source, date_from, days): raw columns, source, date_from, error and asked.
+
+    As many tasks as requests may be under way, each asking for its units one after another. Each unit gives one row with
+    asked set, whose error is null where it was answered, and the rows of the answer.
+    """
+    names = [f.name for f in RAW_DETECTION]
+    out = ", ".join(f"{n} string" for n in names) + ", source string, date_from date, error string, asked boolean"
+
+    def ask(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for source, day, days in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                error, rows = None, []
+                try:
+                    rows = list(_rows(options, source, days, str(day)))
+                except FeedError as e:
+                    error = str(e)
+                n = len(rows) + 1
+                columns = [pa.array([r[k] for r in rows] + [None], pa.string()) for k in range(len(names))]
+                about = [pa.array([source] * n, pa.string()), pa.array([day] * n, pa.date32()), pa.array([error] * n, pa.string()), pa.array([False] * (n - 1) + [True], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns + about, names=[*names, "source", "date_from", "error", "asked"])
+
+    numbered = units.select("source", "date_from", "days").repartitionByRange(at_once, "date_from", "source")
+    return numbered.mapInArrow(ask, out)
+
+
 # What the map query selects.
 SELECTORS = ('["industrial"]', '["landuse"="industrial"]', '["man_made"="works"]', '["power"="plant"]', '["landuse"="quarry"]')
 

@@ -32,7 +32,7 @@ from emberline.operators.enrich import enrich
 from emberline.operators.facilities import located, upsert
 from emberline.operators.ingest import day_windows, dt_of, facility_cells, is_valid, new_rows, parse, pending_units, prior_cells, screen, screen_stats, with_ids
 from emberline.operators.prune import disposition, disposition_counts, of_days
-from emberline.sources.feeds import DetectionFeed
+from emberline.sources.feeds import DetectionFeed, ask_windows
 from emberline.sources.files import detections_of_lines
 from emberline.sources.land_cover import LandCover
 from emberline.tables import append, file_counts, finish_swaps, materialize, read_or_empty, replace, scratch, swap
@@ -271,6 +271,47 @@ def backfill(store: Store, sources: list[str], start: str, end: str, bbox: str,
     return out
 
 
+def backfill_feed(store: Store, sources: list[str], start: str, end: str, feed: dict[str, str], days: int = 5, at_once: int = 4, per_job: int = 64, history: History = History(), force: bool = False) -> list[tuple]:
+    """Like ``backfill``, many windows a job: ``per_job`` of them are asked for, ``at_once`` at a time, and what is answered is taken in by one cycle a source.
+
+    Each window has its own row in the run log, so one that fails, or that a broken job left, is asked for again by the next call.
+    """
+    spark, bbox, out = store.spark, feed["bbox"], []
+    units = day_windows(spark, start, end, days).crossJoin(spark.createDataFrame([(s,) for s in sources], "source string"))
+    todo = (units if force else pending_units(units, store.read("run_log"), bbox)).orderBy("date_from", "source").collect()  # a few numbers a window
+    for at in range(0, len(todo), per_job):
+        part, now = todo[at : at + per_job], dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        with scratch(spark):
+            got = materialize(ask_windows(spark.createDataFrame([(u.source, u.date_from, u.days) for u in part], "source string, date_from date, days int"), feed, at_once))
+            errors = {(r.source, r.date_from): r.error for r in got.filter("asked").collect()}
+            rows = got.filter("NOT asked")
+            sent = {(r.source, r.date_from): r for r in rows.groupBy("source", "date_from").agg(F.count("*").alias("returned"), F.count_if(~is_valid(rows)).alias("invalid")).collect()}
+            for source in sorted({u.source for u in part}):
+                own = [u for u in part if u.source == source]
+                good = [u for u in own if errors[source, u.date_from] is None]
+                before, failure = _top_id(store) or 0, None
+                if good:
+                    try:
+                        recover(store, now, history)
+                        before = _top_id(store) or 0
+                        _take_in(store, rows.filter(F.col("source") == source).drop("source", "date_from", "error", "asked"), source, "backfill", now, history, None, {})
+                    except Exception as e:  # told by the log, as a cycle's failure is
+                        failure = f"{type(e).__name__}: {e}"
+                log = []
+                fresh = {r.acq_date: r["count"] for r in store.read("hotspots").filter(F.col("id") > before).groupBy("acq_date").count().collect()}
+                for u in own:
+                    error = errors[source, u.date_from] or failure
+                    inserted = sum(n for day, n in fresh.items() if 0 <= (day - u.date_from).days < u.days) if error is None else 0
+                    found = sent.get((source, u.date_from)) if error is None else None
+                    n, invalid = (found.returned, found.invalid) if found else (0, 0)
+                    row = {"kind": "backfill", "source": source, "bbox": bbox, "date_from": u.date_from, "days": u.days, "returned": n, "inserted": inserted, "duplicates": n - invalid - inserted, "invalid": invalid, "started_at": now, "finished_at": now}
+                    log.append(row | {"status": "failed" if error else "success", "error": (error or "")[:500] or None})
+                    out.append((source, u.date_from, u.days, log[-1]["status"]))
+                # The rows are stored: their windows are done, all by one append.
+                store.append("run_log", spark.createDataFrame([tuple(row.get(f.name) for f in schemas.RUN_LOG) for row in log], schemas.RUN_LOG))
+    return out
+
+
 def refresh_map(store: Store, query, now: dt.datetime | None = None, radius_m: float = 32_000.0, limit: int = 50) -> dict[str, int]:
     """Put in the facilities around uncovered detections; each place asked goes to the query cache.
 

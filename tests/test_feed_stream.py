@@ -3,7 +3,7 @@ import os
 import signal
 import threading
 import time
-from http.server import BaseHTTPRequestHandler, HTTPServer
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -23,14 +23,18 @@ def line(lat, day, time):
 @pytest.fixture
 def feed():
     """A service that answers by day; state["rows"][day] are its lines so far, state["fail"] how many answers fail."""
-    state = {"rows": {}, "fail": 0, "asked": []}
+    state = {"rows": {}, "fail": 0, "asked": [], "bad": set(), "now": 0, "most": 0, "slow": 0.0}
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             day = self.path.rsplit("/", 1)[1]
             state["asked"].append(day)
-            bad = state["fail"] > 0
-            state["fail"] -= bad
+            state["now"] += 1
+            state["most"] = max(state["most"], state["now"])
+            bad = state["fail"] > 0 or day in state["bad"]
+            state["fail"] -= state["fail"] > 0
+            time.sleep(state["slow"])
+            state["now"] -= 1
             self.send_response(503 if bad else 200)
             self.end_headers()
             self.wfile.write(b"" if bad else (HEAD + "".join(state["rows"].get(day, []))).encode())
@@ -38,7 +42,7 @@ def feed():
         def log_message(self, *args):
             pass
 
-    httpd = HTTPServer(("127.0.0.1", 0), Handler)
+    httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=httpd.serve_forever, daemon=True).start()
     state["url"] = f"http://127.0.0.1:{httpd.server_port}"
     yield state
@@ -91,3 +95,22 @@ def test_failures_and_late_rows_are_stored_once(spark, feed, tmp_path):
     assert s.read("enrichment").count() == 3 and W.unfinished(s) == []
     log = s.read("run_log").collect()
     assert sum(r.inserted for r in log) == 3 and {r.status for r in log} == {"success", "failed"}
+
+
+def test_sixty_windows_four_at_a_time(spark, feed, tmp_path):
+    """One job asks for all; windows that fail are logged and asked for again, the others never."""
+    s = W.Store(spark, str(tmp_path / "store"))
+    append(spark.createDataFrame([("node", 1, "Plant", "refinery", {}, "osm", "POINT(20 10)", 10.0, 20.0, None, None)], schemas.FACILITIES), s.path("facilities"))
+    days = [str(dt.date(2026, 7, 1) + dt.timedelta(days=k)) for k in range(60)]
+    feed["rows"] = {d: [line(10.0, d, 100), line(10.0, d, 100), line("x", d, 100)] for d in days[::10]}
+    feed["bad"], feed["slow"] = set(days[25:35]), 0.02
+    options = {"base": feed["url"], "bbox": "world", "attempts": "1"}
+    take = lambda: W.backfill_feed(s, ["VIIRS_NOAA20_NRT"], days[0], days[-1], options, days=1)
+    done = take()
+    assert len(done) == 60 and sorted(feed["asked"]) == days and 2 <= feed["most"] <= 4
+    assert {str(d) for _, d, _, status in done if status == "failed"} == feed["bad"]
+    feed["bad"], feed["asked"] = set(), []
+    assert [x[3] for x in take()] == ["success"] * 10 and sorted(feed["asked"]) == days[25:35] and take() == []
+    log = s.read("run_log").filter("status = 'success'").collect()
+    assert len(log) == 60 and sum(r.inserted for r in log) == 6 == s.read("hotspots").count() == s.read("enrichment").count()
+    assert {(r.returned, r.inserted, r.duplicates, r.invalid) for r in log} == {(0, 0, 0, 0), (3, 1, 1, 1)}
