@@ -82,18 +82,19 @@ def cell_join(left: DataFrame, right: DataFrame, radius: float, left_at: tuple[s
 
     Each left row has one cell; a right row goes to the few cells that it can be met from. extent
     names a right column with the metres that the row reaches around its point; rows that reach far meet in wider cells, in which
-    each left row is then listed too. Cells are three radii wide, so a point goes to fewer than five on average.
+    each left row is then listed too. Cells are three radii wide, so a point goes to fewer than five on average. A merge, since
+    exploded rows are many more than Spark expects and would be broadcast.
     """
     size = 3.0 * radius
     if extent is None:
         here = left.withColumn("_cell", own_cell(F.col(left_at[0]), F.col(left_at[1]), size))
         there = right.withColumn("_cell", F.explode(cells_within(F.col(right_at[0]), F.col(right_at[1]), radius, size)))
-        return here.join(there, "_cell").drop("_cell")
+        return here.hint("merge").join(there, "_cell").drop("_cell")
     far = F.coalesce(F.col(extent), F.lit(0.0))
     sized = right.withColumn("_scale", scale_of(far, size))
     there = sized.withColumn("_cell", F.explode(cells_within(F.col(right_at[0]), F.col(right_at[1]), far + radius, width(size, F.col("_scale")))))
     here = at_scales(left, sized.select("_scale").distinct()).withColumn("_cell", own_cell(F.col(left_at[0]), F.col(left_at[1]), width(size, F.col("_scale"))))
-    return here.join(there, ["_scale", "_cell"]).drop("_scale", "_cell")
+    return here.hint("merge").join(there, ["_scale", "_cell"]).drop("_scale", "_cell")
 
 
 def grid_cell(lat: Column, lon: Column) -> Column:

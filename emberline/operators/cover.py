@@ -13,6 +13,9 @@ several parts need no care: all rings count alike. A ring that isn't closed (a l
 
 Each polygon takes the first of LEVELS that covers it with at most twice the root of its edges, and four, cells a side, so a
 simple shape has few cells at any size and a detailed one few edges in each; a point is looked up at each level in use.
+
+Where many polygons lie over each other and only one is asked for (the smallest fid, or any), ``thinned`` cuts crowded boundary cells into finer
+ones and drops those of a polygon that a smaller one covers wholly, so a point meets a few polygons, however many it lies in.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.geo import METRES_PER_DEGREE, haversine, in_box, turned
+from emberline.tables import materialize
 
 #: Cell sizes in degrees; each divides 360.
 LEVELS = (0.02, 0.1, 0.5, 2.5, 10.0)
@@ -31,6 +35,8 @@ PART = 0.41421356237309503
 #: Degrees that an edge is taken to be thicker, so that rounding loses no cell.
 THICK = 1e-9
 EDGE = ("ax", "ay", "bx", "by")
+#: Boundary cells of so many polygons in one place are cut finer.
+CROWDED = 8
 
 
 def _by_level(level: Column, values) -> Column:
@@ -85,6 +91,7 @@ def polygon_cells(sites: DataFrame) -> DataFrame:
     """
     cols = {c: F.col(c) for c in EDGE}
     g = _size(F.col("level"))
+    sites = sites.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid")
     low, high = (f(c["ay"], c["by"]) for f, c in ((F.least, cols), (F.greatest, cols)))
     rows = edges_of(sites).withColumn("iy", F.explode(F.sequence(F.floor((low - THICK) / g).cast("int"), F.floor((high + THICK) / g).cast("int"))))
     clip = lambda lat: F.greatest(low, F.least(high, lat))
@@ -106,6 +113,60 @@ def polygon_cells(sites: DataFrame) -> DataFrame:
     return cells.select("fid", "level", F.xxhash64("level", "column", "iy").alias("cell"), F.col("column").alias("ix"), "iy", "inside", shifted.alias("edges"))
 
 
+def _covered(cells: DataFrame) -> DataFrame:
+    """Boundary cells that no smaller fid covers wholly, and of inner cells one a place, of the smallest fid."""
+    inner = cells.filter(F.size("edges") == 0).groupBy("level", "cell", "ix", "iy").agg(F.min("fid").alias("least"))
+    cut = cells.filter(F.size("edges") > 0)
+    # A place with those that hold it: the same cell, and the wider ones around it.
+    places = cut.select("level", "cell", "ix", "iy").distinct()
+    holders = []
+    for k, g in enumerate(LEVELS):
+        for wide, h in list(enumerate(LEVELS))[k:]:
+            n = round(h / g)
+            holders.append(F.when(F.col("level") == k, F.struct(F.lit(wide).alias("level"), F.floor(F.col("ix") / n).cast("int").alias("ix"), F.floor(F.col("iy") / n).cast("int").alias("iy"))))
+    held = places.select(F.col("level").alias("own"), F.col("cell").alias("place"), F.explode(F.array_compact(F.array(*holders))).alias("h")).select("own", "place", "h.level", F.xxhash64("h.level", "h.ix", "h.iy").alias("cell"))
+    least = held.hint("merge").join(inner, ["level", "cell"]).groupBy(F.col("own").alias("level"), F.col("place").alias("cell")).agg(F.min("least").alias("least"))
+    left = cut.hint("merge").join(least, ["level", "cell"], "left").filter("least IS NULL OR fid < least").drop("least")
+    return left.unionByName(inner.select(F.col("least").alias("fid"), "level", "cell", "ix", "iy", F.lit(True).alias("inside"), F.expr("CAST(array() AS array<struct<ax:double,ay:double,bx:double,by:double,closed:boolean>>)").alias("edges")))
+
+
+def _finer(cells: DataFrame) -> DataFrame:
+    """Boundary cells cut into those of the level below that an edge touches or that lie inside."""
+    n = F.element_at(F.array(*[F.lit(round(LEVELS[max(k, 1)] / LEVELS[max(k, 1) - 1])) for k in range(len(LEVELS))]), F.col("level") + 1)
+    parts = F.explode(F.sequence(F.lit(0), n * n - 1)).alias("part")
+    rows = cells.select("fid", "level", "inside", "edges", "ix", "iy", n.alias("n"), parts)
+    rows = rows.withColumns({"fx": F.col("ix") * F.col("n") + F.col("part") % F.col("n"), "fy": F.col("iy") * F.col("n") + F.floor(F.col("part") / F.col("n")).cast("int")})
+    g = _size(F.col("level") - 1)
+    low, high, left, right = F.col("fy") * g - THICK, (F.col("fy") + 1) * g + THICK, F.col("fx") * g - THICK, (F.col("fx") + 1) * g + THICK
+
+    def touches(e: Column) -> Column:
+        bottom, top = F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])
+        clip = lambda lat: F.greatest(bottom, F.least(top, lat))
+        p, q = (F.when(e["ay"] == e["by"], own).otherwise(_lon_at(clip(lat), e)) for own, lat in ((e["ax"], low), (e["bx"], high)))
+        return (bottom <= high) & (top >= low) & (F.least(p, q) <= right) & (F.greatest(p, q) >= left)
+
+    inside = in_cell((F.col("fy") + PART) * g, (F.col("fx") + PART) * g)
+    cut = rows.withColumns({"inner": inside, "some": F.filter("edges", touches)}).filter(F.col("inner") | (F.size("some") > 0))
+    fine = F.col("level") - 1
+    return cut.select("fid", fine.alias("level"), F.xxhash64(fine, "fx", "fy").alias("cell"), F.col("fx").alias("ix"), F.col("fy").alias("iy"), F.col("inner").alias("inside"), F.col("some").alias("edges"))
+
+
+def thinned(cells: DataFrame) -> DataFrame:
+    """Of ``polygon_cells`` what tells the smallest fid that a point is inside of, or on the edge of: a written table, few rows a place."""
+    left = materialize(_covered(materialize(cells)))
+    for _ in LEVELS[1:]:
+        crowded = left.filter((F.size("edges") > 0) & (F.col("level") > 0)).groupBy("level", "cell").count().filter(F.col("count") > CROWDED).select("level", "cell")
+        if crowded.isEmpty():
+            break
+        cut = left.filter(F.size("edges") > 0)
+        # A cell becomes many: dealt out first, by a number that adaptive execution leaves alone.
+        dealt = cut.hint("merge").join(crowded, ["level", "cell"], "left_semi").repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid", "cell")
+        finer = _finer(dealt)
+        stay = cut.hint("merge").join(crowded, ["level", "cell"], "left_anti").unionByName(left.filter(F.size("edges") == 0))
+        left = materialize(_covered(materialize(stay.unionByName(finer))))
+    return left
+
+
 def box_cells(sites: DataFrame) -> DataFrame:
     """(fid, level, cell, flat, flon, half_deg): the cells that boxes of sites(fid, flat, flon, half_deg) touch."""
     half = F.col("half_deg")
@@ -121,7 +182,9 @@ def _looked_up(points: DataFrame, cells: DataFrame) -> DataFrame:
     level = F.explode(F.array(*[F.lit(k) for k in range(len(LEVELS))])).alias("level")
     at = points.select("id", "latitude", "longitude", level).join(F.broadcast(cells.select("level").distinct()), "level", "left_semi")
     g = _size(F.col("level"))
-    at = at.withColumns({"ix": F.floor(F.col("longitude") / g).cast("int"), "iy": F.floor(F.col("latitude") / g).cast("int")})
+    # Wider cells by whole numbers from the finest: a point on a cell's border then lies in cells that hold each other.
+    place = lambda c: F.floor(F.floor(F.col(c) / LEVELS[0]) / _by_level(F.col("level"), [round(g / LEVELS[0]) for g in LEVELS])).cast("int")
+    at = at.withColumns({"ix": place("longitude"), "iy": place("latitude")})
     column = _round_the_globe(F.col("level"), F.col("ix"))
     return at.select("id", "latitude", (F.col("longitude") - 360.0 * F.round((F.col("ix") - column) * g / 360)).alias("longitude"), "level", F.xxhash64("level", column, "iy").alias("cell"))
 
@@ -144,7 +207,29 @@ def in_cell(lat: Column, lon: Column) -> Column:
 def within_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
     """(id, fid): each detection with each polygon of ``polygon_cells`` that it lies inside."""
     at = _looked_up(points, cells)
-    return at.join(cells, ["level", "cell"]).filter(in_cell(F.col("latitude"), F.col("longitude"))).select("id", "fid")
+    return at.hint("merge").join(cells, ["level", "cell"]).filter(in_cell(F.col("latitude"), F.col("longitude"))).select("id", "fid")
+
+
+def first_touching(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """(id, fid, outside): of the polygons that a detection is inside of, or at no distance from, the one with the smallest fid."""
+    met = _looked_up(points, cells).hint("merge").join(cells, ["level", "cell"])
+    met = met.select("id", "fid", "latitude", "longitude", in_cell(F.col("latitude"), F.col("longitude")).alias("inside"), "edges")
+    inside = met.filter("inside").select("id", "fid", F.lit(False).alias("outside"))
+    # Its place is within a hair of the edge: only there the distance is asked for.
+    close = F.exists("edges", lambda e: (F.least(e["ax"], e["bx"]) - THICK <= F.col("longitude")) & (F.col("longitude") <= F.greatest(e["ax"], e["bx"]) + THICK) & (F.least(e["ay"], e["by"]) - THICK <= F.col("latitude")) & (F.col("latitude") <= F.greatest(e["ay"], e["by"]) + THICK))
+    by = met.filter(~F.col("inside") & close).select("id", "fid", "latitude", "longitude", F.explode("edges").alias("edge"), F.lit(None).cast("double").alias("half_deg"), F.lit(0.0).alias("flat"), F.lit(0.0).alias("flon"))
+    on = with_metres(by).filter("metres = 0").select("id", "fid", F.lit(True).alias("outside"))
+    return inside.unionByName(on).groupBy("id").agg(F.min(F.struct("fid", "outside")).alias("one")).select("id", "one.*")
+
+
+def inside_any(points: DataFrame, facilities: DataFrame) -> DataFrame:
+    """(id): the detections inside some facility, by polygon or box, each once; far less work than ``containing`` where facilities lie over each other."""
+    if "rings" not in facilities.columns:
+        return containing(points, facilities).select("id").distinct()
+    cells = thinned(polygon_cells(facilities.filter("rings IS NOT NULL").select("fid", "rings")))
+    found = within_cells(points, cells).select("id")
+    boxes = facilities.filter("rings IS NULL").drop("rings")
+    return found.unionByName(containing(points, boxes).select("id")).distinct()
 
 
 def containing(points: DataFrame, facilities: DataFrame) -> DataFrame:
@@ -158,7 +243,7 @@ def containing(points: DataFrame, facilities: DataFrame) -> DataFrame:
         cells = box_cells(boxed)
         at = _looked_up(points, cells)
         inside = in_box(F.col("latitude"), F.col("longitude"), F.col("flat"), F.col("flon"), F.col("half_deg"))
-        found.append(at.join(cells, ["level", "cell"]).filter(inside).select("id", "fid"))
+        found.append(at.hint("merge").join(cells, ["level", "cell"]).filter(inside).select("id", "fid"))
     return reduce(DataFrame.unionByName, found) if found else points.select("id").limit(0).withColumn("fid", F.lit(None).cast("long"))
 
 

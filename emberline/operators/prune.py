@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.config import KEEP_CLASSES
 from emberline.functions.geo import cell_join, haversine
-from emberline.operators.cover import containing
+from emberline.operators.cover import inside_any
 
 
 def near_ids(hotspots: DataFrame, facilities: DataFrame, metres: float) -> DataFrame:
@@ -19,7 +19,7 @@ def near_ids(hotspots: DataFrame, facilities: DataFrame, metres: float) -> DataF
 
 def inside_ids(hotspots: DataFrame, facilities: DataFrame) -> DataFrame:
     """Ids of detections inside a facility's extent, polygon or box."""
-    return containing(hotspots, facilities).select("id").distinct()
+    return inside_any(hotspots, facilities)
 
 
 def _marked(hotspots: DataFrame, enrichment: DataFrame, facilities: DataFrame, metres: float) -> DataFrame:
