@@ -14,6 +14,9 @@ several parts need no care: all rings count alike. A ring that isn't closed (a l
 Each polygon takes the first of LEVELS that covers it with at most twice the root of its edges, and four, cells a side, so a
 simple shape has few cells at any size and a detailed one few edges in each; a point is looked up at each level in use.
 
+Where all pairs are asked for (``containing``), a polygon goes by the detections around it: it takes the finest level at which a cell still
+has MET of them on average. What is left to geometry is then the detections along its boundary, and the cells are fewer than what they meet.
+
 Where many polygons lie over each other and only one is asked for (the smallest fid, or any), ``thinned`` cuts crowded boundary cells into finer
 ones and drops those of a polygon that a smaller one covers wholly, so a point meets a few polygons, however many it lies in.
 """
@@ -37,6 +40,10 @@ THICK = 1e-9
 EDGE = ("ax", "ay", "bx", "by")
 #: Boundary cells of so many polygons in one place are cut finer.
 CROWDED = 8
+#: Detections a cell, on average, that make it worth while to cut a polygon into cells of that size.
+MET = 16
+#: So many edges of a boundary cell are held as plain columns.
+FEW = 4
 
 
 def _by_level(level: Column, values) -> Column:
@@ -67,13 +74,14 @@ def edges_of(sites: DataFrame) -> DataFrame:
     placed = sites.filter(F.size(F.flatten("rings")) > 0).select("fid", F.transform("rings", lambda r: F.transform(ring(r), point)).alias("rings"))
     every = F.flatten("rings")
     span = lambda c: F.array_max(F.transform(every, lambda p: p[c])) - F.array_min(F.transform(every, lambda p: p[c]))
-    level = _level(F.greatest(span("lon"), span("lat")), F.size(every))
 
     def pieces(r: Column) -> Column:
         closed = (F.size(r) > 3) & (F.get(r, 0) == F.element_at(r, -1))
         return F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.struct(F.get(r, i)["lon"].alias("ax"), F.get(r, i)["lat"].alias("ay"), F.get(r, i + 1)["lon"].alias("bx"), F.get(r, i + 1)["lat"].alias("by"), closed.alias("closed")))
 
-    return placed.select("fid", level.alias("level"), F.explode(F.flatten(F.transform("rings", pieces))).alias("e")).select("fid", "level", "e.*")
+    # The extent once a polygon, in columns of their own: beside the explode it would be found again for every edge.
+    sized = placed.select("fid", "rings", F.greatest(span("lon"), span("lat")).alias("span"), F.size(every).alias("n"))
+    return sized.select("fid", "span", "n", F.explode(F.flatten(F.transform("rings", pieces))).alias("e")).select("fid", _level(F.col("span"), F.col("n")).alias("level"), "e.*")
 
 
 def _lon_at(lat: Column, e: dict[str, Column]) -> Column:
@@ -84,16 +92,40 @@ def _lat_at(lon: Column, e: dict[str, Column]) -> Column:
     return (e["by"] - e["ay"]) * (lon - e["ax"]) / F.nullif(e["bx"] - e["ax"], F.lit(0.0)) + e["ay"]
 
 
+def _partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def polygon_cells(sites: DataFrame) -> DataFrame:
     """(fid, level, cell, ix, iy, inside: of the reference point, edges: those that touch the cell) of sites(fid, rings).
 
     ix is within one turn of the globe, and so are the edges of its cell.
     """
+    return cells_of(edges_of(sites.repartition(_partitions(sites), "fid")))
+
+
+def _fitted(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """The edges at the finest level, up to their own, whose cells have MET detections on average by the counts of the cells at their own level."""
+    west, east = (f(g("ax", "bx")) for f, g in ((F.min, F.least), (F.max, F.greatest)))
+    south, north = (f(g("ay", "by")) for f, g in ((F.min, F.least), (F.max, F.greatest)))
+    boxes = edges.groupBy("fid", "level").agg(west.alias("west"), south.alias("south"), east.alias("east"), north.alias("north"))
+    g = _size(F.col("level"))
+    reach = lambda low, high: F.explode(F.sequence(F.floor((F.col(low) - THICK) / g).cast("int"), F.floor((F.col(high) + THICK) / g).cast("int")))
+    at = boxes.withColumn("ix", reach("west", "east")).withColumn("iy", reach("south", "north")).select("fid", "level", F.xxhash64("level", _round_the_globe(F.col("level"), F.col("ix")), "iy").alias("cell"))
+    counts = _looked_up(points, edges).groupBy("level", "cell").agg(F.count("*").alias("n"))
+    around = at.hint("merge").join(counts, ["level", "cell"], "left").groupBy("fid", "level").agg(F.avg(F.coalesce("n", F.lit(0))).alias("mean"))
+    fine = F.coalesce(*[F.when((F.lit(k) < F.col("level")) & (F.col("mean") * (F.lit(size) / g) * (F.lit(size) / g) >= MET), k) for k, size in enumerate(LEVELS[:-1])], F.col("level"))
+    fitted = edges.hint("merge").join(around, ["fid", "level"], "left").select("fid", fine.alias("level"), *EDGE, "closed")
+    # An edge becomes many cells: dealt out first.
+    return fitted.repartition(_partitions(edges), "fid")
+
+
+def cells_of(edges: DataFrame) -> DataFrame:
+    """``polygon_cells`` of polygons that are given by their edges."""
     cols = {c: F.col(c) for c in EDGE}
     g = _size(F.col("level"))
-    sites = sites.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid")
     low, high = (f(c["ay"], c["by"]) for f, c in ((F.least, cols), (F.greatest, cols)))
-    rows = edges_of(sites).withColumn("iy", F.explode(F.sequence(F.floor((low - THICK) / g).cast("int"), F.floor((high + THICK) / g).cast("int"))))
+    rows = edges.withColumn("iy", F.explode(F.sequence(F.floor((low - THICK) / g).cast("int"), F.floor((high + THICK) / g).cast("int"))))
     clip = lambda lat: F.greatest(low, F.least(high, lat))
     flat = cols["ay"] == cols["by"]
     ends = [F.when(flat, own).otherwise(_lon_at(clip(lat), cols)) for own, lat in ((cols["ax"], F.col("iy") * g - THICK), (cols["bx"], (F.col("iy") + 1) * g + THICK))]
@@ -160,7 +192,7 @@ def thinned(cells: DataFrame) -> DataFrame:
             break
         cut = left.filter(F.size("edges") > 0)
         # A cell becomes many: dealt out first, by a number that adaptive execution leaves alone.
-        dealt = cut.hint("merge").join(crowded, ["level", "cell"], "left_semi").repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fid", "cell")
+        dealt = cut.hint("merge").join(crowded, ["level", "cell"], "left_semi").repartition(_partitions(cells), "fid", "cell")
         finer = _finer(dealt)
         stay = cut.hint("merge").join(crowded, ["level", "cell"], "left_anti").unionByName(left.filter(F.size("edges") == 0))
         left = materialize(_covered(materialize(stay.unionByName(finer))))
@@ -204,10 +236,45 @@ def in_cell(lat: Column, lon: Column) -> Column:
     return F.when(F.size("edges") == 0, F.col("inside")).otherwise(F.aggregate("edges", F.col("inside"), crossed))
 
 
+def _plain(cells: DataFrame) -> DataFrame:
+    """Boundary cells of at most FEW edges with these as plain columns, and of ``in_cell`` what needs no point: for ``_judged``."""
+    g = _size(F.col("level"))
+    qx, qy = (F.col("ix") + PART) * g, (F.col("iy") + PART) * g
+    deep = lambda e: F.nullif(e["by"] - e["ay"], F.lit(0.0))
+    up = lambda e: F.when((e["ax"] > qx) != (e["bx"] > qx), _lat_at(qx, e))
+    # An edge that isn't there, or not of a closed ring, is one that no path crosses.
+    none = {"ax": 0.0, "ay": 0.0, "by": 0.0, "wide": 0.0, "deep": 1.0, "up": float("inf")}
+    edge = lambda e: F.when(e["closed"], F.struct(e["ax"].alias("ax"), e["ay"].alias("ay"), e["by"].alias("by"), (e["bx"] - e["ax"]).alias("wide"), deep(e).alias("deep"), up(e).alias("up")))
+    held = cells.select("fid", "level", "cell", F.coalesce("inside", F.lit(False)).alias("inside"), qx.alias("qx"), qy.alias("qy"), F.transform("edges", edge).alias("edges"))
+    return held.select("*", *[F.coalesce(F.get("edges", F.lit(i))[c], F.lit(x)).alias(f"{c}{i}") for i in range(FEW) for c, x in none.items()]).drop("edges")
+
+
+def _judged() -> Column:
+    """``in_cell`` of a detection that has met a cell of ``_plain``: arithmetic on columns, which Spark compiles into the join."""
+    lat, lon, qx, qy = (F.col(c) for c in ("latitude", "longitude", "qx", "qy"))
+
+    def crossed(s: Column, i: int) -> Column:
+        ax, ay, by, wide, deep, up = (F.col(f"{c}{i}") for c in ("ax", "ay", "by", "wide", "deep", "up"))
+        x = wide * (lat - ay) / deep + ax
+        return s != ((((ay > lat) != (by > lat)) & ((lon < x) != (qx < x))) != ((lat < up) != (qy < up)))
+
+    return reduce(crossed, range(FEW), F.col("inside"))
+
+
 def within_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(id, fid): each detection with each polygon of ``polygon_cells`` that it lies inside."""
-    at = _looked_up(points, cells)
-    return at.hint("merge").join(cells, ["level", "cell"]).filter(in_cell(F.col("latitude"), F.col("longitude"))).select("id", "fid")
+    """(id, fid): each detection with each polygon of ``polygon_cells`` that it lies inside.
+
+    Inner cells meet ids alone, boundary cells of few edges plain columns. Cells are dealt by a number that adaptive execution
+    leaves alone, since what they meet is many times what it sees.
+    """
+    at = _looked_up(points, cells).filter("latitude IS NOT NULL AND longitude IS NOT NULL")
+    dealt = lambda rows: rows.repartition(_partitions(rows), "level", "cell")
+    met = lambda left, right: dealt(left).hint("merge").join(dealt(right), ["level", "cell"])
+    n = F.size("edges")
+    inner = met(at.select("id", "level", "cell"), cells.filter((n == 0) & F.col("inside")).select("fid", "level", "cell"))
+    few = met(at, _plain(cells.filter((n > 0) & (n <= FEW)))).filter(_judged())
+    many = met(at, cells.filter(n > FEW)).filter(in_cell(F.col("latitude"), F.col("longitude")))
+    return reduce(DataFrame.unionByName, [x.select("id", "fid") for x in (inner, few, many)])
 
 
 def first_touching(points: DataFrame, cells: DataFrame) -> DataFrame:
@@ -237,7 +304,11 @@ def containing(points: DataFrame, facilities: DataFrame) -> DataFrame:
     found = []
     boxed = facilities
     if "rings" in facilities.columns:
-        found.append(within_cells(points, polygon_cells(facilities.filter("rings IS NOT NULL").select("fid", "rings"))))
+        # Written, or every filter on rings would make them again, before they are dealt out.
+        facilities = materialize(facilities.select([c for c in facilities.columns if c in ("fid", "rings", "flat", "flon", "half_deg")]))
+        sites = facilities.filter("rings IS NOT NULL").select("fid", "rings")
+        edges = materialize(edges_of(sites.repartition(_partitions(sites), "fid")))
+        found.append(within_cells(points, materialize(cells_of(_fitted(edges, points)))))
         boxed = facilities.filter("rings IS NULL")
     if "half_deg" in facilities.columns:
         cells = box_cells(boxed)
