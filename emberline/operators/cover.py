@@ -307,7 +307,7 @@ def containing(points: DataFrame, facilities: DataFrame) -> DataFrame:
         # Written, or every filter on rings would make them again, before they are dealt out.
         facilities = materialize(facilities.select([c for c in facilities.columns if c in ("fid", "rings", "flat", "flon", "half_deg")]))
         sites = facilities.filter("rings IS NOT NULL").select("fid", "rings")
-        edges = materialize(edges_of(sites.repartition(_partitions(sites), "fid")))
+        edges = materialize(edges_of(sites.repartition("fid")))
         found.append(within_cells(points, materialize(cells_of(_fitted(edges, points)))))
         boxed = facilities.filter("rings IS NULL")
     if "half_deg" in facilities.columns:

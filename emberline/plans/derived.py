@@ -81,8 +81,7 @@ def shaped_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     chosen = F.element_at(F.array(*wkt), (F.col("fid") % 4 + 1).cast("int"))
     # Texts are made and read in many tasks, however few files the suppliers lie in.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return facilities(spark, sf_dir).drop("half_deg").repartition(tasks, "fid").withColumns({"rings": rings_of(chosen), "flon": _moved(F.col("flon"))})
+    return facilities(spark, sf_dir).drop("half_deg").repartition(spark.sparkContext.defaultParallelism, "fid").withColumns({"rings": rings_of(chosen), "flon": _moved(F.col("flon"))})
 
 
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
