@@ -262,10 +262,15 @@ def _judged() -> Column:
 
 
 def within_cells(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """(id, fid): each detection with each polygon of ``polygon_cells`` that it lies inside.
+    """(id, fid): each detection with each polygon of ``polygon_cells`` that it lies inside."""
+    at = _looked_up(points, cells)
+    return at.hint("merge").join(cells, ["level", "cell"]).filter(in_cell(F.col("latitude"), F.col("longitude"))).select("id", "fid")
 
-    Inner cells meet ids alone, boundary cells of few edges plain columns. Cells are dealt by a number that adaptive execution
-    leaves alone, since what they meet is many times what it sees.
+
+def _many_within(points: DataFrame, cells: DataFrame) -> DataFrame:
+    """``within_cells`` where a detection lies inside many: inner cells meet ids alone, boundary cells of few edges plain columns.
+
+    Cells are dealt by a number that adaptive execution leaves alone, since what they meet is many times what it sees.
     """
     at = _looked_up(points, cells).filter("latitude IS NOT NULL AND longitude IS NOT NULL")
     dealt = lambda rows: rows.repartition(_partitions(rows), "level", "cell")
@@ -308,7 +313,7 @@ def containing(points: DataFrame, facilities: DataFrame) -> DataFrame:
         facilities = materialize(facilities.select([c for c in facilities.columns if c in ("fid", "rings", "flat", "flon", "half_deg")]))
         sites = facilities.filter("rings IS NOT NULL").select("fid", "rings")
         edges = materialize(edges_of(sites.repartition("fid")))
-        found.append(within_cells(points, materialize(cells_of(_fitted(edges, points)))))
+        found.append(_many_within(points, materialize(cells_of(_fitted(edges, points)))))
         boxed = facilities.filter("rings IS NULL")
     if "half_deg" in facilities.columns:
         cells = box_cells(boxed)
